@@ -30,7 +30,7 @@ def heavy_digests(rows: DataFrame, support: float) -> DataFrame:
     """(digest, n, first): verified winners among the Misra-Gries candidates, 1/support rows at most."""
     # as text: the counters compare values, and byte arrays only by identity
     counted = rows.select(F.hex("digest").alias("digest")).stat.freqItems(["digest"], support)
-    candidates = counted.select(F.unhex(F.explode("digest_freqItems")).alias("digest"))
+    candidates = counted.select(F.explode("digest_freqItems").alias("text")).select(F.unhex("text").alias("digest"))
     return rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.min(_order()).alias("first")).where("n > 1")
 
 
