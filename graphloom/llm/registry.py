@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": mixing.op5,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_simhash_near_dedup": simhash.op9,
 }
