@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_simhash_near_dedup": simhash.op9,
+    "op10_packing": packing.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
