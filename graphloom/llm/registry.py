@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, mixing, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5,
+    "op7_toxicity": toxicity.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_simhash_near_dedup": simhash.op9,
     "op10_packing": packing.op10,
