@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import chat_format, exact_dedup, mixing, packing, personal_data, quality, secret_scan, simhash, token_rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_divergence": quality.op1,
+    "op2_token_rollup": token_rollup.op2,
+    "op3_personal_data": personal_data.op3,
+    "op4_chat_format": chat_format.op4,
     "op5_mixing": mixing.op5,
+    "op6_secret_scan": secret_scan.op6,
     "op7_toxicity": toxicity.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_simhash_near_dedup": simhash.op9,
