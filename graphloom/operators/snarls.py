@@ -99,7 +99,7 @@ def skeleton_signatures(walks: DataFrame, snarls: DataFrame) -> DataFrame:
         return F.struct((k["end"] + 1).cast("bigint").alias("cursor"), parts.alias("parts"))
 
     zero = F.struct(F.lit(0).cast("bigint").alias("cursor"), none.alias("parts"))
-    kids = F.coalesce("kids", F.array().cast("array<struct<start:bigint,child:bigint,end:bigint>>"))
+    kids = F.coalesce("kids", F.array().cast(joined.schema["kids"].dataType))
     stitched = joined.select("walk", "snarl", "steps", kids.alias("kids")).withColumn("done", F.aggregate("kids", zero, add))
     label = F.array_join(F.concat(F.col("done.parts"), piece(F.col("done.cursor"), F.size("steps").cast("bigint"))), "|")
     return stitched.select("walk", "snarl", label.alias("label"), F.transform("kids", lambda k: k["child"]).alias("children"))
