@@ -145,4 +145,40 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    judged = judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _sql_distance(name: str) -> str:
+    """(doc_id, v) of js_distance, from {name}_h(doc_id, bin, n) and {name}_r(lang, bin, q)."""
+    part = "CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
+    return f"""{name}_t AS (SELECT doc_id, sum(n) AS total FROM {name}_h GROUP BY 1),
+{name}_r AS (SELECT lang, bin, CASE WHEN sum(sum(n)) OVER (PARTITION BY lang) > 0 THEN sum(n) / sum(sum(n)) OVER (PARTITION BY lang) ELSE 0 END AS q FROM {name}_h JOIN b USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
+{name}_p AS (SELECT doc_id, total, CASE WHEN total > 0 THEN n / total ELSE 0 END AS p, q FROM {name}_h JOIN {name}_t USING (doc_id) JOIN b USING (doc_id) JOIN {name}_r r ON r.bin = {name}_h.bin AND r.lang IS NOT DISTINCT FROM b.lang),
+{name}_d AS (SELECT doc_id, sqrt(greatest(sum({part.format(x="p")} + {part.format(x="q")}) / 2 - (sum(CASE WHEN q > 0 THEN 1 ELSE 0 END) - 1) / (8 * ln(2) * greatest(max(total), 1)), 0)) AS v FROM {name}_p GROUP BY 1)"""
+
+
+_LIST = ", ".join(f"'{w}'" for w in WORDS)
+_CLASS_COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{c}+', '', 'g'))" for c in (x.replace("'", r"\x27") for x in CLASSES))
+#: The same in SQL, over long tables of words and bins.
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+x AS (SELECT doc_id, unnest(a) AS word, unnest(range(len(a))) AS i FROM w),
+g AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS g FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g WHERE g IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE c > 1) GROUP BY 1),
+b AS (SELECT w.doc_id, lang, CAST(len(a) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(a) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(a) AS base_failed FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+cl AS (SELECT doc_id, length(t) AS n, [{_CLASS_COUNTS}] AS k FROM d),
+class_h AS (SELECT doc_id, unnest(range({len(CLASSES) + 1})) AS bin, unnest(list_append(k, n - list_sum(k))) AS n FROM cl),
+wc AS (SELECT doc_id, lower(word) AS bin, count(*) AS n FROM x WHERE lower(word) IN ({_LIST}) GROUP BY 1, 2),
+word_h AS (SELECT b.doc_id, v.bin, coalesce(wc.n, 0) AS n FROM b, (SELECT unnest([{_LIST}]) AS bin) v LEFT JOIN wc ON wc.doc_id = b.doc_id AND wc.bin = v.bin
+  UNION ALL SELECT b.doc_id, '', n_words - coalesce((SELECT sum(n) FROM wc WHERE wc.doc_id = b.doc_id), 0) FROM b),
+{_sql_distance("class")}, {_sql_distance("word")},
+lw AS (SELECT lang, sum(n_words) AS words FROM b WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT b.*, CASE WHEN n_words >= {LEAST_WORDS} AND coalesce(words, 0) >= {LEAST_REFERENCE} THEN class_d.v END AS cv, CASE WHEN n_words >= {LEAST_WORDS} AND coalesce(words, 0) >= {LEAST_REFERENCE} THEN word_d.v END AS wv
+  FROM b LEFT JOIN lw ON lw.lang IS NOT DISTINCT FROM b.lang LEFT JOIN class_d ON class_d.doc_id = b.doc_id LEFT JOIN word_d ON word_d.doc_id = b.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cv, 0) <= {MOST_CLASSES} AND coalesce(wv, 0) <= {MOST_WORDS} AS kept,
+  round(cv, 6) AS class_distance, round(wv, 6) AS word_distance FROM j
+"""

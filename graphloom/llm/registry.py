@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_divergence": quality.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
