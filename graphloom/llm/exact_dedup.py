@@ -52,7 +52,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs without the rows that another row's text repeats; docs must be a plain scan, read twice in the same order."""
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     gone = cut(exact_groups(numbered, id_col, text_col, support).where("not kept").select(F.col("row").alias(ROW)))
-    return numbered.join(gone, ROW, "left_anti").select(*docs.columns)
+    return numbered.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
     first = stays.select(F.col("component").alias("of"), F.col("first.row").alias("stays"))
     gone = found.join(first, F.col("component").eqNullSafe(F.col("of"))).where("row <> stays")
-    return numbered.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+    return numbered.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
