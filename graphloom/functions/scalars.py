@@ -183,3 +183,20 @@ def window_of_name(name: Column) -> Column:
 def intensity(x: Column, low: Column, high: Column) -> Column:
     """Where x lies between low and high, clamped to [0, 1]; 0 where these are equal."""
     return F.when(high > low, F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
+def midpoint(start: Column, end: Column) -> Column:
+    return (start + end) / 2.0
+
+
+def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue from 0 to 255 of a hue in degrees and shares of 1."""
+    chroma = (1 - F.abs(2 * lightness - 1)) * saturation
+    k = F.pmod(hue, F.lit(360)) / 60.0
+    x = chroma * (1 - F.abs(k - 2 * F.floor(k / 2) - 1))
+    low = lightness - chroma / 2
+    zero = F.lit(0.0)
+    red = F.when(k < 1, chroma).when(k < 2, x).when(k < 4, zero).when(k < 5, x).otherwise(chroma)
+    green = F.when(k < 1, x).when(k < 3, chroma).when(k < 4, x).otherwise(zero)
+    blue = F.when(k < 2, zero).when(k < 3, x).when(k < 5, chroma).otherwise(x)
+    return tuple(F.round(255 * (low + c)).cast("bigint") for c in (red, green, blue))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import alleles, coords, graph, index, intervals, matrices, sequence, snarls, spectral, windows
+from ..operators import alleles, coords, generators, graph, index, intervals, matrices, sequence, snarls, spectral, windows
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -754,10 +754,23 @@ def word_graph_degree(spark, sf):
 
 @query("SELECT range AS src, (range + k) % 200 AS dst FROM range(200), (SELECT unnest([1, 2, 3]) AS k)")
 def circulant_graph(spark, sf):
-    return spark.range(200).select(F.col("id").alias("src"), F.explode(F.array(*[((F.col("id") + k) % 200) for k in (1, 2, 3)])).alias("dst"))
+    return generators.circulant(spark, 200, (1, 2, 3))
 
 
 @query("WITH c AS (SELECT a.range AS src, b.range AS dst FROM range(100) a, range(100) b WHERE a.range < b.range AND a.range // 10 = b.range // 10) SELECT src, dst FROM c UNION ALL SELECT range * 10 + 9, range * 10 + 10 FROM range(9)")
 def path_communities(spark, sf):
-    inside = spark.range(100).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id"), F.floor(F.col("id") / 10) * 10 + 9)).alias("dst")).where("src <> dst")
-    return inside.unionByName(spark.range(9).select((F.col("id") * 10 + 9).alias("src"), (F.col("id") * 10 + 10).alias("dst")))
+    return generators.path_of_cliques(spark, 10, 10)
+
+
+COLOURS = "q AS (SELECT vec_id AS id, (vec_id * 37) % 360 AS h FROM embeddings), c AS (SELECT id, h, h / 60.0 AS k, 0.6 AS chroma FROM q), x AS (SELECT *, chroma * (1 - abs(k - 2 * floor(k / 2) - 1)) AS x FROM c)"
+
+
+@query(f"WITH {COLOURS} SELECT id, CAST(round(255 * (0.2 + CASE WHEN k < 1 THEN chroma WHEN k < 2 THEN x WHEN k < 4 THEN 0 WHEN k < 5 THEN x ELSE chroma END)) AS BIGINT) AS r, CAST(round(255 * (0.2 + CASE WHEN k < 1 THEN x WHEN k < 3 THEN chroma WHEN k < 4 THEN x ELSE 0 END)) AS BIGINT) AS g, CAST(round(255 * (0.2 + CASE WHEN k < 2 THEN 0 WHEN k < 3 THEN x WHEN k < 5 THEN chroma ELSE x END)) AS BIGINT) AS b FROM x")
+def cluster_colours(spark, sf):
+    ids = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), ((F.col("vec_id") * 37) % 360).alias("h"))
+    return ids.select("id", *[c.alias(n) for n, c in zip("rgb", S.hsl_to_rgb(F.col("h"), F.lit(0.6), F.lit(0.5)))])
+
+
+@query("SELECT range AS start, range + 2000 AS \"end\", range + 1000.0 AS midpoint FROM range(0, 20000, 2000)")
+def window_midpoints(spark, sf):
+    return windows.coordinate_windows(spark, 0, 20000, 2000).select("start", "end", S.midpoint(F.col("start"), F.col("end")).alias("midpoint"))
