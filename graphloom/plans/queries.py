@@ -771,6 +771,6 @@ def cluster_colours(spark, sf):
     return ids.select("id", *[c.alias(n) for n, c in zip("rgb", S.hsl_to_rgb(F.col("h"), F.lit(0.6), F.lit(0.5)))])
 
 
-@query("SELECT range AS start, range + 2000 AS \"end\", range + 1000.0 AS midpoint FROM range(0, 20000, 2000)")
+@query("SELECT range AS start, range + 2000 AS \"end\", CAST(range + 1000 AS DOUBLE) AS midpoint FROM range(0, 20000, 2000)")
 def window_midpoints(spark, sf):
     return windows.coordinate_windows(spark, 0, 20000, 2000).select("start", "end", S.midpoint(F.col("start"), F.col("end")).alias("midpoint"))
