@@ -479,10 +479,10 @@ def first_hits_in_region(spark, sf):
 # Signatures, alleles and snarls
 
 
-@query(f"""WITH {A.WALKS}, f AS (SELECT walk, string_agg(node || CASE WHEN fwd THEN '+' ELSE '-' END, ',' ORDER BY step) AS a, string_agg(node || CASE WHEN fwd THEN '-' ELSE '+' END, ',' ORDER BY step DESC) AS b FROM w WHERE step < 12 GROUP BY 1)
+@query(f"""WITH {A.WALKS}, f AS (SELECT walk, string_agg(node || CASE WHEN fwd THEN '+' ELSE '-' END, ',' ORDER BY step) AS a, string_agg(node || CASE WHEN fwd THEN '-' ELSE '+' END, ',' ORDER BY step DESC) AS b FROM w GROUP BY 1)
 SELECT walk, least(a, b) AS signature FROM f""")
 def step_signature(spark, sf):
-    steps = A.walks(spark, sf).where("step < 12").groupBy("walk").agg(F.sort_array(F.collect_list(F.struct("step", "node", "fwd"))).alias("s"))
+    steps = A.walks(spark, sf).groupBy("walk").agg(F.sort_array(F.collect_list(F.struct("step", "node", "fwd"))).alias("s"))
     return steps.select("walk", S.signature(F.col("s")).alias("signature"))
 
 
@@ -568,11 +568,11 @@ def reference_allele(spark, sf):
     return alleles.reference(alleles.pooled(A.allele_calls(spark, sf)))
 
 
-CALLS = A.PANEL + ", k AS (SELECT p_brand AS site, p_partkey AS hap, p_type || '|' || (p_size % 20 + 1) AS label FROM part WHERE p_partkey % 2 = 0), q AS (SELECT k.site, hap, k.label, coalesce(x.idx, y.idx) AS idx FROM k LEFT JOIN p x ON x.site = k.site AND x.label = k.label LEFT JOIN p y ON y.site = k.site AND y.label = 'OTHER')"
+CALLS = A.PANEL + ", k AS (SELECT p_brand AS site, p_partkey AS hap, p_type || '|' || (p_size % 20 + 1) AS label FROM part), q AS (SELECT k.site, hap, k.label, coalesce(x.idx, y.idx) AS idx FROM k LEFT JOIN p x ON x.site = k.site AND x.label = k.label LEFT JOIN p y ON y.site = k.site AND y.label = 'OTHER')"
 
 
 def _calls(spark, sf):
-    calls = A.table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("hap"), F.concat_ws("|", "p_type", (F.col("p_size") % 20 + 1).cast("string")).alias("label"))
+    calls = A.table(spark, sf, "part").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("hap"), F.concat_ws("|", "p_type", (F.col("p_size") % 20 + 1).cast("string")).alias("label"))
     panel = alleles.pooled(A.allele_calls(spark, sf))
     return alleles.allele_calls(calls, panel), panel
 
@@ -598,11 +598,11 @@ def haploid_dosage(spark, sf):
     return alleles.dosages(alleles.allele_calls(calls, panel), panel).select("site", "hap", "value")
 
 
-@query(f"WITH {A.PANEL}, f AS (SELECT p.site, p_partkey AS hap, p.idx, (p_size % 10) / 10.0 / k AS pr FROM p JOIN part ON p_brand = p.site JOIN r ON r.site = p.site WHERE p_partkey % 4 = 0) SELECT f.site, hap, CASE WHEN idx < ref THEN idx ELSE idx - 1 END AS \"column\", round(pr, 9) AS value FROM f JOIN r ON r.site = f.site WHERE idx <> ref AND k > 1")
+@query(f"WITH {A.PANEL}, f AS (SELECT p.site, p_partkey AS hap, p.idx, (p_size % 10) / 10.0 / k AS pr FROM p JOIN part ON p_brand = p.site JOIN r ON r.site = p.site) SELECT f.site, hap, CASE WHEN idx < ref THEN idx ELSE idx - 1 END AS \"column\", round(pr, 9) AS value FROM f JOIN r ON r.site = f.site WHERE idx <> ref AND k > 1")
 def prob_dosage(spark, sf):
     panel = alleles.pooled(A.allele_calls(spark, sf))
     sizes = panel.groupBy("site").agg(F.count("*").alias("k"))
-    parts = A.table(spark, sf, "part").where("p_partkey % 4 = 0").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("hap"), (F.col("p_size") % 10).alias("z"))
+    parts = A.table(spark, sf, "part").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("hap"), (F.col("p_size") % 10).alias("z"))
     probs = panel.select("site", "idx").join(sizes, "site").join(parts, "site").select("site", "hap", "idx", (F.col("z") / 10.0 / F.col("k")).alias("p"))
     return alleles.expected_dosages(probs, panel).withColumn("value", F.round("value", 9))
 
