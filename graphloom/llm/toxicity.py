@@ -161,6 +161,9 @@ class Index:
             hit, score = np.concatenate([hit, h]), np.concatenate([score, s])
         if without is not None:
             hit, score = hit[hit != without], score[hit != without]
+        if len(score) > k:  # only what can be among the k is sorted
+            top = score >= np.partition(score, -k)[-k] - 1e-11
+            hit, score = hit[top], score[top]
         best = np.lexsort((self.ids[hit], -np.round(score, 12)))[:k]
         return hit[best], score[best]
 
@@ -236,7 +239,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options
     """docs without the rows scored at limit or above; docs must be a plain scan, read in the same order each time."""
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     gone = cut(toxic_scores(numbered, labels, **options).where(F.col("score") >= limit).select(F.col("row").alias(ROW)))
-    return numbered.join(gone, ROW, "left_anti").select(*docs.columns)
+    return numbered.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
