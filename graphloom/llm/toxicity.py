@@ -16,6 +16,7 @@ id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ EXAMPLES, TERMS = 16_384, 2_048
 #: A term must occur in so many of the sample's documents.
 LEAST = 3
 NEAREST, BLOCK, FIRST_BLOCKS = 15, 64, 4
+#: Documents scored in one task.
+SCORED = 8_192
 #: Examples whose leave-one-out votes fit the calibration.
 CALIBRATION = 4_096
 #: The vote for the prior, as so much similarity.
@@ -232,7 +235,8 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "toxic", "terms", "counts").collect()
     known = sorted((r["id"], r["toxic"], r["terms"], r["counts"]) for r in known)
     index = Index((np.log((1 + n) / (1 + seen)) + 1) * relevance).build(known).calibrate(known)
-    return vectors.mapInPandas(_scoring(docs.sparkSession.sparkContext.broadcast(index)), "row long, id long, score double, evidence string")
+    dealt = vectors.repartition(max(1, math.ceil(n / SCORED)))
+    return dealt.mapInPandas(_scoring(docs.sparkSession.sparkContext.broadcast(index)), "row long, id long, score double, evidence string")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options: object) -> DataFrame:
