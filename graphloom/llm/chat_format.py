@@ -37,6 +37,8 @@ ENDS = (2, 3)
 MERGE, INSERT, RELABEL = 1, 2, 3
 #: Input turns in one part of a rendered conversation.
 PART = 512
+#: Turns in one batch handed back.
+BATCH = 4096
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 FAR = 1 << 40
 
@@ -166,18 +168,22 @@ def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 PIECES = "conv_id long, position long, cost long, merged long, relabelled long, inserted long, out_turns long, piece string"
 
 
+def _pieces(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"conv_id": "Int64"})
+
+
 def _repairing(stretches: Stretches):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, rows = TaskContext.get().partitionId(), []
         for conv, turns in _runs(batches):
             roles = [role_number(t[1]) for t in turns]
             first, last, before, ends, whole = stretches.of.get((part, conv), (0, None, 0, True, None))
             cost, states = path(roles, first, last)
             if whole is None:
                 whole = cost + int(END_COST[states[-1]])
-            rows, state = [], first
+            state = first
             for k, (role, text, after) in enumerate(zip(roles, (t[2] for t in turns), states)):
                 _, kind, inserted = MOVES[role][state, after]
                 change = after != role
@@ -194,8 +200,10 @@ def _repairing(stretches: Stretches):
                     n_in, out = n_in + len(tail), out + len(tail)
                 rows.append((conv, before + k, whole, int(kind == "merge"), int(change), n_in, out, piece))
                 state = after
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-            yield out.astype({"conv_id": "Int64"})
+            if len(rows) >= BATCH:
+                yield _pieces(rows)
+                rows = []
+        yield _pieces(rows)
 
     return run
 
