@@ -11,8 +11,8 @@ verified), which keeps every component although not every pair is written out.
 
 Cases: a null, empty or blank text has no shingle and the fingerprint zero, which links like any other; a text of
 one or two words has one shingle; a null id takes part but is never a component's id unless all its members' ids
-are null; repeated rows share a fingerprint; an empty table gives no rows; other columns are ignored, or carried by
-``keep_one``.
+are null, and ids, null or repeated, never join clusters in ``keep_one``; repeated rows share a fingerprint; an
+empty table gives no rows; other columns are ignored, or carried by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -70,25 +70,28 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: row, id, fp, component (the smallest id reachable)."""
+    """One row per row of docs: row, id, fp, component (the smallest id reachable), root (the smallest fingerprint reachable).
+
+    Clusters are told apart by root alone: several may have the same component where ids are null or repeated.
+    """
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     rows = cut(docs.select(row.alias("row"), F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(prints)).withColumnRenamed("node", "fp")
     joined = prints.join(roots, "fp").select("fp", "root", "first")
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
-    linked = joined.join(least, "root").select("fp", "component")
-    of = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")))
-    return rows.join(of, "fp").select("row", "id", "fp", "component")
+    linked = joined.join(least, "root").select("fp", "component", "root")
+    of = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"), F.coalesce("root", "fp").alias("root")))
+    return rows.join(of, "fp").select("row", "id", "fp", "component", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (null last), of repeats of the id the first."""
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     found = cut(near_components(numbered, id_col, text_col))
-    stays = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    first = stays.select(F.col("component").alias("of"), F.col("first.row").alias("stays"))
-    gone = found.join(first, F.col("component").eqNullSafe(F.col("of"))).where("row <> stays")
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+    first = stays.select("root", F.col("first.row").alias("stays"))
+    gone = found.join(first, "root").where("row <> stays")
     return numbered.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 

@@ -77,3 +77,13 @@ def test_components_of_documents(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert H.near_components(df).count() == 0 and H.keep_one(df).count() == 0
+
+
+def test_null_and_repeated_ids_do_not_join_clusters(spark):
+    texts = [" ".join(f"{t}{i}" for i in range(60)) for t in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (3, texts[4]), (8, texts[4]), (9, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert len(set(classes([slow(t) for t in texts]).values())) == 6
+    kept = sorted(((r["doc_id"], r["text"]) for r in H.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (9, texts[5])], key=repr)
+    assert len({r["root"] for r in H.near_components(df).collect()}) == 6
