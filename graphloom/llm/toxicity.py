@@ -1,12 +1,13 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
-The index holds a bounded sample of labelled documents (``examples``, chosen by a hash of the id). Its terms are the
-words of the sample most associated with the label by chi-square; a term's weight in a text is (1 + ln tf) * idf *
-relevance, with document frequencies counted over all documents and relevance the root of the term's chi-square. Every
-document is scored: blocks of examples are bounded from above by the sum of the query's weights times each term's
-largest weight in the block; the best blocks are scored first, and then every block whose bound reaches the k-th
-similarity found, so that the k nearest are exact. Votes weighted by similarity are calibrated by a logistic curve
-fitted to leave-one-out votes of the examples. The nearest examples and their similarities are returned as evidence.
+The index holds a bounded sample of labelled documents (``examples``, chosen by a hash of the id) and every word of
+them. A term's weight in a text is (1 + ln tf) * idf * relevance, with document frequencies counted over all documents
+and relevance the root of the term's chi-square against the label. A word that no example has, or that is independent
+of the label, has chi-square 0: its weight is 0, so it adds nothing to a norm either. Every document is scored: the
+terms that can add most are summed over all examples first, what the others can add is bounded by the sum of their
+largest products and by their norm, and every example that may still be among the k nearest is then summed in full, so
+that the k nearest are exact. Votes weighted by similarity are calibrated by a logistic curve fitted to leave-one-out
+votes of the examples. The nearest examples and their similarities are returned as evidence.
 
 Cases: a null or empty text, and one without any term of the index, gets the share of toxic ones among the examples
 that have none either; without labels of both kinds every score is that of the prior; repeated labels of an id count
@@ -17,7 +18,9 @@ id; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import cut, table, written
 
 ROW = "__toxicity_row"
-#: Labelled documents in the index, and terms it knows: the documented bounds of what is fitted and broadcast.
-EXAMPLES, TERMS = 16_384, 2_048
-#: A term must occur in so many of the sample's documents.
-LEAST = 3
-NEAREST, BLOCK, FIRST_BLOCKS = 15, 64, 4
+#: Labelled documents in the index: the documented bound of what is fitted and broadcast.
+EXAMPLES = 16_384
+NEAREST = 15
+#: Terms are summed over all examples until the others can add no more than this to a cosine.
+TAIL = 0.15
 #: Documents scored in one task.
 SCORED = 8_192
 #: Examples whose leave-one-out votes fit the calibration.
@@ -71,22 +74,21 @@ def _term_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(w, pos[w], neg[w]) for w in both], columns=["term", "pos", "neg"])
 
 
-def select_terms(texts: DataFrame, terms: int) -> tuple[list[str], np.ndarray]:
-    """The terms of texts(text, toxic) with the largest chi-square against the label, and its root."""
+def relevant_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Every term of texts(text, toxic) whose chi-square against the label is not 0, and its root."""
     n = texts.groupBy("toxic").count().collect()
     n1, n0 = (float(sum(r["count"] for r in n if (r["toxic"] or 0) == k)) for k in (1, 0))
     counts = texts.mapInPandas(_term_labels, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
     below = (a + b) * (c + d) * F.lit(n1) * F.lit(n0)
     chi2 = F.when(below > 0, F.lit(n1 + n0) * F.pow(a * d - b * c, 2) / below).otherwise(0.0)
-    found = counts.where(a + b >= LEAST).withColumn("chi2", chi2).where("chi2 > 0").orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    return [r["term"] for r in found], np.sqrt(np.array([r["chi2"] for r in found], float))
+    found = counts.select("term", chi2.alias("chi2")).where("chi2 > 0").toArrow().to_pandas().sort_values("term")
+    return found["term"].tolist(), np.sqrt(found["chi2"].to_numpy(float))
 
 
-def _counting(terms: list[str]):
-    number = {t: k for k, t in enumerate(terms)}
-
+def _counting(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {t: k for k, t in enumerate(zlib.decompress(shared.value).decode().split("\n"))}
         for pdf in batches:
             at, tf = [], []
             for text in pdf["text"]:
@@ -100,7 +102,7 @@ def _counting(terms: list[str]):
 
 @dataclass
 class Index:
-    """Examples in blocks, postings by term and block, and the largest weight of each term in each block."""
+    """Examples by their terms, postings by term, and the largest weight of each term."""
 
     weight: np.ndarray  # of a term: idf * relevance
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -115,55 +117,85 @@ class Index:
         return at, w / norm if norm else w
 
     def build(self, examples: list[tuple[int, int, list[int], list[int]]]) -> Index:
-        """examples: (id, toxic, terms, counts). Those of one leading term lie together, so that bounds are tight."""
+        """examples: (id, toxic, terms, counts)."""
         blank = [e[1] for e in examples if not len(e[2])]
         everything = [e[1] for e in examples]
         self.base = (sum(everything) + 1) / (len(everything) + 2) if everything else 0.0
         self.prior = (sum(blank) + self.base) / (len(blank) + 1) if everything else 0.0
-        kept = [(e, *self.vector(e[2], e[3])) for e in examples if len(e[2])]
-        kept.sort(key=lambda x: (int(x[1][np.argmax(x[2])]), x[0][0]))
-        n, blocks = len(kept), -(-len(kept) // BLOCK)
-        self.ids, self.toxic = np.array([k[0][0] for k in kept], np.int64), np.array([k[0][1] for k in kept], float)
-        term = np.concatenate([k[1] for k in kept]) if kept else np.zeros(0, np.int64)
-        value = np.concatenate([k[2] for k in kept]) if kept else np.zeros(0)
-        example = np.repeat(np.arange(n), [len(k[1]) for k in kept]) if kept else np.zeros(0, np.int64)
-        order = np.lexsort((example, term))
-        self.example, self.value, term = example[order].astype(np.int32), value[order], term[order]
-        cell = term * blocks + self.example // BLOCK if blocks else term
-        self.start = np.searchsorted(cell, np.arange(len(self.weight) * blocks + 1)).astype(np.int32)
-        self.bound = np.zeros((len(self.weight), blocks))
-        if blocks:
-            np.maximum.at(self.bound.reshape(-1), cell, self.value)
+        kept = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
+        self.ids, self.toxic = np.array([e[0] for e in kept], np.int64), np.array([e[1] for e in kept], float)
+        self.row_start = np.concatenate([[0], np.cumsum([len(e[2]) for e in kept], dtype=np.int64)])
+        self.row_term = np.concatenate([np.asarray(e[2], np.int32) for e in kept]) if kept else np.zeros(0, np.int32)
+        self.row_count = np.concatenate([np.asarray(e[3], np.int32) for e in kept]) if kept else np.zeros(0, np.int32)
+        return self._posted()
+
+    def _posted(self) -> Index:
+        """What follows from the examples' terms and counts."""
+        sizes = np.diff(self.row_start)
+        w = (1 + np.log(self.row_count)) * self.weight[self.row_term]
+        norm = np.sqrt(np.add.reduceat(w * w, self.row_start[:-1])) if len(sizes) else np.zeros(0)
+        self.row_value = w / np.repeat(np.where(norm > 0, norm, 1.0), sizes)
+        order = np.argsort(self.row_term, kind="stable")
+        self.example, self.value = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], self.row_value[order]
+        self.start = np.searchsorted(self.row_term[order], np.arange(len(self.weight) + 1))
+        self.largest = np.zeros(len(self.weight))
+        np.maximum.at(self.largest, self.row_term, self.row_value)
+        self.query = np.zeros(len(self.weight))
         return self
 
-    def _similarities(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cells = (at[:, None] * self.bound.shape[1] + blocks).ravel()
-        start, n = self.start[cells].astype(np.int64), (self.start[cells + 1] - self.start[cells]).astype(np.int64)
+    def __getstate__(self) -> bytes:
+        """Terms and counts only, compressed: every executor keeps a copy."""
+        derived = ("row_value", "example", "value", "start", "largest", "query")
+        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k not in derived}, protocol=5), 6)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+        self._posted()
+
+    @staticmethod
+    def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
         ends = np.cumsum(n)
-        where = np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        example = self.example[where]
-        score = np.bincount(example, np.repeat(np.repeat(w, len(blocks)), n) * self.value[where], minlength=len(self.ids))
-        hit = np.flatnonzero(score)
-        return hit, score[hit]
+        return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+    def _add(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the terms add to the cosine of every example."""
+        n = self.start[at + 1] - self.start[at]
+        where = self._places(self.start[at], n)
+        return np.bincount(self.example[where], np.repeat(w, n) * self.value[where], minlength=len(self.ids))
+
+    def _whole(self, at: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The cosines of some examples."""
+        n = self.row_start[rows + 1] - self.row_start[rows]
+        where = self._places(self.row_start[rows], n)
+        self.query[at] = w
+        score = np.add.reduceat(self.query[self.row_term[where]] * self.row_value[where], np.cumsum(n) - n)
+        self.query[at] = 0
+        return score
 
     def nearest(self, terms: list[int], counts: list[int], without: int | None = None, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, exactly, and the cosines."""
         at, w = self.vector(terms, counts)
         if not len(at) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.bound[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        first, rest = order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]
-        hit, score = self._similarities(at, w, first)
-        need = k + (without is not None)
-        floor = np.partition(score, -need)[-need] if len(score) >= need else 0.0
-        more = rest[bound[rest] >= floor - 1e-9]
-        if len(more):
-            h, s = self._similarities(at, w, more)
-            hit, score = np.concatenate([hit, h]), np.concatenate([score, s])
+        order = np.argsort(-w * self.largest[at], kind="stable")
+        at, w = at[order], w[order]
+        # of the terms from each on: what they can add to any cosine
+        rest = np.minimum(np.cumsum((w * self.largest[at])[::-1])[::-1], np.sqrt(np.cumsum((w * w)[::-1])[::-1]))
+        first = int((rest > TAIL).sum())
+        score = self._add(at[:first], w[:first])
+        hit = np.arange(len(self.ids))
+        if first < len(at):
+            need = k + (without is not None)
+            floor = np.partition(score, -need)[-need] if len(score) >= need else 0.0
+            near = np.flatnonzero(score + rest[first] >= floor - 1e-9)
+            if (self.row_start[near + 1] - self.row_start[near]).sum() < (self.start[at[first:] + 1] - self.start[at[first:]]).sum():
+                hit, score = near, self._whole(at, w, near)
+            else:
+                score = score + self._add(at[first:], w[first:])
+        some = score > 0
         if without is not None:
-            hit, score = hit[hit != without], score[hit != without]
+            some &= hit != without
+        hit, score = hit[some], score[some]
         if len(score) > k:  # only what can be among the k is sorted
             top = score >= np.partition(score, -k)[-k] - 1e-11
             hit, score = hit[top], score[top]
@@ -219,21 +251,21 @@ def _scoring(shared):
     return run
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """One row per row of docs: row, id, score, evidence (example:label:similarity of the three nearest)."""
     row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     source = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # at most `examples` rows of 12 bytes
     sample = cut(sample_labels(labels, examples))
     texts = written(source.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "toxic", "text"))
-    chosen, relevance = select_terms(texts.select("toxic", "text"), terms)
-    vectors = written(source.mapInPandas(_counting(chosen), "row long, id long, terms array<int>, counts array<int>"))
+    chosen, relevance = relevant_terms(texts.select("toxic", "text"))
+    vectors = written(source.mapInPandas(_counting(docs.sparkSession.sparkContext.broadcast(zlib.compress("\n".join(chosen).encode()))), "row long, id long, terms array<int>, counts array<int>"))
     n = vectors.count()
     seen = np.zeros(len(chosen))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row a term
-        seen[r["term"]] = r["count"]
-    known = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "toxic", "terms", "counts").collect()
-    known = sorted((r["id"], r["toxic"], r["terms"], r["counts"]) for r in known)
+    found = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow().to_pandas()  # one row a term
+    seen[found["term"].to_numpy(np.int64)] = found["count"].to_numpy(float)
+    known = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "toxic", "terms", "counts").toArrow().to_pandas()
+    known = sorted(zip(known["id"].tolist(), known["toxic"].tolist(), known["terms"], known["counts"]), key=lambda e: e[0])
     index = Index((np.log((1 + n) / (1 + seen)) + 1) * relevance).build(known).calibrate(known)
     dealt = vectors.repartition(max(1, math.ceil(n / SCORED)))
     return dealt.mapInPandas(_scoring(docs.sparkSession.sparkContext.broadcast(index)), "row long, id long, score double, evidence string")

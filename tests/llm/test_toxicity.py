@@ -64,3 +64,15 @@ def test_nearest_is_exact():
         hit, got = index.nearest(terms, counts)
         assert index.ids[hit].tolist() == order.tolist()
         assert np.allclose(got, score[order])
+
+
+def test_every_word_of_the_examples_counts(spark):
+    docs, labels = corpus()
+    docs += [(950, "onlyhere", "x"), (952, "onlyhere", "x"), (953, "scum " + " ".join(f"rare{i}" for i in range(20)), "x"), (956, "scum", "x")]
+    labels += [(i, 0) for i in (950, 953)]
+    assert not any(r["held"] for r in spark.createDataFrame([(950,), (953,)], "i long").select(T.held_out(T.F.col("i")).alias("held")).collect())
+    d, l = frames(spark, docs, labels)
+    out = {r["id"]: r["evidence"] for r in T.toxic_scores(d, l).collect()}
+    assert out[952] == "950:0:1.0000" and out[953].startswith("953:0:1.0000")
+    # the rare words are in the norm of 953, which is not a text of one word only
+    assert "953:0:1.0000" not in out[956]
