@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-A vocabulary learned from text spends few tokens on words and many on random strings. So a string of letters and
-digits whose characters per token, under the public tiktoken vocabulary, are few is reported as ``random``. Strings
+A vocabulary learned from text spends few tokens on words and many on random strings. So a string of 12
+characters or more whose characters per token, under the public tiktoken vocabulary, are few is reported as
+``random``; strings under 20 characters and those of letters alone need fewer still. Strings
 that are known digests (hexadecimal of a digest's length) or identifiers (UUIDs, numbers, numbered names, dates) are
 excluded first, and so are strings that a fixed pattern has found already.
 
@@ -31,7 +32,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-CANDIDATE = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?!\w)")
+#: Strings of 12 characters or more, as in ``assign``, are put to the test.
+CANDIDATE = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{12,}(?!\w)")
+LETTERS = re.compile(r"[A-Za-z]+")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
@@ -39,6 +42,8 @@ UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 IDENTIFIER = re.compile(r"[0-9+/_=-]+|(?:[A-Za-z][a-z]*|[A-Z]+|)(?:[+/_=-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[0-9]{0,4}")
 #: Characters per token at most: prose has about 4, invented words 2.5, random letters and digits 1.5.
 MOST_PER_TOKEN = 2.0
+#: Strings under LONG characters and those of letters alone must have fewer, in relation to the others: 1.6 for 2.0.
+LONG, STRICT = 20, 0.8
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -61,15 +66,18 @@ def is_known(string: str) -> bool:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], most: float = MOST_PER_TOKEN, folder: str | None = None) -> list[tuple[int, int, str]]:
-    """Strings with letters and digits of few characters per token, clear of the spans taken."""
+    """Strings with letters of few characters per token, clear of the spans taken."""
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or is_known(s):
+        letters = bool(LETTERS.fullmatch(s))
+        # a run of letters is no identifier by its form: the test tells words from random letters
+        if not re.search("[A-Za-z]", s) or not letters and is_known(s):
             continue
         if any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
-        if len(s) <= most * len(fast_encoder(folder).encode_ordinary(s)):
+        limit = most * STRICT if letters or len(s) < LONG else most
+        if len(s) <= limit * len(fast_encoder(folder).encode_ordinary(s)):
             found.append((m.start(), m.end(), "random"))
     return found
 

@@ -39,3 +39,11 @@ def test_known_strings():
 
 def test_empty(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_and_letters_only_random_strings():
+    for s in ("Xk29fQpZt7Lw3RvB", "q7ZxK2vW9pJt", "XkfQpZtLwRvBnYcMdJgH", "xqzvkjwpfhgtbnrdmcqz"):
+        text = f"see {s} here"
+        assert S.random_spans(text, []) == [(4, 4 + len(s), "random")], s
+    for s in ("internationalization", "getElementsByTagName", "Donaudampfschifffahrt", "responsabilidades", "some-long-module-name", "chapter-2024-05", "4111111111111111"):
+        assert S.random_spans(f"see {s} here", []) == [], s
