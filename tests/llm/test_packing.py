@@ -2,7 +2,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from graphloom.llm import packing as P
 from graphloom.llm import tokens
@@ -15,6 +18,29 @@ def test_ids_are_those_of_tokenizers(text):
     assert tokens.encode(text).tolist() == tokens.exact_encoder().encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None, database=None)
+@given(st.text(max_size=60) | st.text(alphabet=" \n\t\u3000\x1c'sdlv aB1-é", max_size=60))
+def test_ids_of_any_text(text):
+    assert tokens.encode(text).tolist() == tokens.exact_encoder().encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_the_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    exact = tokens.exact_encoder().encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert all(tokens.encode(t).tolist() == e.ids for t, e in zip(texts, exact))
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n", "\u3000 "])
+@pytest.mark.parametrize("rest", ["", "x", "-", "\x1cx", "1 " + " " * 20_000 + "end"])
+def test_long_blank_runs(blank, rest):
+    text = "it's" + blank * tokens.LONG + rest
+    assert tokens.encode(text).tolist() == tokens.exact_encoder().encode(text, add_special_tokens=False).ids
+
+
+def test_five_million_blanks():
+    assert len(tokens.encode(" " * 5_000_000 + "x")) > 0 and len(tokens.encode("x" + " \n" * 2_500_000)) > 0
+
+
 def test_plan_uses_what_is_there():
     rng = np.random.default_rng(2)
     hist = np.bincount(rng.integers(1, 2048, 20_000), minlength=2048)

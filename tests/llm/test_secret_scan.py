@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import re
+import time
 
 from graphloom.llm import secret_scan as S
 
@@ -47,3 +49,37 @@ def test_short_and_letters_only_random_strings():
         assert S.random_spans(text, []) == [(4, 4 + len(s), "random")], s
     for s in ("internationalization", "getElementsByTagName", "Donaudampfschifffahrt", "responsabilidades", "some-long-module-name", "chapter-2024-05", "4111111111111111"):
         assert S.random_spans(f"see {s} here", []) == [], s
+
+
+def test_time_is_linear():
+    began = time.perf_counter()
+    assert not S.is_known("A-" * 10_000 + "A1b2") and S.is_known("A-" * 10_000 + "A1234") and not S.is_known("Ab" * 10_000)
+    text = "token=abcdefabcdef01 Xk29fQpZt7Lw3RvB8nYc1MdJ " * 20_000
+    assert len(S.random_spans(text, S.base_spans(text))) == 20_000
+    S.base_spans("token" + " " * 1_000_000 + "secret" * 100_000)
+    S.random_spans("a-" * 500_000 + "é", [])
+    assert time.perf_counter() - began < 20
+
+
+def test_identifiers_are_those_of_the_plain_rule():
+    """The possessive form accepts what the ambiguous one, safe on short strings, accepts."""
+    plain = re.compile(r"[0-9+/_=-]+|(?:[A-Za-z][a-z]*|[A-Z]+|)(?:[+/_=-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]+))*[0-9]{0,4}")
+    for n in range(1, 7):
+        for parts in itertools.product("Aa1-", repeat=n):
+            s = "".join(parts)
+            assert bool(S.IDENTIFIER.fullmatch(s)) == bool(plain.fullmatch(s)), s
+
+
+def test_overlaps_are_those_of_all_pairs():
+    text = "x" * 100
+    for taken in ([], [(0, 5, "hex")], [(0, 90, "assign"), (3, 8, "hex")], [(95, 100, "hex")]):
+        found = S.random_spans("see Xk29fQpZt7Lw3RvB8nYc1MdJ here " + text, taken)
+        assert (found == []) == any(a < 28 and 4 < b for a, b, _ in taken)
+
+
+def test_large_ids_beside_null(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").coalesce(1)
+    out = S.scan(df)
+    assert out.schema["id"].dataType.simpleString() == "bigint"
+    assert [r["id"] for r in out.collect()] == ids
