@@ -8,8 +8,9 @@ are laid end to end and cut at window edges; the last, shorter stretch is cut in
 padded. Only the histogram and the plan (a few thousand rows, whatever the corpus) pass through the driver: a tail
 finds its place from its length and its rank among tails of that length, and ranks come from counts per partition.
 
-Cases: a null or empty text has the end token alone; a text of a whole number of windows has no tail; repeated rows
-and null ids are packed row by row; an empty table gives no rows; other columns are ignored.
+Cases: a null or empty text has the end token alone; a text of a whole number of windows has no tail; a very long text
+is cut into windows as it is read, in one worker that holds its ids; tails of one length are taken in the order of the
+scan; repeated rows and null ids are packed row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ WINDOW = 2048
 END = 1
 #: Lengths whose triples are enumerated, and the most repeats of one length in a combination.
 FREQUENT, REPEATS = 64, 16
-SWEEPS = 40
+#: The solver stops where a whole sweep moves the repeats by less than this share of all tails, or after SWEEPS; what
+#: it has left over then is packed as any other rest, so the stop costs no tail its place.
+MOVED, SWEEPS = 1e-4, 400
 #: Cut tails up to this number are broadcast by row id (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Sequence ids of whole windows: partition + 1 above this bit, so that they never meet those of the plan.
 PART_BIT = 36
 
-CUTS = "row long, id long, tokens long, part long, whole_from long, tail long, at long, crcs array<long>, tail_ids binary"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Document ids travel as text through pandas, which would turn whole numbers beside a null into doubles.
+CUTS = "row long, id string, tokens long, part long, whole_from long, tail long, at long, crcs array<long>, tail_ids binary"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -44,10 +48,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    """Ids may be null, so whole numbers stay nullable."""
-    columns = [c.split() for c in schema.split(", ")]
-    out = pd.DataFrame(rows, columns=[c[0] for c in columns])
-    return out.astype({c: "Int64" for c, kind in columns if kind == "long"})
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
 def _tokenizing(folder: str | None):
@@ -93,7 +94,7 @@ def least_squares(hist: np.ndarray, combos: list[tuple[int, ...]]) -> np.ndarray
     """x >= 0 that brings the lengths used nearest to hist, by cyclic coordinate descent."""
     columns = [np.unique(c, return_counts=True) for c in combos]
     norms = [float((n * n).sum()) for _, n in columns]
-    x, left = np.zeros(len(combos)), hist.astype(float)
+    x, left, enough = np.zeros(len(combos)), hist.astype(float), MOVED * max(1.0, float(hist.sum()))
     for _ in range(SWEEPS):
         moved = 0.0
         for j, (at, n) in enumerate(columns):
@@ -101,8 +102,8 @@ def least_squares(hist: np.ndarray, combos: list[tuple[int, ...]]) -> np.ndarray
             if step:
                 x[j] += step
                 left[at] -= step * n
-                moved = max(moved, abs(step))
-        if moved < 0.25:
+                moved += abs(step)
+        if moved < enough:
             break
     return x
 
@@ -191,9 +192,8 @@ def _placing(place: Placement, cut_ones: bool):
             rows = []
             tail, rank = pdf["tail"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64)
             slotted, sequence, offset = place.slot(tail, rank)
-            ids = [None if pd.isna(i) else int(i) for i in pdf["id"]]
             tails = pdf["tail_ids"] if cut_ones else [None] * len(pdf)
-            for k, (doc, tokens, part, whole, crcs, tail_ids) in enumerate(zip(ids, pdf["tokens"], pdf["part"], pdf["whole_from"], pdf["crcs"], tails)):
+            for k, (doc, tokens, part, whole, crcs, tail_ids) in enumerate(zip(pdf["id"], pdf["tokens"], pdf["part"], pdf["whole_from"], pdf["crcs"], tails)):
                 n = tokens // WINDOW
                 if not cut_ones:
                     rows += [(doc, j * WINDOW, WINDOW, crcs[j], tokens, ((part + 1) << PART_BIT) + whole + j, 0) for j in range(n)]
@@ -225,7 +225,7 @@ def _cut_flag(place: Placement):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     cut = written(source.mapInPandas(_tokenizing(folder), CUTS))
     counts = cut.groupBy("tail", "part").count()
     before = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     if place.full + len(place.ends) <= BROADCAST_ROWS:
         straddlers = F.broadcast(straddlers)
     pieces = cut.join(straddlers, "row").mapInPandas(_placing(place, True), PIECES)
-    return whole.unionByName(pieces)
+    return whole.unionByName(pieces).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,21 @@ def test_every_id_lies_in_one_piece(spark):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    out = P.pack(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").coalesce(1))
+    assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted(ids, key=repr)
+    assert [f.dataType.simpleString() for f in out.schema] == ["bigint"] * 7
+
+
+def test_padding_is_none_and_sequences_are_full(spark):
+    """Against the independent bound: no packing of n tokens has fewer than ceil(n / 2048) sequences."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "x " * int(rng.integers(0, 3000))) for i in range(300)]
+    out = P.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("sequence_id").sum("length").collect()
+    sizes = [r[1] for r in out]
+    total = sum(sizes)
+    assert total == sum(len(tokens.encode(t)) + 1 for _, t in rows)
+    assert sum(s == P.WINDOW for s in sizes) == total // P.WINDOW and all(s & (s - 1) == 0 for s in sizes)
