@@ -10,9 +10,11 @@ range of (conversation, turn) and sorted; a conversation that runs over several
 for each, of which at most two a partition come to the driver, and then each partition repairs its own stretch between
 the states chosen. So a conversation with a third of all rows is as many tasks as it fills partitions.
 
-The rendered text is returned in parts of at most PART input turns; joined in order they are the conversation.
+The rendered text is returned in parts of at most PART input turns; joined in order they are the conversation. A
+text may not forge a marker: every ``<``, backslashes and ``|`` in it gets one backslash more, which ``unescaped``
+takes back.
 
-Cases: a null or unknown role must be relabelled; a null text is empty; a null conversation id is a conversation of
+Cases: a very long text is one piece, rendered whole; a null or unknown role must be relabelled; a null text is empty; a null conversation id is a conversation of
 its own; turns of one number are ordered by role and text, nulls first; repeated turns are merged as any two turns of
 one role; a conversation of a system turn alone is given an empty user turn; an empty table gives no rows; other
 columns are ignored.
@@ -20,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -40,9 +43,18 @@ PART = 512
 #: Turns in one batch handed back.
 BATCH = 4096
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
+MARK, ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 FAR = 1 << 40
 
 
+def escaped(text: str) -> str:
+    return MARK.sub(r"<\1\\|", text) if "<" in text else text
+
+
+def unescaped(text: str) -> str:
+    return ESCAPED.sub(r"<\1|", text)
+
+
 def way(a: int, b: int) -> tuple[int, ...] | None:
     """The fewest turns to insert after state a so that b is legal."""
     paths = [()]
@@ -117,7 +129,7 @@ class Stretches:
 
     def __init__(self, rows: list[tuple[int, bool, object, int, np.ndarray]]) -> None:
         self.of: dict[tuple[int, object], tuple[int, int, int, bool, int]] = {}
-        rows = sorted({(p, not head, conv is not None, conv or 0): (p, conv, n, m) for p, head, conv, n, m in rows}.items())
+        rows = sorted({(p, not head, conv is not None, conv or ""): (p, conv, n, m) for p, head, conv, n, m in rows}.items())
         run: list[tuple[int, object, int, np.ndarray]] = []
         for _, row in rows:
             if run and run[-1][1] != row[1]:
@@ -149,7 +161,7 @@ class Stretches:
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, list[tuple]]]:
     """(conversation, turns) of a sorted partition, each complete as far as the partition goes."""
     rows = (r for pdf in batches for r in zip(*(pdf[c] for c in pdf.columns)))
-    return ((conv, list(run)) for conv, run in groupby(rows, key=lambda r: None if pd.isna(r[0]) else int(r[0])))
+    return ((conv, list(run)) for conv, run in groupby(rows, key=lambda r: r[0] if isinstance(r[0], str) else None))
 
 
 def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,15 +173,15 @@ def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = (part, not ends, conv, len(run), [role_number(r[1]) for r in run])
         ends = [*ends[:1], row]
     rows = [(p, head, conv, n, matrix(roles).ravel().tolist()) for p, head, conv, n, roles in ends]
-    out = pd.DataFrame(rows, columns=["part", "head", "conv", "n", "m"])
-    yield out.astype({"conv": "Int64"})
+    yield pd.DataFrame(rows, columns=["part", "head", "conv", "n", "m"])
 
 
-PIECES = "conv_id long, position long, cost long, merged long, relabelled long, inserted long, out_turns long, piece string"
+#: Conversation ids travel as text through pandas, which would turn whole numbers beside a null into doubles.
+PIECES = "conv_id string, position long, cost long, merged long, relabelled long, inserted long, out_turns long, piece string"
 
 
 def _pieces(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"conv_id": "Int64"})
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
 
 def _repairing(stretches: Stretches):
@@ -187,7 +199,7 @@ def _repairing(stretches: Stretches):
             for k, (role, text, after) in enumerate(zip(roles, (t[2] for t in turns), states)):
                 _, kind, inserted = MOVES[role][state, after]
                 change = after != role
-                text = text if isinstance(text, str) else ""
+                text = escaped(text) if isinstance(text, str) else ""
                 if kind == "merge":
                     piece = "\n" + text
                 else:
@@ -211,13 +223,13 @@ def _repairing(stretches: Stretches):
 def repaired_turns(turns: DataFrame) -> DataFrame:
     """One row per input turn, with the piece of the rendered conversation that comes from it."""
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    slim = turns.select("conv_id", "turn", "role", "text")
     order = ["conv_id", "turn", "role", "text"]
     # checkpointed as it lies: both passes see the same partitions in the same order
-    dealt = cut(slim.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions(*order).select("conv_id", "role", "text"))
-    ends = dealt.select("conv_id", "role").mapInPandas(_matrices, "part int, head boolean, conv long, n long, m array<long>").collect()
+    dealt = cut(slim.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions(*order).select(F.col("conv_id").cast("string").alias("conv_id"), "role", "text"))
+    ends = dealt.select("conv_id", "role").mapInPandas(_matrices, "part int, head boolean, conv string, n long, m array<long>").collect()
     stretches = Stretches([(r["part"], r["head"], r["conv"], r["n"], np.array(r["m"]).reshape(4, 4)) for r in ends])
-    return dealt.mapInPandas(_repairing(stretches), PIECES)
+    return dealt.mapInPandas(_repairing(stretches), PIECES).withColumn("conv_id", F.col("conv_id").cast(turns.schema["conv_id"].dataType))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
