@@ -2,11 +2,13 @@
 
 An event inserts a document's count, deletes it, or revises it (the old count out, the new one in). A batch of events
 is reduced to one signed row for each key by a combinable aggregate, so a key with a third of all rows is a few
-partial sums, and is committed as a small table under the batch's own name. A batch whose name has been committed is
-left alone, and one that was lost half-way is written anew: a commit may be repeated at any time, as a streaming
-``foreachBatch`` does. Totals are the sum of the committed batches; ``compact`` replaces many by one.
+partial sums, and is committed as a small table under the batch's own name: written beside, then published by one
+rename. A batch whose name has been committed is left alone, and one that was lost half-way is written anew: a commit
+may be repeated at any time, as a streaming ``foreachBatch`` does. Totals are the sum of the committed batches;
+``compact`` replaces many by one table of totals and one of their names, so that replays count once after it too. The
+folder must lie in a file system whose renames are atomic.
 
-Cases: null sources and languages are keys of their own; a null or empty text counts 0 tokens and one document; a null
+Cases: a very long text is counted whole by one worker; null sources and languages are keys of their own; a null or empty text counts 0 tokens and one document; a null
 count is 0; repeated rows count as often as they occur; a key whose documents and tokens both come to 0 is left out;
 an empty table, or an empty batch, gives no rows; other columns are ignored.
 """
@@ -54,43 +56,99 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _batch_path(state: str, batch: str) -> str:
-    return f"{state}/batch-{quote(batch, safe='')}"
+def _folders(spark: SparkSession, state: str, prefix: str) -> list[str]:
+    """The names of the published folders of a kind, in order."""
+    fs, at = _fs(spark, state)
+    if not fs.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith(prefix))
 
 
-def committed(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
-    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
+def _publish(spark: SparkSession, state: str, name: str, tables: dict[str, DataFrame]) -> bool:
+    """Writes tables into a staged folder and renames it as a whole to ``name``; False where another got there first.
 
+    A rename onto a folder that is there already fails or lands inside it under the staged name, which begins with an
+    underscore and which no reader looks at; either way the first to publish stays.
+    """
+    staged = f"_staged-{uuid.uuid4().hex}"
+    for k, df in tables.items():
+        df.write.parquet(f"{state}/{staged}/{k}")
+    fs, source = _fs(spark, f"{state}/{staged}")
+    _, target = _fs(spark, f"{state}/{name}")
+    _, inside = _fs(spark, f"{state}/{name}/{staged}")
+    won = not fs.exists(target) and fs.rename(source, target) and not fs.exists(inside)
+    for lost in () if won else (inside, source):
+        if fs.exists(lost):
+            fs.delete(lost, True)
+    return won
 
-def commit(state: str, batch: str, deltas: DataFrame) -> bool:
-    """Adds a batch to the rollup in the folder ``state``; False if it had been added before."""
-    path = _batch_path(state, batch)
-    if committed(deltas.sparkSession, path):
-        return False
-    reduced(deltas).write.mode("overwrite").parquet(path)
-    return True
 
+def _batch(batch: str) -> str:
+    return "batch-" + quote(batch, safe="")
 
-def batches(spark: SparkSession, state: str) -> list[str]:
-    """The folders of the committed batches."""
-    fs, at = _fs(spark, state)
-    if not fs.exists(at):
+
+def _compacted(spark: SparkSession, state: str) -> tuple[str | None, DataFrame]:
+    """The newest compaction, and names(name) of the batches it holds."""
+    last = _folders(spark, state, "compact-")[-1:]
+    if not last:
+        return None, spark.createDataFrame([], "name string")
+    return last[0], spark.read.schema("name string").parquet(f"{state}/{last[0]}/names")
+
+
+def _open(spark: SparkSession, state: str, names: DataFrame) -> list[str]:
+    """The published batches that no compaction holds."""
+    there = _folders(spark, state, "batch-")
+    if not there:
         return []
-    found = [str(s.getPath().toString()) for s in fs.listStatus(at) if s.isDirectory()]
-    return sorted(p for p in found if committed(spark, p))
+    known = {r["name"] for r in names.join(F.broadcast(spark.createDataFrame([(n,) for n in there], "name string")), "name", "left_semi").collect()}
+    return [n for n in there if n not in known]
 
 
-def totals(spark: SparkSession, state: str) -> DataFrame:
-    """(source, lang, tokenizer, docs, tokens) over all committed batches."""
-    paths = batches(spark, state)
+def committed(spark: SparkSession, state: str, batch: str) -> bool:
+    fs, at = _fs(spark, f"{state}/{_batch(batch)}")
+    return fs.exists(at) or not _compacted(spark, state)[1].where(F.col("name") == _batch(batch)).isEmpty()
+
+
+def commit(state: str, batch: str, deltas: DataFrame) -> bool:
+    """Adds a batch to the rollup in the folder ``state``; False if it had been added before."""
+    spark = deltas.sparkSession
+    if committed(spark, state, batch):
+        return False
+    return _publish(spark, state, _batch(batch), {"deltas": reduced(deltas)})
+
+
+def _summed(spark: SparkSession, state: str, last: str | None, open_: list[str]) -> DataFrame:
+    paths = [f"{state}/{n}/deltas" for n in open_] + ([f"{state}/{last}/deltas"] if last else [])
     rows = spark.read.schema(SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], SCHEMA)
     return reduced(rows).where("docs <> 0 or tokens <> 0")
 
 
-def compact(spark: SparkSession, source: str, target: str) -> None:
-    """Writes the rollup of one folder as a single batch of another; names of old batches are not known there."""
-    commit(target, "compacted", totals(spark, source))
+def totals(spark: SparkSession, state: str) -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens) over all committed batches."""
+    last, names = _compacted(spark, state)
+    return _summed(spark, state, last, _open(spark, state, names))
+
+
+def compact(spark: SparkSession, state: str) -> int:
+    """Replaces the batches by one table of totals and one of their names; returns how many batches it took in.
+
+    The two tables are published as one folder before anything is deleted, and batches that a compaction names are
+    not counted again, so it may be stopped at any point. Names stay known: an old batch that comes again is left alone.
+    One compaction runs at a time, and no reader holds a frame of ``totals`` from before it.
+    """
+    last, names = _compacted(spark, state)
+    open_ = _open(spark, state, names)
+    if open_:
+        number = int(last.split("-")[1]) + 1 if last else 0
+        added = spark.createDataFrame([(n,) for n in open_], "name string")
+        if not _publish(spark, state, f"compact-{number:09d}", {"deltas": _summed(spark, state, last, open_), "names": names.unionByName(added)}):
+            return 0
+    newest, names = _compacted(spark, state)
+    left = set(_folders(spark, state, "batch-")) - set(_open(spark, state, names))
+    for name in [*left, *(n for n in _folders(spark, state, "compact-") if n != newest)]:
+        fs, at = _fs(spark, f"{state}/{name}")
+        fs.delete(at, True)
+    return len(open_)
 
 
 def bpe_tokens(folder: str | None = None):

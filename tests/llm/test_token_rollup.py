@@ -1,3 +1,4 @@
+import shutil
 from collections import Counter
 
 from graphloom.llm import token_rollup as R
@@ -24,17 +25,44 @@ def test_signed_batches_are_idempotent(spark, tmp_path):
     assert totals(spark, state)["a", "en", "v1"] == (2, 12)
     R.commit(state, "rest", R.deletes(df.where("source is null")))
     assert (None, None, "v1") not in totals(spark, state)
-    R.compact(spark, state, str(tmp_path / "new"))
-    assert totals(spark, str(tmp_path / "new")) == totals(spark, state)
+    before = totals(spark, state)
+    assert R.compact(spark, state) == 5 and R.compact(spark, state) == 0
+    assert totals(spark, state) == before and len(list((tmp_path / "state").iterdir())) == 1
+    # a replay of an old batch after compaction counts once, and new batches go on
+    assert not R.commit(state, "day/1", R.inserts(df)) and totals(spark, state) == before
+    assert R.commit(state, "day/2", R.inserts(df.where("source = 'b'"))) and totals(spark, state)["b", "de", "v2"] == (2, 26)
+    after = totals(spark, state)
+    assert R.compact(spark, state) == 1 and totals(spark, state) == after
+    assert not R.commit(state, "day/1", R.inserts(df)) and not R.commit(state, "day/2", R.inserts(df))
 
 
-def test_a_lost_batch_is_written_anew(spark, tmp_path):
+def test_a_compaction_stopped_before_its_deletions_counts_once(spark, tmp_path):
+    state, kept = tmp_path / "state", tmp_path / "kept"
+    df = spark.createDataFrame([("a", "en", "v1", 0, 5, "x")], SCHEMA)
+    R.commit(str(state), "b", R.inserts(df))
+    shutil.copytree(state, kept)
+    R.compact(spark, str(state))
+    shutil.copytree(kept / "batch-b", state / "batch-b")
+    assert totals(spark, str(state)) == {("a", "en", "v1"): (1, 5)} and not R.commit(str(state), "b", R.inserts(df))
+    R.compact(spark, str(state))
+    assert not (state / "batch-b").exists() and totals(spark, str(state)) == {("a", "en", "v1"): (1, 5)}
+
+
+def test_two_writers_of_one_name(spark, tmp_path):
     state = str(tmp_path / "state")
     df = spark.createDataFrame([("a", "en", "v1", 0, 5, "x")], SCHEMA)
-    R.commit(state, "b", R.inserts(df))
-    next((tmp_path / "state").glob("batch-b/_SUCCESS")).unlink()
-    assert totals(spark, state) == {}
-    assert R.commit(state, "b", R.inserts(df)) and totals(spark, state) == {("a", "en", "v1"): (1, 5)}
+    assert R._publish(spark, state, R._batch("b"), {"deltas": R.reduced(R.inserts(df))})
+    assert not R._publish(spark, state, R._batch("b"), {"deltas": R.reduced(R.inserts(df))})
+    assert totals(spark, state) == {("a", "en", "v1"): (1, 5)} and [p.name for p in (tmp_path / "state").iterdir()] == ["batch-b"]
+
+
+def test_a_lost_batch_is_written_anew(spark, tmp_path):
+    state = tmp_path / "state"
+    df = spark.createDataFrame([("a", "en", "v1", 0, 5, "x")], SCHEMA)
+    R.commit(str(state), "b", R.inserts(df))
+    (state / "batch-b").rename(state / "_staged-0")
+    assert totals(spark, str(state)) == {}
+    assert R.commit(str(state), "b", R.inserts(df)) and totals(spark, str(state)) == {("a", "en", "v1"): (1, 5)}
 
 
 def test_query_against_brute_force(spark, tmp_path):
