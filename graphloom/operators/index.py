@@ -29,10 +29,13 @@ def with_rank(df: DataFrame, *keys: str | Column, name: str = "idx") -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where none is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, may do without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return sc.getCheckpointDir()
 
 
