@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import shared_dir
+
 #: Runs of the six ASCII white-space characters; a word is a run of anything else.
 WS = r"[\x20\x09-\x0D]+"
+#: Lists of row numbers (8 bytes each) up to this length are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once, into the shared folder, and cuts its lineage there."""
     shared_dir(df.sparkSession)
@@ -38,6 +33,35 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row number, written once to the shared folder, and the number's column name.
+
+    Stages that return whole rows decide by number and read the rows again. The numbers are stored and not counted
+    anew, so a lost executor, or another division into tasks, cannot shift a decision to another row.
+    """
+    row = fresh(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of a numbered table that gone(row) does not name, without the number.
+
+    The list of gone rows is broadcast up to BROADCAST_ROWS, so that no text is shuffled; a longer one is shuffled.
+    """
+    gone = cut(gone.select(F.col("row").alias(row)))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, row, "left_anti").drop(row)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS), "")

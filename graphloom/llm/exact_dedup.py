@@ -3,26 +3,26 @@
 Misra-Gries counters, kept per partition and merged, name every digest that more than ``support`` of all
 rows carry. One combinable aggregate verifies them (exact count and kept row); at most 1/support winners of
 under 100 bytes are broadcast, and the rows that carry them are decided where they lie. The other digests, of
-which none is frequent, go through one ordinary shuffle of ids and digests; texts are never shuffled.
+which none is frequent, are counted by one combinable aggregate and joined back to ids and digests; texts are
+never shuffled.
 
-Cases: a null text is an empty one; a null id is larger than any other; of rows that repeat id and text one
-stays; an empty table gives no rows; other columns are carried by ``drop_duplicates`` whatever their names.
+Cases: a null text is an empty one, and a very long one is hashed whole; a null id is larger than any other; of rows
+that repeat id and text one stays; an empty table gives no rows; other columns are ignored, and carried by
+``drop_duplicates`` whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, cut, table
+from .common import WS, cut, numbered, table, without
 
-ROW = "__exact_row"
 
-
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, digest): SHA-256 of the text with each run of white space as one space."""
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(row, id, digest): SHA-256 of the text with each run of white space as one space; row is row_col, or counted."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS, " ")
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     return docs.select(row.alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
@@ -38,21 +38,21 @@ def _order():
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001, row_col: str | None = None) -> DataFrame:
     """One row per row of docs: row, id, digest, keep_id, group_size, kept."""
-    rows = cut(digest_rows(docs, id_col, text_col))
+    rows = cut(digest_rows(docs, id_col, text_col, row_col))
     marked = rows.join(F.broadcast(cut(heavy_digests(rows, support))), "digest", "left")
-    group = Window.partitionBy("digest")
-    light = marked.where("n is null").select("row", "id", "digest", F.count("*").over(group).alias("n"), F.min(_order()).over(group).alias("first"))
-    heavy = marked.where("n is not null").select("row", "id", "digest", "n", "first")
-    return light.unionByName(heavy).select("row", "id", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"))
+    rest = marked.where("n is null").select("row", "id", "digest")
+    light = rest.join(rest.groupBy("digest").agg(F.count("*").alias("n"), F.min(_order()).alias("first")), "digest")
+    columns = ("row", "id", "digest", "n", "first")
+    every = light.select(*columns).unionByName(marked.where("n is not null").select(*columns))
+    return every.select("row", "id", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
-    """docs without the rows that another row's text repeats; docs must be a plain scan, read twice in the same order."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    gone = cut(exact_groups(numbered, id_col, text_col, support).where("not kept").select(F.col("row").alias(ROW)))
-    return numbered.join(gone, ROW, "left_anti").drop(ROW)
+    """docs without the rows that another row's text repeats."""
+    rows, row = numbered(docs)
+    return without(rows, row, exact_groups(rows, id_col, text_col, support, row).where("not kept"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
