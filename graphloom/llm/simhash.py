@@ -7,9 +7,11 @@ that differ in at most two bits both lie within one bit of a common value, so ev
 All fingerprints under a value v are v itself or v with one bit flipped. A group's members are therefore held as
 one 64-bit mask of flipped bits and one flag, both combined map-side by bit_or: no list is gathered and no group
 grows beyond 65. Members of a group are joined to its least member (each such pair is within two bits and is
-verified), which keeps every component although not every pair is written out.
+verified), which keeps every component although not every pair is written out. What a fingerprint belongs to goes back
+to its rows by a join that is split: fingerprints of many rows (blank texts, boiler-plate) by broadcast, the others by
+a shuffle.
 
-Cases: a null, empty or blank text has no shingle and the fingerprint zero, which links like any other; a text of
+Cases: a very long text is hashed whole, in blocks; a null, empty or blank text has no shingle and the fingerprint zero, which links like any other; a text of
 one or two words has one shingle; a null id takes part but is never a component's id unless all its members' ids
 are null, and ids, null or repeated, never join clusters in ``keep_one``; repeated rows share a fingerprint; an
 empty table gives no rows; other columns are ignored, or carried by ``keep_one``.
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, cut, table
+from .common import components, cut, numbered, table, without
 
-ROW = "__simhash_row"
 SEED = 42
+#: Fingerprints of more than this share of all rows are told to every task, 1 / HEAVY of 24 bytes at most.
+HEAVY = 0.001
 #: Shingles hashed at a time: bounds the bit matrix of one text at 4 MB.
 BLOCK = 1 << 16
 
@@ -69,12 +72,12 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per row of docs: row, id, fp, component (the smallest id reachable), root (the smallest fingerprint reachable).
 
     Clusters are told apart by root alone: several may have the same component where ids are null or repeated.
     """
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = cut(docs.select(row.alias("row"), F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(prints)).withColumnRenamed("node", "fp")
@@ -82,17 +85,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     linked = joined.join(least, "root").select("fp", "component", "root")
     of = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"), F.coalesce("root", "fp").alias("root")))
-    return rows.join(of, "fp").select("row", "id", "fp", "component", "root")
+    frequent = rows.stat.freqItems(["fp"], HEAVY).select(F.explode("fp_freqItems").alias("fp"))
+    heavy = cut(of.join(F.broadcast(frequent), "fp", "left_semi"))
+    marked = rows.join(F.broadcast(heavy), "fp", "left")
+    light = marked.where("root is null").select("row", "id", "fp").join(of, "fp")
+    columns = ("row", "id", "fp", "component", "root")
+    return marked.where("root is not null").select(*columns).unionByName(light.select(*columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (null last), of repeats of the id the first."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    found = cut(near_components(numbered, id_col, text_col))
+    rows, row = numbered(docs)
+    found = cut(near_components(rows, id_col, text_col, row).select("row", "id", "root"))
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    first = stays.select("root", F.col("first.row").alias("stays"))
-    gone = found.join(first, "root").where("row <> stays")
-    return numbered.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
+    return without(rows, row, found.select("row").join(stays.select(F.col("first.row").alias("row")), "row", "left_anti"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
