@@ -40,6 +40,8 @@ def test_targets_and_totals(spark):
         assert abs(words - want[size]) <= max(60, 0.02 * want[size]), (size, words, want[size])
     again = sorted(tuple(r) for r in M.copies(df).select("size", "copies", "target").collect())
     assert again == sorted((r["size"], r["copies"], r["target"]) for r in out)
+    elsewhere = sorted(tuple(r) for r in M.copies(df.repartition(7)).select("id", "size", "copies", "target").collect() if r["id"] is not None)
+    assert elsewhere == sorted((r["id"], r["size"], r["copies"], r["target"]) for r in out if r["id"] is not None)
     mixed = M.mix(df.coalesce(2))
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in out)
 
@@ -50,13 +52,18 @@ def test_no_words_and_empty(spark):
     assert M.copies(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("outlier", [0, 400, 100_000])
 @pytest.mark.parametrize("p", [0.2, 0.5, 0.9])
-def test_expectations_hold(p):
+def test_expectations_hold(p, outlier):
     size = np.array(sorted(np.random.default_rng(1).integers(1, 50, 40), reverse=True), float)
-    hits = np.zeros(len(size))
+    hits, last = np.zeros(len(size)), []
+    if outlier:
+        size[0] = outlier
     for trial in range(600):
         mass = size * p
         settled, left = M.pivot(list(range(len(size))), size, mass, f"t{trial}")
+        assert len(settled) + (left is not None) == len(size)
+        last.append(0 if left is None else size[left])
         assert all(v in (0, 1) for v in settled.values())
         total = sum(size[i] * v for i, v in settled.items()) + (mass[left] if left is not None else 0)
         assert abs(total - size.sum() * p) < 1e-6
@@ -64,4 +71,22 @@ def test_expectations_hold(p):
             hits[i] += v
         if left is not None:
             hits[left] += mass[left] / size[left]
-    assert np.abs(hits / 600 - p).max() < 0.09
+    assert np.abs(hits / 600 - p).max() < 0.09 and (outlier or np.mean(last) < 15)
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    df = spark.range(100_000).selectExpr("cast(null as long) AS doc_id", "'w w w' AS text", "if(id < 90000, 'a', 'b') AS source")
+    out = M.copies(df).cache()
+    assert out.count() == 100_000 and out.select("row").distinct().count() == 100_000
+    for r in out.groupBy("source_size", "target").agg({"copies": "sum"}).collect():
+        assert abs(3 * r["sum(copies)"] - r["target"]) <= 3
+    names = M._named(df.selectExpr("monotonically_increasing_id() AS row", "doc_id AS id", "source", "3L AS size", "7L AS mark"))
+    assert names.groupBy("source", "name").count().where("count > 1").count() == 0
+    assert names.agg({"name": "max"}).first()[0] <= "7/99999"
+
+
+def test_large_ids_beside_null(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    out = M.copies(spark.createDataFrame([(i, "x y z", "a") for i in ids], "doc_id long, text string, source string").coalesce(1))
+    assert sorted((r["id"] for r in out.collect()), key=repr) == sorted(ids, key=repr)
+    assert out.schema["id"].dataType.simpleString() == "bigint"
