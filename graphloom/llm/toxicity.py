@@ -1,18 +1,24 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
 The index holds a bounded sample of labelled documents (``examples``, chosen by a hash of the id) and every word of
 them. A term's weight in a text is (1 + ln tf) * idf * relevance, with document frequencies counted over all documents
-and relevance the root of the term's chi-square against the label. A word that no example has, or that is independent
-of the label, has chi-square 0: its weight is 0, so it adds nothing to a norm either. Every document is scored: the
-terms that can add most are summed over all examples first, what the others can add is bounded by the sum of their
-largest products and by their norm, and every example that may still be among the k nearest is then summed in full, so
-that the k nearest are exact. Votes weighted by similarity are calibrated by a logistic curve fitted to leave-one-out
-votes of the examples. The nearest examples and their similarities are returned as evidence.
+and relevance the root of the term's chi-square against the label. Without the relevance, on texts of mostly rare
+words, the nearest examples share a rare word by chance and most toxic documents are missed (figures in the README).
+A word that no example has, or that is independent of the label, has chi-square 0: its weight is 0, so it adds nothing
+to a norm either.
+
+Every document is scored: the terms that can add most are summed over all examples first. What the others can add to
+any example is bounded by their largest products, to an example of a block of examples by their largest products in
+that block, and by their norm; every example that may still be among the k nearest is then summed in full, so that the
+k nearest are exact. Votes weighted by similarity are calibrated by a logistic curve fitted to leave-one-out votes of
+the examples. A document's own label is no evidence: an example of its id is left out. The nearest examples and their
+similarities are returned as evidence.
 
 Cases: a null or empty text, and one without any term of the index, gets the share of toxic ones among the examples
-that have none either; without labels of both kinds every score is that of the prior; repeated labels of an id count
-once, by their largest; null labels and null ids are not learned from; ties in similarity go to the smaller example
-id; an empty table gives no rows.
+that have none either; a very long text is counted whole; without labels of both kinds every score is that of the
+prior; repeated labels of an id count once, by their largest, and of rows that repeat an id the least text is the
+example; null labels and null ids are not learned from; ties in similarity go to the smaller example id; repeated rows
+are scored row by row; an empty table gives no rows; other columns are ignored, and carried by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -30,14 +36,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import cut, numbered, table, without, written
 
-ROW = "__toxicity_row"
 #: Labelled documents in the index: the documented bound of what is fitted and broadcast.
 EXAMPLES = 16_384
 NEAREST = 15
 #: Terms are summed over all examples until the others can add no more than this to a cosine.
 TAIL = 0.15
+#: Examples in one block of the index.
+BLOCK = 128
 #: Documents scored in one task.
 SCORED = 8_192
 #: Examples whose leave-one-out votes fit the calibration.
@@ -45,7 +52,7 @@ CALIBRATION = 4_096
 #: The vote for the prior, as so much similarity.
 PRIOR = 0.1
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
 
 
 def word_counts(text: str | None) -> Counter:
@@ -87,6 +94,8 @@ def relevant_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def _counting(shared):
+    """The terms and counts of each text, beside all other columns."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {t: k for k, t in enumerate(zlib.decompress(shared.value).decode().split("\n"))}
         for pdf in batches:
@@ -95,17 +104,17 @@ def _counting(shared):
                 found = sorted((number[w], n) for w, n in word_counts(text).items() if w in number)
                 at.append([k for k, _ in found])
                 tf.append([n for _, n in found])
-            yield pdf[["row", "id"]].astype({"id": "Int64"}).assign(terms=at, counts=tf)
+            yield pdf.drop(columns="text").assign(terms=at, counts=tf)
 
     return run
 
 
 @dataclass
 class Index:
-    """Examples by their terms, postings by term, and the largest weight of each term."""
+    """Examples by their terms; postings by term; the largest weight of each term, in all and in each block."""
 
     weight: np.ndarray  # of a term: idf * relevance
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ids: list[str] = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.0
     curve: tuple[float, float] | None = None
@@ -116,14 +125,14 @@ class Index:
         norm = np.sqrt((w * w).sum())
         return at, w / norm if norm else w
 
-    def build(self, examples: list[tuple[int, int, list[int], list[int]]]) -> Index:
-        """examples: (id, toxic, terms, counts)."""
+    def build(self, examples: list[tuple[str, int, list[int], list[int]]]) -> Index:
+        """examples: (id, toxic, terms, counts), in the order of ids."""
         blank = [e[1] for e in examples if not len(e[2])]
         everything = [e[1] for e in examples]
         self.base = (sum(everything) + 1) / (len(everything) + 2) if everything else 0.0
         self.prior = (sum(blank) + self.base) / (len(blank) + 1) if everything else 0.0
-        kept = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
-        self.ids, self.toxic = np.array([e[0] for e in kept], np.int64), np.array([e[1] for e in kept], float)
+        kept = [e for e in examples if len(e[2])]
+        self.ids, self.toxic = [str(e[0]) for e in kept], np.array([e[1] for e in kept], float)
         self.row_start = np.concatenate([[0], np.cumsum([len(e[2]) for e in kept], dtype=np.int64)])
         self.row_term = np.concatenate([np.asarray(e[2], np.int32) for e in kept]) if kept else np.zeros(0, np.int32)
         self.row_count = np.concatenate([np.asarray(e[3], np.int32) for e in kept]) if kept else np.zeros(0, np.int32)
@@ -138,6 +147,14 @@ class Index:
         order = np.argsort(self.row_term, kind="stable")
         self.example, self.value = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], self.row_value[order]
         self.start = np.searchsorted(self.row_term[order], np.arange(len(self.weight) + 1))
+        self.place = {i: k for k, i in enumerate(self.ids)}
+        # within a term postings are in the order of examples, so those of a block adjoin
+        self.blocks = -(-len(self.ids) // BLOCK)
+        of_block = self.row_term[order].astype(np.int64) * self.blocks + self.example // BLOCK
+        heads = np.flatnonzero(np.diff(of_block, prepend=-1))
+        self.block = (of_block[heads] % max(1, self.blocks)).astype(np.int32)
+        self.block_value = np.maximum.reduceat(self.value, heads) if len(heads) else np.zeros(0)
+        self.block_start = np.searchsorted(heads, self.start)
         self.largest = np.zeros(len(self.weight))
         np.maximum.at(self.largest, self.row_term, self.row_value)
         self.query = np.zeros(len(self.weight))
@@ -145,7 +162,7 @@ class Index:
 
     def __getstate__(self) -> bytes:
         """Terms and counts only, compressed: every executor keeps a copy."""
-        derived = ("row_value", "example", "value", "start", "largest", "query")
+        derived = ("row_value", "example", "value", "start", "largest", "query", "place", "blocks", "block", "block_value", "block_start")
         return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k not in derived}, protocol=5), 6)
 
     def __setstate__(self, state: bytes) -> None:
@@ -172,6 +189,12 @@ class Index:
         self.query[at] = 0
         return score
 
+    def _bounds(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the terms can add at most to the cosine of an example of each block."""
+        n = self.block_start[at + 1] - self.block_start[at]
+        where = self._places(self.block_start[at], n)
+        return np.bincount(self.block[where], np.repeat(w, n) * self.block_value[where], minlength=self.blocks)
+
     def nearest(self, terms: list[int], counts: list[int], without: int | None = None, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, exactly, and the cosines."""
         at, w = self.vector(terms, counts)
@@ -188,7 +211,10 @@ class Index:
             need = k + (without is not None)
             floor = np.partition(score, -need)[-need] if len(score) >= need else 0.0
             near = np.flatnonzero(score + rest[first] >= floor - 1e-9)
-            if (self.row_start[near + 1] - self.row_start[near]).sum() < (self.start[at[first:] + 1] - self.start[at[first:]]).sum():
+            if self._costs(near) > len(at):
+                more = np.minimum(self._bounds(at[first:], w[first:]), rest[first])
+                near = near[score[near] + more[near // BLOCK] >= floor - 1e-9]
+            if self._costs(near) < (self.start[at[first:] + 1] - self.start[at[first:]]).sum():
                 hit, score = near, self._whole(at, w, near)
             else:
                 score = score + self._add(at[first:], w[first:])
@@ -199,20 +225,22 @@ class Index:
         if len(score) > k:  # only what can be among the k is sorted
             top = score >= np.partition(score, -k)[-k] - 1e-11
             hit, score = hit[top], score[top]
-        best = np.lexsort((self.ids[hit], -np.round(score, 12)))[:k]
+        best = np.lexsort((hit, -np.round(score, 12)))[:k]
         return hit[best], score[best]
 
+    def _costs(self, rows: np.ndarray) -> int:
+        return int((self.row_start[rows + 1] - self.row_start[rows]).sum())
+
     def vote(self, terms: list[int], counts: list[int], without: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
         hit, score = self.nearest(terms, counts, without)
         if not len(hit):
             return None, hit, score
         return float((score @ self.toxic[hit] + PRIOR * self.base) / (score.sum() + PRIOR)), hit, score
 
-    def calibrate(self, examples: list[tuple[int, int, list[int], list[int]]]) -> Index:
+    def calibrate(self, examples: list[tuple[str, int, list[int], list[int]]]) -> Index:
         """Platt's curve through leave-one-out votes, by Newton's method on smoothed targets."""
-        place = {int(i): k for k, i in enumerate(self.ids)}
-        chosen = sorted((e for e in examples if len(e[2])), key=lambda e: e[0] * 2654435761 % (1 << 32))[:CALIBRATION]
-        votes = [(self.vote(e[2], e[3], place[e[0]])[0], e[1]) for e in chosen]
+        chosen = sorted((e for e in examples if len(e[2])), key=lambda e: zlib.crc32(str(e[0]).encode()))[:CALIBRATION]
+        votes = [(self.vote(e[2], e[3], self.place[str(e[0])])[0], e[1]) for e in chosen]
         v = np.array([x for x, _ in votes if x is not None])
         y = np.array([t for x, t in votes if x is not None], float)
         pos, neg = y.sum(), len(y) - y.sum()
@@ -231,8 +259,9 @@ class Index:
             self.curve = (float(beta[0]), float(beta[1]))
         return self
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, str]:
-        vote, hit, similarity = self.vote(terms, counts)
+    def score(self, terms: list[int], counts: list[int], id: str | None = None) -> tuple[float, str]:
+        """The calibrated vote for a document, leaving out the example of its own id, and the evidence."""
+        vote, hit, similarity = self.vote(terms, counts, self.place.get(id))
         if vote is None:
             return float(self.prior), ""
         evidence = ",".join(f"{self.ids[h]}:{int(self.toxic[h])}:{s:.4f}" for h, s in zip(hit[:3], similarity[:3]))
@@ -245,37 +274,42 @@ def _scoring(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for pdf in batches:
-            found = [index.score(t, c) for t, c in zip(pdf["terms"], pdf["counts"])]
-            yield pdf[["row", "id"]].astype({"id": "Int64"}).assign(score=[s for s, _ in found], evidence=[e for _, e in found])
+            found = [index.score(t, c, i) for t, c, i in zip(pdf["terms"], pdf["counts"], pdf["id"])]
+            yield pdf[["row", "id"]].assign(score=[s for s, _ in found], evidence=[e for _, e in found])
 
     return run
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, row_col: str | None = None) -> DataFrame:
     """One row per row of docs: row, id, score, evidence (example:label:similarity of the three nearest)."""
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
-    source = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    share = spark.sparkContext.broadcast
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    # ids travel as text: pandas would turn whole numbers beside a null into doubles
+    source = docs.select(row.alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     # at most `examples` rows of 12 bytes
-    sample = cut(sample_labels(labels, examples))
-    texts = written(source.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "toxic", "text"))
+    sample = cut(sample_labels(labels, examples).withColumn("id", F.col("id").cast("string")))
+    texts = written(source.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
     chosen, relevance = relevant_terms(texts.select("toxic", "text"))
-    vectors = written(source.mapInPandas(_counting(docs.sparkSession.sparkContext.broadcast(zlib.compress("\n".join(chosen).encode()))), "row long, id long, terms array<int>, counts array<int>"))
+    counting = _counting(share(zlib.compress("\n".join(chosen).encode())))
+    vectors = written(source.mapInPandas(counting, "row long, id string, terms array<int>, counts array<int>"))
     n = vectors.count()
     seen = np.zeros(len(chosen))
     found = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow().to_pandas()  # one row a term
     seen[found["term"].to_numpy(np.int64)] = found["count"].to_numpy(float)
-    known = vectors.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "toxic", "terms", "counts").toArrow().to_pandas()
-    known = sorted(zip(known["id"].tolist(), known["toxic"].tolist(), known["terms"], known["counts"]), key=lambda e: e[0])
+    known = texts.mapInPandas(counting, "id string, toxic int, terms array<int>, counts array<int>")
+    known = known.sort(F.col("id").cast(kind), "id").toArrow().to_pandas()
+    known = list(zip(known["id"], known["toxic"].tolist(), known["terms"], known["counts"]))
     index = Index((np.log((1 + n) / (1 + seen)) + 1) * relevance).build(known).calibrate(known)
     dealt = vectors.repartition(max(1, math.ceil(n / SCORED)))
-    return dealt.mapInPandas(_scoring(docs.sparkSession.sparkContext.broadcast(index)), "row long, id long, score double, evidence string")
+    scored = dealt.mapInPandas(_scoring(share(index)), "row long, id string, score double, evidence string")
+    return scored.withColumn("id", F.col("id").cast(kind))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options: object) -> DataFrame:
-    """docs without the rows scored at limit or above; docs must be a plain scan, read in the same order each time."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    gone = cut(toxic_scores(numbered, labels, **options).where(F.col("score") >= limit).select(F.col("row").alias(ROW)))
-    return numbered.join(gone, ROW, "left_anti").drop(ROW)
+    """docs without the rows scored at limit or above."""
+    rows, row = numbered(docs)
+    return without(rows, row, toxic_scores(rows, labels, row_col=row, **options).where(F.col("score") >= limit))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
