@@ -1,9 +1,12 @@
 """The pipeline's stages, each held against what it should do with planted rows."""
 
+import re
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import tokens
+from graphloom.llm import simhash, tokens
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +50,82 @@ def test_stages(spark, folder, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
+
+
+CLASHING = ["row", "row_", "id", "fp", "root", "digest", "first", "n", "copies", "copies_", "__mix_copies", "__mix_row", "__exact_row", "__simhash_row", "__toxicity_row", "score", "part", "name", "mark", "stays", "gone", "terms"]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_decisions_keep_to_their_rows(spark, folder, tmp_path, k):
+    """Another division into tasks after the decisions changes nothing, and columns of any name come through."""
+    texts = [f"text number {i % 40} " + " ".join(f"w{i % 40}x{j}" for j in range(30)) + (" scum idiot" * 4 if i % 40 < 10 else "") for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    docs.repartition(8).write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(i, 1, int(i < 10)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    name, stage = corpus_pipeline.STAGES[k]
+    results = []
+    for later in ("1", "8"):
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        try:
+            out = stage(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+            spark.conf.set("spark.sql.files.minPartitionNum", later)
+            rows = out.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert out.columns == docs.columns
+        for r in rows:
+            assert r["text"] == texts[r["doc_id"]] and all(r[c] == f"{c}{r['doc_id']}" for c in CLASHING)
+        results.append(sorted(r["doc_id"] for r in rows))
+    assert results[0] == results[1]
+    if name == "toxicity":
+        assert results[0] == [i for i in range(80) if i % 40 >= 10]
+    elif name == "exact_dedup":
+        assert results[0] == list(range(40))
+    elif name == "simhash_near_dedup":
+        assert len({i % 40 for i in results[0]}) == len(results[0]) and set(results[0]) <= set(range(40))
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def brute_pipeline(docs):
+    """What the stages before mixing keep, from the definitions alone: a toxic word, equal texts, near fingerprints."""
+    kept = [d for d in docs if not {"scum", "idiot"} & set((d[1] or "").split())]
+    first = {}
+    for i, t in sorted(kept, key=lambda d: (d[0] is None, d[0] or 0)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
+    prints = [(simhash.fingerprint(t), i) for i, t in first.values()]
+    root = {i: i for _, i in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in prints:
+        for b, y in prints:
+            if bin(a ^ b).count("1") <= 2:
+                x_, y_ = sorted((find(x), find(y)))
+                root[y_] = x_
+    return {find(i) for i in root}
+
+
+def test_against_brute_force(spark, folder, tmp_path):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(str(folder / "documents.parquet")).collect()]
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, str(folder)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert {r["doc_id"] for r in docs.collect()} == brute_pipeline(rows)
+    packed = corpus_pipeline.run(spark, str(folder))
+    sizes = packed.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"] for r in sizes} <= brute_pipeline(rows)
+    texts = dict(rows)
+    for r in sizes:
+        assert r["doc_tokens"] == len(tokens.encode(texts[r["doc_id"]])) + 1 and r["n"] % r["doc_tokens"] == 0 and r["n"] <= 3 * r["doc_tokens"]
