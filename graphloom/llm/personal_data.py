@@ -1,19 +1,26 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction, in Spark expressions throughout.
 
 Fixed patterns find e-mail addresses, IP addresses, payment cards and phone numbers with their places. Those are the
-seeds: the two words before an entity are its lexical pattern, and patterns and instances (the values found) make a
-bipartite graph. Numbered strings that no fixed pattern takes are its unlabelled instances. The graph is scored in
-rounds: a pattern's confidence is the smoothed mean score of its distinct instances; an unlabelled instance's score is
-the noisy-or of its patterns' confidences; seeds stay at 1. Patterns that end with a high confidence and enough seeds
-then discover the unlabelled strings behind them, as spans of kind ``id``. Edges are reduced to distinct (pattern,
-instance) pairs before any join, aggregates over a pattern are combinable, and joins are plain equi-joins that Spark
-may split, so a context that a third of all documents share is no single task's work.
+seeds: what stands before an entity is its lexical pattern, and patterns and instances (the values found) make a
+bipartite graph. Numbered strings that no fixed pattern takes are its unlabelled instances. A pattern is the two tokens
+before an entity: words in small letters, ``#`` for a number, ``^`` where the text begins. It reads back to the head of
+the match before, however far that is.
+
+The graph is scored by messages along its edges, each leaving out the edge it goes back on. What a pattern tells an
+instance is the smoothed mean of what its *other* instances tell it; what an unlabelled instance tells a pattern is
+the noisy-or of what its *other* patterns tell it, so an instance that nothing else supports counts against its
+pattern; a seed always tells 1. Messages only grow and end below 1, and rounds go on until none moves by more than
+``tolerance``. Patterns that end with a high mean and enough seeds then discover the unlabelled strings behind them, as
+spans of kind ``id``. Edges are reduced to distinct (pattern, instance) pairs before any join, aggregates over a
+pattern or an instance are combinable, and joins are plain equi-joins that Spark may split, so a context that a third
+of all documents share is no single task's work.
 
 Places are found without marking the text: the pieces that split() leaves and the matches between them, both from the
 same pattern, add up to the offsets. The patterns never back up over a run they have left, so time is linear.
 
-Cases: a null or empty text has no spans; ties are ordered by kind, then start; repeated rows are scanned row by row,
-and count once in the graph; null ids stay; an empty table gives no rows; other columns are ignored.
+Cases: a null or empty text has no spans; a very long text is scanned whole; ties are ordered by kind, then start;
+repeated rows are scanned row by row, and count once in the graph; null ids stay; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +44,14 @@ STRING = r"(?:\G|(?<![A-Za-z0-9]))(?:[A-Z]{1,4}[\x20-]?)?+[0-9](?:[\x20./-]?[A-Z
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
 
-ROUNDS = 3
+#: A token before an entity, from its head on; and the last two of a stretch of text.
+TOKEN = r"((?<!\p{L})\p{L}++|(?<!\p{N})\p{N}++)[^\p{L}\p{N}]*+"
 #: Pseudo-instances of score 0 in every pattern's mean, and what a pattern needs in order to discover.
 SMOOTHING, CONFIDENT, SEEDS = 4.0, 0.8, 8
-#: Unlabelled strings have so many digits.
-LEAST_DIGITS = 6
+TOLERANCE = 1e-3
 CHUNK = 1024
+#: The last characters of a context, which hold its two tokens as a rule; if they do not, the whole context is read.
+NEAR = 64
 
 
 def _scan(values: Column) -> Column:
@@ -68,8 +77,25 @@ def running(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) <= CHUNK, _scan(v)).otherwise(by_chunks(v)))
 
 
+def context(left: Column, first: Column) -> Column:
+    """The last two tokens of the text left of a match; first tells whether it reaches back to the text's beginning."""
+
+    def token(x: Column) -> Column:
+        return F.regexp_replace(F.lower(x), r"\p{N}++", "#")
+
+    def tokens(x: Column) -> Column:
+        last = F.regexp_extract(x, TOKEN + "$", 1)
+        both = F.regexp_extract(x, TOKEN + TOKEN + "$", 1)
+        head = F.when(both != "", token(both)).when(first, F.lit("^")).otherwise(F.lit("~"))
+        return F.when(last != "", F.concat_ws(" ", head, token(last))).when(first, F.lit("^")).otherwise(F.lit("~"))
+
+    # a character before the first token shows that the cut has not gone through it
+    near = F.right(left, F.lit(NEAR))
+    return F.when(near.rlike(r"(?s)(?<=.)" + TOKEN + TOKEN + "$"), tokens(near)).otherwise(tokens(left))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, left>> of a pattern's matches; left is the end of the text before each."""
+    """array<struct<start, end, value, left>> of a pattern's matches; left is the pattern before each, see context()."""
 
     def placed(s: Column) -> Column:
         pieces, matches = s["p"], s["m"]
@@ -78,7 +104,7 @@ def spans(text: Column, pattern: str) -> Column:
             running(steps),
             lambda at: F.transform(
                 matches,
-                lambda m, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), m.alias("value"), F.right(F.get(pieces, i), F.lit(64)).alias("left")),
+                lambda m, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), m.alias("value"), context(F.concat(F.coalesce(F.get(matches, i - 1), F.lit("")), F.get(pieces, i)), i == 0).alias("left")),
             ),
         )
 
@@ -134,47 +160,52 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def clear(s: Column) -> Column:
         hit = [F.exists(F.col(k), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) for k in KINDS]
-        return (F.length(_digits(s["value"])) >= LEAST_DIGITS) & ~reduce(lambda a, b: a | b, hit)
+        return ~reduce(lambda a, b: a | b, hit)
 
     return found.withColumn("strings", F.filter("strings", clear))
 
 
-def _pattern(left: Column) -> Column:
-    """The two words before an entity, in small letters; null where there are fewer."""
-    two = F.regexp_extract(left, r"(?:^|[^\p{L}])(\p{L}+)[^\p{L}\p{N}]+(\p{L}+)[^\p{L}\p{N}]*$", 1)
-    last = F.regexp_extract(left, r"(\p{L}+)[^\p{L}\p{N}]*$", 1)
-    return F.when(two != "", F.lower(F.concat_ws(" ", two, last)))
-
-
 def occurrences(found: DataFrame) -> DataFrame:
-    """(row, start, end, pattern, instance, seed) of every base span and unlabelled string with a pattern before it."""
+    """(row, start, end, pattern, instance, seed) of every base span and unlabelled string."""
     def marked(name: str) -> Column:
         seed = F.lit(name != "strings").alias("seed")
         return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"), seed))
 
     out = found.select("row", F.explode(F.concat(*map(marked, (*KINDS, "strings")))).alias("s"))
     value = F.upper(F.regexp_replace("s.value", r"[^\p{L}\p{N}@]", ""))
-    return out.select("row", "s.start", "s.end", _pattern(F.col("s.left")).alias("pattern"), value.alias("instance"), "s.seed").where("pattern is not null")
+    return out.select("row", "s.start", "s.end", F.col("s.left").alias("pattern"), value.alias("instance"), "s.seed")
+
+
+def scored_patterns(edges: DataFrame, smoothing: float = SMOOTHING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(pattern, confidence, seeds) of edges(pattern, instance, seed), distinct by pattern and instance.
+
+    ``told`` is the message along an edge from its instance. An instance with one pattern that is no seed never tells
+    more than 0, so only its number is kept; the edges that rounds go over are those of instances with several.
+    """
+    degree = edges.groupBy("instance").agg(F.count("*").alias("patterns"), F.bool_or("seed").alias("known"))
+    marked = cut(edges.join(degree, "instance").select("pattern", "instance", "seed", "known", "patterns"))
+    fixed = cut(marked.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("known").cast("double")).alias("sure"), F.sum(F.col("seed").cast("long")).alias("seeds")))
+    open_ = cut(marked.where("not known and patterns > 1").select("pattern", "instance", F.lit(0.0).alias("told")))
+    while True:
+        mass = fixed.join(open_.groupBy("pattern").agg(F.sum("told").alias("open")), "pattern", "left").select("pattern", "n", "seeds", (F.col("sure") + F.coalesce("open", F.lit(0.0))).alias("mass"))
+        heard = open_.join(mass, "pattern").withColumn("doubt", F.log1p(-(F.col("mass") - F.col("told")) / (F.col("n") - 1 + smoothing)))
+        all_doubt = heard.groupBy("instance").agg(F.sum("doubt").alias("all"))
+        now = cut(heard.join(all_doubt, "instance").select("pattern", "instance", (1 - F.exp(F.col("all") - F.col("doubt"))).alias("told"), F.col("told").alias("was")))
+        open_ = now.select("pattern", "instance", "told")
+        if now.where(F.abs(F.col("told") - F.col("was")) > tolerance).isEmpty():
+            return mass.select("pattern", (F.col("mass") / (F.col("n") + smoothing)).alias("confidence"), "seeds")
 
 
-def confident_patterns(found: DataFrame, rounds: int = ROUNDS, smoothing: float = SMOOTHING, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
-    """(pattern, confidence) of the patterns that may discover, after scoring the pattern-instance graph."""
-    edges = cut(occurrences(found).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    # one seed occurrence anywhere makes the instance a seed
-    score = cut(edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score")))
-    seed = score.select("instance", (F.col("score") == 1.0).alias("known"))
-    for _ in range(rounds):
-        scored = edges.join(score, "instance").groupBy("pattern").agg(F.sum("score").alias("mass"), F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        pattern = cut(scored.select("pattern", (F.col("mass") / (F.col("n") + smoothing)).alias("confidence"), "seeds"))
-        doubt = edges.join(pattern, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.col("confidence"))).alias("doubt"))
-        score = cut(doubt.join(seed, "instance").select("instance", F.when(F.col("known"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")))
-    return pattern.where((F.col("confidence") >= confident) & (F.col("seeds") >= seeds)).select("pattern", "confidence")
+def confident_patterns(found: DataFrame, smoothing: float = SMOOTHING, tolerance: float = TOLERANCE, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
+    """(pattern, confidence) of the patterns that may discover, after scoring the graph: lexical ones, that hold a word."""
+    edges = occurrences(found).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    return scored_patterns(edges, smoothing, tolerance).where((F.col("confidence") >= confident) & (F.col("seeds") >= seeds) & F.col("pattern").rlike(r"\p{L}")).select("pattern", "confidence")
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """One row per row of docs: id, counts of the base kinds and of ``id``, base_sha256, spans."""
     found = written(scanned(docs, id_col, text_col))
-    sure = confident_patterns(found, **options)
+    sure = cut(confident_patterns(found, **options))
     new = occurrences(found).where("not seed").join(sure, "pattern").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("new"))
     base = F.array_join(F.array_remove(F.array(*[_named(F.col(k), k) for k in KINDS]), ""), ",")
     joined = found.join(new, "row", "left").withColumns({"base": base, "extra": _named(F.coalesce("new", F.array().cast("array<struct<start:int,end:int>>")), FOUND)})

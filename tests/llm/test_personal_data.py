@@ -1,6 +1,10 @@
 import hashlib
+import math
+import random
 import re
+from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,3 +76,64 @@ def test_running_sums(spark):
 
 def test_empty(spark):
     assert P.personal_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def tokens(left):
+    """Runs of letters and runs of numbers."""
+    out, kind = [], None
+    for c in left.lower():
+        now = "L" if c.isalpha() else "N" if c.isnumeric() else None
+        if now and now == kind:
+            out[-1] += c
+        elif now:
+            out.append(c)
+        kind = now
+    return ["#" if t[0].isnumeric() else t for t in out]
+
+
+@settings(max_examples=60, deadline=None, database=None)
+@given(st.lists(st.tuples(st.text(alphabet="aBé12 -:\n", max_size=8) | st.sampled_from(["word " * 40, "x" * 90, " - " * 50, "a" + "1" * 70 + "b "]), st.booleans()), min_size=1, max_size=12))
+def test_contexts(spark, rows):
+    got = spark.createDataFrame(rows, "left string, first boolean").select(P.context(F.col("left"), F.col("first")).alias("c"), "left", "first").collect()
+    for r in got:
+        last, edge = tokens(r["left"])[-2:], "^" if r["first"] else "~"
+        want = " ".join(last if len(last) == 2 else [edge, *last] if last else [edge])
+        assert r["c"] == want, r
+
+
+def messages(edges, rounds, smoothing):
+    """Confidences from messages along each edge, in plain loops."""
+    of_pattern, of_instance, known = defaultdict(list), defaultdict(list), defaultdict(bool)
+    for p, i, seed in edges:
+        of_pattern[p].append(i)
+        of_instance[i].append(p)
+        known[i] |= seed
+    told = {(p, i): float(known[i]) for p, i, _ in edges}
+    for _ in range(rounds):
+        heard = {(p, i): sum(told[p, j] for j in of_pattern[p] if j != i) / (len(of_pattern[p]) - 1 + smoothing) for p, i in told}
+        told = {(p, i): 1.0 if known[i] else 1 - math.prod(1 - heard[q, i] for q in of_instance[i] if q != p) for p, i in told}
+    return {p: sum(told[p, j] for j in js) / (len(js) + smoothing) for p, js in of_pattern.items()}
+
+
+def test_graph_against_brute_force(spark):
+    rng = random.Random(4)
+    for size in (5, 40):
+        edges = sorted({(f"p{rng.randrange(size // 3 + 1)}", f"i{rng.randrange(size)}", False) for _ in range(2 * size)})
+        edges = [(p, i, int(i[1:]) % 3 == 0) for p, i, _ in edges]
+        df = spark.createDataFrame(edges, "pattern string, instance string, seed boolean")
+        got = {r["pattern"]: r["confidence"] for r in P.scored_patterns(df, tolerance=1e-9).collect()}
+        far, farther = messages(edges, 60, P.SMOOTHING), messages(edges, 120, P.SMOOTHING)
+        assert far == pytest.approx(farther, abs=1e-6) and got == pytest.approx(farther, abs=1e-6)
+
+
+def test_unsupported_instances_count_against_a_pattern(spark):
+    for unlabelled, sure in ((10, True), (400, False), (1600, False)):
+        edges = [("my id", f"s{k}", True) for k in range(100)] + [("my id", f"u{k}", False) for k in range(unlabelled)]
+        r = P.scored_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).first()
+        assert r["confidence"] == pytest.approx(100 / (104 + unlabelled)) and (r["confidence"] >= P.CONFIDENT) == sure
+
+
+def test_short_identifiers_in_lists_are_discovered(spark):
+    texts = [f"Ref 7\nBadge: a{k}@y.org" for k in range(40)] + ["1\nBadge: AB-12\nBadge: AB-34"]
+    out = {r["id"]: r for r in P.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[40]["spans"] == "id:9:14,id:22:27"
