@@ -7,9 +7,10 @@ words, the nearest examples share a rare word by chance and most toxic documents
 A word that no example has, or that is independent of the label, has chi-square 0: its weight is 0, so it adds nothing
 to a norm either.
 
-Every document is scored: the terms that can add most are summed over all examples first. What the others can add to
-any example is bounded by their largest products, to an example of a block of examples by their largest products in
-that block, and by their norm; every example that may still be among the k nearest is then summed in full, so that the
+Every document is scored. Terms of many examples have dense posting lists, which are summed for a batch of documents
+as one product of matrices. Of the others, the terms that can add most are summed over all examples first. What the rest
+can add to any example is bounded by the largest products, to an example of a block of examples by the largest
+products in that block, and by the norm; every example that may still be among the k nearest is then summed in full, so that the
 k nearest are exact. Votes weighted by similarity are calibrated by a logistic curve fitted to leave-one-out votes of
 the examples. A document's own label is no evidence: an example of its id is left out. The nearest examples and their
 similarities are returned as evidence.
@@ -30,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -39,16 +41,16 @@ from pyspark.sql import functions as F
 from .common import cut, numbered, table, without, written
 
 #: Labelled documents in the index: the documented bound of what is fitted and broadcast.
-EXAMPLES = 16_384
+EXAMPLES = 4_096
 NEAREST = 15
 #: Terms are summed over all examples until the others can add no more than this to a cosine.
 TAIL = 0.15
 #: Examples in one block of the index.
 BLOCK = 128
-#: Documents scored in one task.
-SCORED = 8_192
-#: Examples whose leave-one-out votes fit the calibration.
-CALIBRATION = 4_096
+#: Documents scored in one task, and examples.
+SCORED, CALIBRATED = 8_192, 512
+#: A term has a dense posting list if one of so many examples has it; so many documents are scored together.
+DENSE, BATCH = 16, 64
 #: The vote for the prior, as so much similarity.
 PRIOR = 0.1
 
@@ -145,24 +147,32 @@ class Index:
         norm = np.sqrt(np.add.reduceat(w * w, self.row_start[:-1])) if len(sizes) else np.zeros(0)
         self.row_value = w / np.repeat(np.where(norm > 0, norm, 1.0), sizes)
         order = np.argsort(self.row_term, kind="stable")
-        self.example, self.value = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], self.row_value[order]
-        self.start = np.searchsorted(self.row_term[order], np.arange(len(self.weight) + 1))
+        example, term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], self.row_term[order]
+        value = self.row_value[order]
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.weight)) * DENSE > len(sizes))
+        self.dense_of = np.full(len(self.weight), -1, np.int32)
+        self.dense_of[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(sizes)))
+        long = self.dense_of[term] >= 0
+        self.dense[self.dense_of[term[long]], example[long]] = value[long]
+        self.example, self.value, term = example[~long], value[~long], term[~long]
+        self.start = np.searchsorted(term, np.arange(len(self.weight) + 1))
         self.place = {i: k for k, i in enumerate(self.ids)}
         # within a term postings are in the order of examples, so those of a block adjoin
         self.blocks = -(-len(self.ids) // BLOCK)
-        of_block = self.row_term[order].astype(np.int64) * self.blocks + self.example // BLOCK
+        of_block = term.astype(np.int64) * self.blocks + self.example // BLOCK
         heads = np.flatnonzero(np.diff(of_block, prepend=-1))
         self.block = (of_block[heads] % max(1, self.blocks)).astype(np.int32)
         self.block_value = np.maximum.reduceat(self.value, heads) if len(heads) else np.zeros(0)
         self.block_start = np.searchsorted(heads, self.start)
         self.largest = np.zeros(len(self.weight))
-        np.maximum.at(self.largest, self.row_term, self.row_value)
+        np.maximum.at(self.largest, term, self.value)
         self.query = np.zeros(len(self.weight))
         return self
 
     def __getstate__(self) -> bytes:
         """Terms and counts only, compressed: every executor keeps a copy."""
-        derived = ("row_value", "example", "value", "start", "largest", "query", "place", "blocks", "block", "block_value", "block_start")
+        derived = ("row_value", "example", "value", "start", "largest", "query", "place", "dense_of", "dense", "blocks", "block", "block_value", "block_start")
         return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k not in derived}, protocol=5), 6)
 
     def __setstate__(self, state: bytes) -> None:
@@ -195,17 +205,30 @@ class Index:
         where = self._places(self.block_start[at], n)
         return np.bincount(self.block[where], np.repeat(w, n) * self.block_value[where], minlength=self.blocks)
 
-    def nearest(self, terms: list[int], counts: list[int], without: int | None = None, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, exactly, and the cosines."""
-        at, w = self.vector(terms, counts)
-        if not len(at) or not len(self.ids):
+    def dense_parts(self, texts: list[tuple[list[int], list[int]]]) -> np.ndarray:
+        """What the terms of dense posting lists add to the cosines of each text (rows) with every example."""
+        weights = np.zeros((len(texts), len(self.dense)))
+        for row, (terms, counts) in zip(weights, texts):
+            at, w = self.vector(terms, counts)
+            often = self.dense_of[at] >= 0
+            row[self.dense_of[at[often]]] = w[often]
+        return weights @ self.dense
+
+    def nearest(self, terms: list[int], counts: list[int], without: int | None = None, dense: np.ndarray | None = None, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine above 0, exactly, and the cosines; dense is the text's row of dense_parts."""
+        every, weights = self.vector(terms, counts)
+        if not len(every) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
+        if dense is None:
+            dense = self.dense_parts([(terms, counts)])[0]
+        rare = self.dense_of[every] < 0
+        at, w = every[rare], weights[rare]
         order = np.argsort(-w * self.largest[at], kind="stable")
         at, w = at[order], w[order]
         # of the terms from each on: what they can add to any cosine
         rest = np.minimum(np.cumsum((w * self.largest[at])[::-1])[::-1], np.sqrt(np.cumsum((w * w)[::-1])[::-1]))
         first = int((rest > TAIL).sum())
-        score = self._add(at[:first], w[:first])
+        score = dense + self._add(at[:first], w[:first])
         hit = np.arange(len(self.ids))
         if first < len(at):
             need = k + (without is not None)
@@ -215,7 +238,7 @@ class Index:
                 more = np.minimum(self._bounds(at[first:], w[first:]), rest[first])
                 near = near[score[near] + more[near // BLOCK] >= floor - 1e-9]
             if self._costs(near) < (self.start[at[first:] + 1] - self.start[at[first:]]).sum():
-                hit, score = near, self._whole(at, w, near)
+                hit, score = near, self._whole(every, weights, near)
             else:
                 score = score + self._add(at[first:], w[first:])
         some = score > 0
@@ -231,18 +254,16 @@ class Index:
     def _costs(self, rows: np.ndarray) -> int:
         return int((self.row_start[rows + 1] - self.row_start[rows]).sum())
 
-    def vote(self, terms: list[int], counts: list[int], without: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
-        hit, score = self.nearest(terms, counts, without)
+    def vote(self, terms: list[int], counts: list[int], id: str | None = None, dense: np.ndarray | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The vote for a document, leaving out the example of its own id; null where no example has a term of it."""
+        hit, score = self.nearest(terms, counts, self.place.get(id), dense)
         if not len(hit):
             return None, hit, score
         return float((score @ self.toxic[hit] + PRIOR * self.base) / (score.sum() + PRIOR)), hit, score
 
-    def calibrate(self, examples: list[tuple[str, int, list[int], list[int]]]) -> Index:
-        """Platt's curve through leave-one-out votes, by Newton's method on smoothed targets."""
-        chosen = sorted((e for e in examples if len(e[2])), key=lambda e: zlib.crc32(str(e[0]).encode()))[:CALIBRATION]
-        votes = [(self.vote(e[2], e[3], self.place[str(e[0])])[0], e[1]) for e in chosen]
-        v = np.array([x for x, _ in votes if x is not None])
-        y = np.array([t for x, t in votes if x is not None], float)
+    def calibrate(self, votes: list[tuple[float, int]]) -> Index:
+        """Platt's curve through (leave-one-out vote, toxic) of the examples, by Newton's method on smoothed targets."""
+        v, y = np.array([x for x, _ in votes]), np.array([t for _, t in votes], float)
         pos, neg = y.sum(), len(y) - y.sum()
         if not pos or not neg:
             return self
@@ -259,23 +280,23 @@ class Index:
             self.curve = (float(beta[0]), float(beta[1]))
         return self
 
-    def score(self, terms: list[int], counts: list[int], id: str | None = None) -> tuple[float, str]:
-        """The calibrated vote for a document, leaving out the example of its own id, and the evidence."""
-        vote, hit, similarity = self.vote(terms, counts, self.place.get(id))
-        if vote is None:
-            return float(self.prior), ""
-        evidence = ",".join(f"{self.ids[h]}:{int(self.toxic[h])}:{s:.4f}" for h, s in zip(hit[:3], similarity[:3]))
-        if self.curve is None:
-            return vote, evidence
-        return float(1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1])))), evidence
+    def votes(self, texts: Iterator[tuple[list[int], list[int], str | None]]) -> Iterator[tuple[float | None, str]]:
+        """(vote, evidence) of (terms, counts, id) each, BATCH at a time."""
+        for batch in batched(texts, BATCH):
+            parts = self.dense_parts([(t, c) for t, c, _ in batch])
+            for (t, c, i), dense in zip(batch, parts):
+                vote, hit, similarity = self.vote(t, c, i, dense)
+                yield vote, ",".join(f"{self.ids[h]}:{int(self.toxic[h])}:{s:.4f}" for h, s in zip(hit[:3], similarity[:3]))
 
 
-def _scoring(shared):
+def _voting(shared):
+    """(vote, evidence) of each row, beside all columns but its terms; a null vote where there is no near example."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for pdf in batches:
-            found = [index.score(t, c, i) for t, c, i in zip(pdf["terms"], pdf["counts"], pdf["id"])]
-            yield pdf[["row", "id"]].assign(score=[s for s, _ in found], evidence=[e for _, e in found])
+            found = list(index.votes(zip(pdf["terms"], pdf["counts"], pdf["id"])))
+            yield pdf.drop(columns=["terms", "counts"]).assign(vote=[v for v, _ in found], evidence=[e for _, e in found])
 
     return run
 
@@ -297,13 +318,18 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     seen = np.zeros(len(chosen))
     found = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow().to_pandas()  # one row a term
     seen[found["term"].to_numpy(np.int64)] = found["count"].to_numpy(float)
-    known = texts.mapInPandas(counting, "id string, toxic int, terms array<int>, counts array<int>")
-    known = known.sort(F.col("id").cast(kind), "id").toArrow().to_pandas()
-    known = list(zip(known["id"], known["toxic"].tolist(), known["terms"], known["counts"]))
-    index = Index((np.log((1 + n) / (1 + seen)) + 1) * relevance).build(known).calibrate(known)
+    known = written(texts.mapInPandas(counting, "id string, toxic int, terms array<int>, counts array<int>"))
+    rows = known.sort(F.col("id").cast(kind), "id").toArrow().to_pandas()
+    index = Index((np.log((1 + n) / (1 + seen)) + 1) * relevance).build(list(zip(rows["id"], rows["toxic"].tolist(), rows["terms"], rows["counts"])))
+    voting = _voting(share(index))
+    own = known.repartition(max(1, math.ceil(len(rows) / CALIBRATED))).mapInPandas(voting, "id string, toxic int, vote double, evidence string")
+    index.calibrate([(r["vote"], r["toxic"]) for r in own.where("vote is not null").sort("id").select("vote", "toxic").collect()])
     dealt = vectors.repartition(max(1, math.ceil(n / SCORED)))
-    scored = dealt.mapInPandas(_scoring(share(index)), "row long, id string, score double, evidence string")
-    return scored.withColumn("id", F.col("id").cast(kind))
+    voted = dealt.mapInPandas(voting, "row long, id string, vote double, evidence string")
+    curve, vote = index.curve, F.col("vote")
+    if curve:
+        vote = 1 / (1 + F.exp(-(F.lit(curve[0]) * vote + F.lit(curve[1]))))
+    return voted.select("row", F.col("id").cast(kind).alias("id"), F.coalesce(vote, F.lit(float(index.prior))).alias("score"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options: object) -> DataFrame:

@@ -62,6 +62,9 @@ def test_nearest_is_exact(monkeypatch):
     index._posted()
     for trial in range(120):
         monkeypatch.setattr(T, "TAIL", (0.15, 0.6, 2.0)[trial % 3])
+        if trial % 40 == 0:
+            monkeypatch.setattr(T, "DENSE", (1, 8, 700)[trial // 40])
+            index._posted()
         terms = sorted(rng.choice(60, rng.integers(1, 12), replace=False).tolist())
         counts = rng.integers(1, 5, len(terms)).tolist()
         at, w = index.vector(terms, counts)
