@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..operators.index import shared_dir
 WS = r"[\x20\x09-\x0D]+"
 #: Lists of row numbers (8 bytes each) up to this length are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Lists of file names (some 100 bytes each) up to this length are broadcast.
+FILES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,13 +45,33 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a row number, written once to the shared folder, and the number's column name.
+    """docs with a row number, and the number's column name.
 
-    Stages that return whole rows decide by number and read the rows again. The numbers are stored and not counted
-    anew, so a lost executor, or another division into tasks, cannot shift a decision to another row.
+    Stages that return whole rows decide by number and read the rows again. So numbers must not change with a lost
+    executor or another division into tasks: rows of a scan of files are numbered by file and place in the file, and
+    the rows of any other frame are numbered once and written to the shared folder.
     """
     row = fresh(docs, "row")
-    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
+    placed = _placed(docs, row)
+    return placed if placed is not None else written(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _placed(docs: DataFrame, row: str) -> DataFrame | None:
+    """docs numbered by place; None where its rows have no place of their own in at most FILES files."""
+    path, at, n = (fresh(docs, x) for x in ("path", "at", "file_number"))
+    try:
+        meta = docs.metadataColumn("_metadata")
+        found = docs.withColumns({path: meta["file_path"], at: meta["row_index"]})
+    except AnalysisException:  # no files, or a format without places
+        return None
+    files = sorted(r[0] for r in found.select(path).distinct().limit(FILES + 1).collect() if r[0] is not None)
+    if len(files) > FILES:
+        return None
+    number = docs.sparkSession.createDataFrame([(f, k << 36) for k, f in enumerate(files)], f"`{path}` string, `{n}` long")
+    placed = found.join(F.broadcast(number), path).withColumn(row, F.col(n) + F.col(at)).drop(path, at, n)
+    # a frame made from a scan may repeat a place, as explode does, or lose it, as a union does
+    facts = placed.select(row).groupBy(row).count().agg(F.count("*").alias("places"), F.sum("count").alias("rows")).first()
+    return placed if facts["places"] == (facts["rows"] or 0) == docs.count() else None
 
 
 def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:

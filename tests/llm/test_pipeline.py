@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import simhash, tokens
+from graphloom.llm import common, exact_dedup, simhash, tokens
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
 
 
-CLASHING = ["row", "row_", "id", "fp", "root", "digest", "first", "n", "copies", "copies_", "__mix_copies", "__mix_row", "__exact_row", "__simhash_row", "__toxicity_row", "score", "part", "name", "mark", "stays", "gone", "terms"]
+CLASHING = ["row", "row_", "id", "fp", "root", "digest", "first", "n", "copies", "copies_", "__mix_copies", "__mix_row", "__exact_row", "__simhash_row", "__toxicity_row", "score", "part", "name", "mark", "stays", "gone", "terms", "path", "at", "file_number", "_metadata"]
 
 
 @pytest.mark.parametrize("k", range(4))
@@ -129,3 +129,17 @@ def test_against_brute_force(spark, folder, tmp_path):
     texts = dict(rows)
     for r in sizes:
         assert r["doc_tokens"] == len(tokens.encode(texts[r["doc_id"]])) + 1 and r["n"] % r["doc_tokens"] == 0 and r["n"] <= 3 * r["doc_tokens"]
+
+
+def test_rows_without_a_place_of_their_own(spark, tmp_path):
+    """Frames that repeat or lose the places of a scan are numbered and written instead."""
+    rows = [(i, f"text {i // 2}") for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    plain.repartition(4).write.parquet(str(tmp_path / "docs"))
+    scan = spark.read.parquet(str(tmp_path / "docs"))
+    assert common._placed(scan, "row") is not None and common._placed(scan.where("doc_id < 30"), "row").count() == 30
+    for docs in (plain, scan.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), scan.union(scan), scan.union(plain), plain.union(scan), scan.join(plain, ["doc_id", "text"])):
+        assert common._placed(docs, "row") is None or docs.count() == 40
+        kept, row = common.numbered(docs)
+        assert kept.select(row).distinct().count() == docs.count() and kept.drop(row).columns == docs.columns
+        assert sorted(r["doc_id"] for r in exact_dedup.drop_duplicates(docs).collect()) == list(range(0, 40, 2))
