@@ -49,6 +49,8 @@ TAIL = 0.15
 BLOCK = 128
 #: Documents scored in one task, and examples.
 SCORED, CALIBRATED = 8_192, 512
+#: Rows that a worker hands back at a time.
+SLICE = 1_024
 #: A term has a dense posting list if one of so many examples has it; so many documents are scored together.
 DENSE, BATCH = 16, 64
 #: The vote for the prior, as so much similarity.
@@ -101,12 +103,15 @@ def _counting(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {t: k for k, t in enumerate(zlib.decompress(shared.value).decode().split("\n"))}
         for pdf in batches:
-            at, tf = [], []
-            for text in pdf["text"]:
-                found = sorted((number[w], n) for w, n in word_counts(text).items() if w in number)
-                at.append([k for k, _ in found])
-                tf.append([n for _, n in found])
-            yield pdf.drop(columns="text").assign(terms=at, counts=tf)
+            # in slices: the terms of a whole batch as lists would outweigh its texts
+            for part in (pdf[k : k + SLICE] for k in range(0, len(pdf), SLICE)):
+                at, tf = [], []
+                for text in part["text"]:
+                    found = np.array([(number[w], n) for w, n in word_counts(text).items() if w in number], np.int32).reshape(-1, 2)
+                    found = found[found[:, 0].argsort()]
+                    at.append(found[:, 0])
+                    tf.append(found[:, 1])
+                yield part.drop(columns="text").assign(terms=at, counts=tf)
 
     return run
 
