@@ -119,6 +119,13 @@ def informative(signatures: DataFrame) -> DataFrame:
 
 
 def signature_probabilities(values: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(individual, site, idx, p): means over informative nodes, normalized in a site."""
+    """(individual, site, idx, p): means over informative nodes, normalized in a site.
+
+    Where all of a site's means are 0, the best signature by all its nodes has p = 1. Individuals without a reading at
+    any node of a site have no row there.
+    """
+    site = ["individual", "site"]
     scored = signature_scores(values, informative(signatures)).where("mean > 0")
-    return scored.select("individual", "site", "idx", (F.col("mean") / F.sum("mean").over(Window.partitionBy("individual", "site"))).alias("p"))
+    shares = scored.select(*site, "idx", (F.col("mean") / F.sum("mean").over(Window.partitionBy(*site))).alias("p"))
+    hard = best_signatures(values, signatures).join(scored.select(*site).distinct(), site, "left_anti")
+    return shares.unionByName(hard.select(*site, "idx", F.lit(1.0).alias("p")))

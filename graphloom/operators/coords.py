@@ -71,18 +71,23 @@ def forward_offsets(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"fwd_start": a, "fwd_end": b})
 
 
-def between_anchors(walks: DataFrame, first: int, last: int) -> DataFrame:
-    """The steps of each walk from its last visit of node ``first`` before its first following visit of ``last``.
+def between_anchors(walks: DataFrame, first: int, last: int, reach: DataFrame | None = None) -> DataFrame:
+    """The steps of each walk from a visit of node ``first`` to the next visit of ``last``: its earliest such stretch.
 
-    Walks without a complete stretch give no rows. All complete walks are returned.
+    With reach(node), a walk that leaves these nodes starts anew: a stretch lies within one run of steps inside. Further
+    visits of ``first`` on the way do not start anew. Walks without a complete stretch give no rows; all complete walks
+    are returned.
     """
-    whole = Window.partitionBy("walk")
-    before = Window.partitionBy("walk").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    seen = walks.withColumn("from_step", F.max(F.when(F.col("node") == first, F.col("step"))).over(before))
-    stop = F.min(F.when((F.col("node") == last) & F.col("from_step").isNotNull(), F.col("step"))).over(whole)
-    marked = seen.withColumn("stop", stop)
-    begin = F.max(F.when(F.col("step") == F.col("stop"), F.col("from_step"))).over(whole)
-    return marked.withColumn("begin", begin).where(F.col("step").between(F.col("begin"), F.col("stop"))).select("walk", "step", "node", "fwd")
+    inside = walks.withColumn("run", F.lit(0).cast("bigint"))
+    if reach is not None:
+        marked = walks.join(reach.select("node", F.lit(True).alias("inside")).distinct(), "node", "left")
+        order = Window.partitionBy("walk").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        inside = marked.withColumn("run", F.count(F.when(F.col("inside").isNull(), 1)).over(order)).where("inside")
+    begins = inside.where(F.col("node") == first).groupBy("walk", "run").agg(F.min("step").alias("begin"))
+    ends = inside.where(F.col("node") == last).select("walk", "run", "step").join(begins, ["walk", "run"]).where("step >= begin")
+    stretch = ends.groupBy("walk").agg(F.min(F.struct(F.col("step").alias("stop"), "begin")).alias("s"))
+    found = walks.join(stretch.select("walk", "s.begin", "s.stop"), "walk").where(F.col("step").between(F.col("begin"), F.col("stop")))
+    return found.select("walk", "step", "node", "fwd")
 
 
 def candidate_walks(walks: DataFrame, names: DataFrame, node: int, sample: str, contig: str) -> DataFrame:

@@ -64,10 +64,24 @@ def spans(hits: DataFrame, by: Sequence[str] = ("walk",)) -> DataFrame:
     return found.select(*by, "snarl", span.alias("s"), apart.alias("ambiguous")).select(*by, "snarl", "s.start", "s.end", "ambiguous")
 
 
+#: Steps in one bucket of the range join of walks and spans.
+BUCKET = 1024
+
+
+def within_spans(walks: DataFrame, found: DataFrame) -> DataFrame:
+    """The steps of walks that lie in spans found(walk, start, end, ...): an equi-join on (walk, bucket of steps).
+
+    A span is repeated for each bucket it meets, and a step lies in one bucket, so a walk of many steps and spans is as
+    many small joins and not one of all with all.
+    """
+    cut = found.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+    placed = walks.withColumn("bucket", F.floor(F.col("step") / BUCKET))
+    return placed.join(cut, ["walk", "bucket"]).where(F.col("step").between(F.col("start"), F.col("end"))).drop("bucket")
+
+
 def span_steps(walks: DataFrame, found: DataFrame) -> DataFrame:
     """(walk, snarl, steps): the steps of each unambiguous span, in order."""
-    sure = found.where("not ambiguous").select("walk", "snarl", "start", "end")
-    inside = walks.join(sure, "walk").where(F.col("step").between(F.col("start"), F.col("end")))
+    inside = within_spans(walks, found.where("not ambiguous").select("walk", "snarl", "start", "end"))
     rows = F.sort_array(F.collect_list(F.struct("step", "node", "fwd")))
     return inside.groupBy("walk", "snarl").agg(rows.alias("steps"))
 
@@ -117,7 +131,7 @@ def repeat_counts(walks: DataFrame, snarls: DataFrame) -> DataFrame:
     last = hits.groupBy("walk", "snarl").agg(F.max("step").alias("last"))
     drawn = found.join(last, ["walk", "snarl"]).select("walk", "snarl", "start", F.greatest("end", "last").alias("end"))
     ends = cyclic.select("snarl", "entry", "exit")
-    inside = walks.join(drawn, "walk").where(F.col("step").between(F.col("start"), F.col("end"))).join(ends, "snarl")
+    inside = within_spans(walks, drawn).join(ends, "snarl")
     per_node = inside.groupBy("walk", "snarl", "node", "entry", "exit").agg(F.count("*").alias("n"))
     entry, exit_ = F.col("node") == F.col("entry"), F.col("node") == F.col("exit")
     facts = per_node.groupBy("walk", "snarl").agg(F.max(F.when(~entry & ~exit_, F.col("n"))).alias("inner"), F.max(F.when(entry | exit_, F.col("n"))).alias("outer"))

@@ -168,11 +168,19 @@ def score_of_spectrum(spectrum: DataFrame, by: str, strict: bool = True) -> Data
     return facts.select(by, F.when(~positive, 0.0).when(F.col("m") <= 1, float("nan")).otherwise(score).alias("score"))
 
 
+#: Nodes of the largest graph that is embedded as one dense block (200 MB).
+MOST_NODES = 5_000
+
+
 def embedding(coo: DataFrame, pairs: int = 6, zero: float = 1e-8) -> DataFrame:
     """(node, x, y): the two smallest non-zero eigenvectors of a normalized Laplacian over the root of their values.
 
-    Signs are fixed so that the entry of largest size is positive. The matrix is one block; the caller bounds it.
+    Signs are fixed so that the entry of largest size is positive. The matrix is one block of at most MOST_NODES rows;
+    a larger graph is refused.
     """
+    n = coo.select("row").distinct().count()
+    if n > MOST_NODES:
+        raise ValueError(f"an embedding of {n} nodes; the bound is {MOST_NODES}")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, m = dense(pdf)

@@ -94,15 +94,18 @@ def node_report(hits: DataFrame) -> DataFrame:
 def anchored_walks(parts: dict[str, DataFrame], region: str, assemblies: Sequence[str] = ASSEMBLIES, slack: int = 50_000) -> DataFrame:
     """Of every walk the steps between the region's first and last reference node, within reach of the first.
 
-    All complete walks are returned.
+    Of several reference walks that meet the region the longest is taken, and of those the first by name. A walk that
+    leaves the reach starts anew; all complete walks are returned. Reach is counted over edges in either direction.
     """
     contig, start, end = parse(region)
-    ends = coords.anchors(reference_walks(parts["walks"], parts["paths"], contig, assemblies), start, end).select("first.node", "last.node").toDF("first", "last").limit(1).collect()
+    on = reference_walks(parts["walks"], parts["paths"], contig, assemblies)
+    met = coords.anchors(on, start, end).join(coords.lengths(on).select("walk", "length"), "walk")
+    ends = met.orderBy(F.desc("length"), "walk").limit(1).select(F.col("first.node").alias("first"), F.col("last.node").alias("last")).collect()
     if not ends:
         return parts["walks"].limit(0).select("walk", "step", "node", "fwd")
     first, last = ends[0]["first"], ends[0]["last"]
     near = coords.bounded_reach(parts["edges"], parts["nodes"].select("node", "len"), parts["nodes"].where(F.col("node") == first).select("node"), end - start + slack, last)
-    return coords.between_anchors(parts["walks"].join(near.select("node"), "node", "left_semi"), first, last)
+    return coords.between_anchors(parts["walks"], first, last, near)
 
 
 def make_sequence(parts: dict[str, DataFrame], region: str, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:

@@ -95,10 +95,10 @@ def range_subgraph(spark, sf):
     return graph.in_range(A.walk_edges(spark, sf), 10, 40).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {A.EDGES}, k AS (SELECT DISTINCT node FROM w WHERE walk <= 3) SELECT src, dst, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM k WHERE node = src) AND EXISTS (SELECT 1 FROM k WHERE node = dst) GROUP BY 1, 2")
+@query(f"WITH {A.EDGES}, k AS (SELECT DISTINCT node FROM w WHERE NOT fwd) SELECT src, dst, count(*) AS n FROM e WHERE EXISTS (SELECT 1 FROM k WHERE node = src) AND EXISTS (SELECT 1 FROM k WHERE node = dst) GROUP BY 1, 2")
 def subgraph_semi_join(spark, sf):
     w = A.walks(spark, sf)
-    return graph.within(A.walk_edges(spark, sf), w.where("walk <= 3").select("node")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return graph.within(A.walk_edges(spark, sf), w.where("not fwd").select("node")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 FOUR = "SELECT src AS row, src AS col, 1 AS v FROM {t} UNION ALL SELECT dst, dst, 1 FROM {t} UNION ALL SELECT src, dst, -1 FROM {t} UNION ALL SELECT dst, src, -1 FROM {t}"
@@ -407,13 +407,23 @@ def anchor_offsets(spark, sf):
     return coords.forward_offsets(coords.overlaps(A.walks(spark, sf), 30, 90)).select("walk", "step", F.col("fwd_start").cast("bigint").alias("fwd_start"), F.col("fwd_end").cast("bigint").alias("fwd_end"))
 
 
-@query(f"""WITH {A.WALKS}, a AS (SELECT *, max(CASE WHEN node = 10 THEN step END) OVER (PARTITION BY walk ORDER BY step) AS f FROM w),
-z AS (SELECT walk, min(step) AS z FROM a WHERE node = 20 AND f IS NOT NULL GROUP BY 1), b AS (SELECT a.walk, f, z FROM a JOIN z ON z.walk = a.walk AND a.step = z)
-SELECT w.walk, w.step, w.node, w.fwd FROM w JOIN b ON b.walk = w.walk AND w.step BETWEEN f AND z""")
+@query(f"""WITH {A.WALKS}, f AS (SELECT walk, min(step) AS f FROM w WHERE node = 10 GROUP BY 1), z AS (SELECT w.walk, min(f) AS f, min(step) AS z FROM w JOIN f ON f.walk = w.walk WHERE node = 20 AND step >= f GROUP BY 1)
+SELECT w.walk, w.step, w.node, w.fwd FROM w JOIN z ON z.walk = w.walk AND w.step BETWEEN f AND z""")
 def anchor_collect(spark, sf):
     return coords.between_anchors(A.walks(spark, sf), 10, 20)
 
 
+#: Walks leave the reach at nodes of a residue; a stretch is the first from 10 to 20 without such a step between.
+@query(f"""WITH {A.WALKS}, i AS (SELECT * FROM w WHERE node % 23 <> 5), o AS (SELECT walk, step FROM w WHERE node % 23 = 5),
+c AS (SELECT a.walk, a.step AS f, b.step AS z FROM i a JOIN i b ON b.walk = a.walk AND b.step >= a.step WHERE a.node = 10 AND b.node = 20),
+g AS (SELECT walk, f, z FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.walk = c.walk AND o.step BETWEEN c.f AND c.z)),
+s AS (SELECT walk, min(z) AS z FROM g GROUP BY 1), b AS (SELECT g.walk, min(f) AS f, s.z FROM g JOIN s ON s.walk = g.walk AND s.z = g.z GROUP BY 1, 3)
+SELECT w.walk, w.step, w.node, w.fwd FROM w JOIN b ON b.walk = w.walk AND w.step BETWEEN f AND z""")
+def anchor_collect_within_reach(spark, sf):
+    w = A.walks(spark, sf)
+    return coords.between_anchors(w, 10, 20, w.where("node % 23 <> 5").select("node"))
+
+
 @query(f"WITH {A.OFFSETS}, k AS (SELECT walk, step, s FROM o WHERE step % 10 = 0), q AS (SELECT DISTINCT walk, t AS target FROM w, (SELECT unnest([5, 60, 111, 190]) AS t)) SELECT q.walk, CAST(q.target AS BIGINT) AS target, k.step, k.s AS start FROM q ASOF LEFT JOIN k ON q.walk = k.walk AND q.target >= k.s")
 def sampled_seek(spark, sf):
     w = A.walks(spark, sf)
@@ -654,7 +664,7 @@ def informative_nodes(spark, sf):
     return alleles.informative(_signatures(spark))
 
 
-@query(f"WITH {VALUES}, {SIGS}, m AS (SELECT individual, site, idx, sum(value) / 2 AS mean FROM g JOIN z ON z.node = g.node WHERE g.node % 10 <> 9 GROUP BY 1, 2, 3 HAVING sum(value) > 0) SELECT individual, site, idx, round(mean / sum(mean) OVER (PARTITION BY individual, site), 6) AS p FROM m")
+@query(f"WITH {VALUES}, {SIGS}, m AS (SELECT individual, site, idx, sum(value) / 2 AS mean FROM g JOIN z ON z.node = g.node WHERE g.node % 10 <> 9 GROUP BY 1, 2, 3 HAVING sum(value) > 0) SELECT individual, site, idx, round(mean / sum(mean) OVER (PARTITION BY individual, site), 6) AS p FROM m UNION ALL SELECT individual, site, max_by(idx, (mean, -idx)), 1.0 FROM (SELECT individual, site, idx, round(sum(value) / 3, 9) AS mean FROM g JOIN z ON z.node = g.node GROUP BY 1, 2, 3) a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.individual = a.individual AND m.site = a.site) GROUP BY 1, 2")
 def signature_probabilities(spark, sf):
     return alleles.signature_probabilities(_values(spark, sf), _signatures(spark)).withColumn("p", F.round("p", 6))
 

@@ -243,3 +243,19 @@ def test_bounded_reach(spark):
     start = spark.createDataFrame([(0,)], "node long")
     assert {tuple(r) for r in coords.bounded_reach(e, lens, start, 7).collect()} == {(0, 0), (1, 3), (2, 6)}
     assert {r["node"] for r in coords.bounded_reach(e, lens, start, 100, stop=1).collect()} == {0, 1}
+
+
+def test_a_walk_that_leaves_the_reach_starts_anew(spark):
+    visits = {"gap": [1, 2, 8, 9, 3], "clear": [1, 2, 8, 3], "again": [1, 9, 1, 2, 1, 8, 3, 1, 3], "other": [3, 9, 1]}
+    rows = [(w, k, n, True) for w, nodes in visits.items() for k, n in enumerate(nodes)]
+    walks = spark.createDataFrame(rows, "walk string, step long, node long, fwd boolean")
+    near = spark.createDataFrame([(n,) for n in (1, 2, 3, 8)], "node long")
+    got = {(r["walk"], r["step"]) for r in coords.between_anchors(walks, 1, 3, near).collect()}
+    assert got == {("clear", k) for k in range(4)} | {("again", k) for k in range(2, 7)}
+
+
+def test_probabilities_where_only_shared_nodes_have_values(spark):
+    signatures = spark.createDataFrame([(0, i, n) for i in (0, 1) for n in (i + 1, 9)], "site long, idx long, node long")
+    values = spark.createDataFrame([("a", 9, 0.5), ("b", 2, 1.0), ("b", 9, 1.0), ("c", 1, 0.0)], "individual string, node long, value double")
+    got = {tuple(r) for r in alleles.signature_probabilities(values, signatures).select("individual", "site", "idx", "p").collect()}
+    assert got == {("a", 0, 0, 1.0), ("b", 0, 1, 1.0), ("c", 0, 0, 1.0)}
