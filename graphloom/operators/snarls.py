@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import AMBIGUOUS, signature
+from ..functions.scalars import AMBIGUOUS, MISSING, OTHER, signature, signature_nodes
 from .alleles import pooled
 from .index import stored
 
 
 class TopologyError(ValueError):
-    """A topology with a missing parent or a cycle."""
+    """A topology with an id that occurs twice, a missing parent or a cycle."""
 
 
 def boundary_hits(walks: DataFrame, snarls: DataFrame, by: Sequence[str] = ("walk",)) -> DataFrame:
@@ -160,8 +160,10 @@ def panel_of(flat: DataFrame, skeleton: DataFrame, walks: DataFrame, snarls: Dat
 
 
 def tree(snarls: DataFrame) -> DataFrame:
-    """snarls with depth and path (ids from the root); refuses missing parents and cycles."""
+    """snarls with depth and path (ids from the root); refuses repeated ids, missing parents and cycles."""
     named = stored(snarls)
+    if not named.groupBy("snarl").count().where("count > 1").isEmpty():
+        raise TopologyError("an id occurs twice")
     if not named.where("parent is not null").join(named.select(F.col("snarl").alias("parent")), "parent", "left_anti").isEmpty():
         raise TopologyError("a parent is missing")
     level = stored(named.where("parent is null").withColumns({"depth": F.lit(0), "path": F.array("snarl")}))
@@ -176,15 +178,15 @@ def tree(snarls: DataFrame) -> DataFrame:
     return done
 
 
-def feature_sites(snarls: DataFrame) -> DataFrame:
+def feature_sites(snarls: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """The sites with the fewest features: snarl, site_kind, columns, depth, parent, feature_start, feature_end.
 
     snarls also has alleles and skeletons (counts). A leaf costs its alleles less one, a cyclic snarl 1; a snarl with
     children the lesser of its alleles less one and its skeletons less one with its children's costs, and it is
     decomposed where both are equal. Costs rise level by level, choices go down again; sites come in pre-order, those
-    without a feature are left out.
+    without a feature are left out. levels is tree(snarls) where it is there already.
     """
-    nodes = stored(tree(snarls).withColumns({"alleles": F.coalesce("alleles", F.lit(1)), "skeletons": F.coalesce("skeletons", F.lit(1))}))
+    nodes = stored((tree(snarls) if levels is None else levels).withColumns({"alleles": F.coalesce("alleles", F.lit(1)), "skeletons": F.coalesce("skeletons", F.lit(1))}))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     costs = None
     for depth in range(deepest, -1, -1):
@@ -228,49 +230,154 @@ def conditions(sites: DataFrame, nodes: DataFrame, allowed: DataFrame) -> DataFr
     return joined.select("snarl", "ancestor", F.when(F.col("k") > 1, F.coalesce("a", F.array().cast("array<bigint>"))).otherwise(F.array(F.lit(0).cast("bigint"))).alias("allowed"))
 
 
-def reached(walks: DataFrame, sites: DataFrame, when: DataFrame, skeleton_calls: DataFrame) -> DataFrame:
-    """(walk, snarl) pairs whose conditions are all met; skeleton_calls(walk, snarl, idx)."""
-    calls = skeleton_calls.select("walk", F.col("snarl").alias("ancestor"), "idx")
+def reached(asked: DataFrame, when: DataFrame, skeleton_calls: DataFrame, who: str = "walk") -> DataFrame:
+    """The pairs asked(who, snarl) whose conditions are all met; skeleton_calls(who, snarl, idx)."""
+    calls = skeleton_calls.select(who, F.col("snarl").alias("ancestor"), "idx")
     needed = when.groupBy("snarl").agg(F.count("*").alias("needed"))
-    met = when.join(calls, "ancestor").where(F.array_contains("allowed", F.col("idx"))).groupBy("walk", "snarl").agg(F.count("*").alias("met"))
-    inner = met.join(needed, "snarl").where("met = needed").select("walk", "snarl")
-    free = sites.join(needed, "snarl", "left_anti").select("snarl")
-    every = walks.select("walk").distinct().join(free, F.lit(True))  # walks by root sites: the size of the encoding itself
-    return inner.unionByName(every.select("walk", "snarl"))
+    met = when.join(calls, "ancestor").where(F.array_contains("allowed", F.col("idx"))).groupBy(who, "snarl").agg(F.count("*").alias("met"))
+    return asked.join(needed, "snarl", "left").join(met, [who, "snarl"], "left").where("needed is null or met = needed").select(who, "snarl")
 
 
-def encoded(walks: DataFrame, snarls: DataFrame) -> DataFrame:
-    """(walk, feature, value): the whole encoding of walks against their own panel; null where a site is not traversed.
-
-    Ambiguous spans are counted as alleles of the panel but encode as null.
-    """
-    from .alleles import dosage_columns, label_map
-
+def learned(walks: DataFrame, snarls: DataFrame) -> dict[str, DataFrame]:
+    """What an encoding takes from a panel of walks: its labels and alleles, the sites with their features, conditions."""
     walks = stored(walks)
     flat_labels, skeleton_labels = stored(flat_signatures(walks, snarls)), stored(skeleton_signatures(walks, snarls))
-    found = panel_of(flat_labels, skeleton_labels, walks, snarls)
-    found = {k: stored(found[k]) for k in ("flat", "skeleton", "allowed")}
+    found = {k: stored(v) for k, v in panel_of(flat_labels, skeleton_labels, walks, snarls).items()}
     sizes = found["flat"].groupBy(F.col("site").alias("snarl")).agg(F.count("*").alias("alleles"))
     routes = found["skeleton"].groupBy(F.col("site").alias("snarl")).agg(F.count("*").alias("skeletons"))
     known = stored(snarls.join(sizes, "snarl", "left").join(routes, "snarl", "left"))
-    sites, nodes = stored(feature_sites(known)), tree(known)
-    flat = flat_labels.select(F.col("snarl").alias("site"), F.col("walk").alias("hap"), "label")
-    skeleton = skeleton_labels.select(F.col("snarl").alias("site"), F.col("walk").alias("hap"), "label")
-    skeleton_calls = stored(skeleton.join(label_map(skeleton), ["site", "label"]).select(F.col("hap").alias("walk"), F.col("site").alias("snarl"), "idx"))
-    flat_calls = flat.where(F.col("label") != AMBIGUOUS).join(label_map(flat), ["site", "label"]).select(F.col("hap").alias("walk"), F.col("site").alias("snarl"), "idx")
-    used = stored(reached(walks, sites, conditions(sites, nodes, found["allowed"]), skeleton_calls))
-
-    def one_hot(kinds: Sequence[str], calls: DataFrame, alleles: DataFrame) -> DataFrame:
-        columns = dosage_columns(alleles).select(F.col("site").alias("snarl"), F.col("idx").alias("allele"), "column")
-        rows = sites.where(F.col("site_kind").isin(*kinds)).join(columns, "snarl").join(used, "snarl").join(calls, ["walk", "snarl"], "left")
-        return rows.select("walk", (F.col("feature_start") + F.col("column")).alias("feature"), (F.col("idx") == F.col("allele")).cast("double").alias("value"))
+    levels = tree(known)
+    sites = stored(feature_sites(known, levels))
+    when = stored(conditions(sites, levels, found["allowed"]))
+    return {**found, "walks": walks, "flat_labels": flat_labels, "skeleton_labels": skeleton_labels, "sites": sites, "when": when}
+
+
+def site_columns(sites: DataFrame, panel: DataFrame, *kinds: str) -> DataFrame:
+    """(snarl, allele, feature): the features of the acyclic sites of some kinds."""
+    from .alleles import dosage_columns
+
+    columns = dosage_columns(panel).select(F.col("site").alias("snarl"), F.col("idx").alias("allele"), "column")
+    return sites.where(F.col("site_kind").isin(*kinds)).join(columns, "snarl").select("snarl", "allele", (F.col("feature_start") + F.col("column")).alias("feature"))
+
+
+def encoded(walks: DataFrame, snarls: DataFrame) -> DataFrame:
+    """(walk, feature, value): the encoding of walks against their own panel; what is not traversed has no row.
+
+    Ambiguous spans are counted as alleles of the panel but have no row here.
+    """
+    from .alleles import label_map
+
+    known = learned(walks, snarls)
+    sites, walks = known["sites"], known["walks"]
+
+    def calls(labels: DataFrame) -> DataFrame:
+        named = labels.select(F.col("snarl").alias("site"), F.col("walk").alias("hap"), "label")
+        met = named.where(F.col("label") != AMBIGUOUS).join(label_map(named), ["site", "label"])
+        return met.select(F.col("hap").alias("walk"), F.col("site").alias("snarl"), "idx")
+
+    routes = stored(calls(known["skeleton_labels"]))
+
+    def one_hot(called: DataFrame, columns: DataFrame) -> DataFrame:
+        used = called.join(reached(called.select("walk", "snarl"), known["when"], routes), ["walk", "snarl"])
+        return used.join(columns, "snarl").select("walk", "feature", (F.col("idx") == F.col("allele")).cast("double").alias("value"))
 
     copies = repeat_counts(walks, snarls)
-    cyclic = sites.where("site_kind = 'cyclic'").join(used, "snarl").join(copies, ["walk", "snarl"], "left").select("walk", F.col("feature_start").alias("feature"), F.col("copies").cast("double").alias("value"))
-    values = one_hot(("leaf", "flat"), flat_calls, found["flat"]).unionByName(one_hot(("skeleton",), skeleton_calls, found["skeleton"])).unionByName(cyclic)
+    looped = copies.join(reached(copies.select("walk", "snarl"), known["when"], routes), ["walk", "snarl"]).join(sites.where("site_kind = 'cyclic'"), "snarl")
+    flat = one_hot(calls(known["flat_labels"]), site_columns(sites, known["flat"], "leaf", "flat"))
+    split = one_hot(routes, site_columns(sites, known["skeleton"], "skeleton"))
+    return flat.unionByName(split).unionByName(looped.select("walk", F.col("feature_start").alias("feature"), F.col("copies").cast("double").alias("value")))
+
+
+def grid(cells: DataFrame, who: DataFrame, sites: DataFrame) -> DataFrame:
+    """Cells (walk, feature, value) as a whole matrix, null where there is none: for few walks only, by its very size."""
     features = sites.select(F.explode(F.sequence("feature_start", F.col("feature_end") - 1)).alias("feature"))
-    grid = walks.select("walk").distinct().join(features, F.lit(True))  # the matrix asked for, one row for each cell
-    return grid.join(values, ["walk", "feature"], "left")
+    return who.join(features, F.lit(True)).join(cells, [*who.columns, "feature"], "left")
+
+
+def flat_parts(panel: DataFrame) -> DataFrame:
+    """(site, idx, node): the nodes of the flat alleles of panel(site, label, idx); pooled and reserved labels name none."""
+    return panel.select("site", "idx", F.explode(signature_nodes(F.col("label"))).alias("node"))
+
+
+def skeleton_parts(panel: DataFrame) -> DataFrame:
+    """(site, idx, node, child): the nodes and ``{child}`` parts of skeleton alleles, as skeleton_scores takes them."""
+    named = panel.where(~F.col("label").isin(OTHER, MISSING)).select("site", "idx", F.explode(F.split("label", r"[|,]")).alias("part"))
+    child = F.when(named["part"].rlike(r"^\{.+\}$"), F.expr("substring(part, 2, length(part) - 2)"))
+    node = F.when(child.isNull(), F.regexp_extract("part", "^([0-9]+)[+-]$", 1).try_cast("bigint"))
+    return named.select("site", "idx", node.alias("node"), child.alias("child")).where("node is not null or child is not null")
+
+
+def chosen(asked: DataFrame, scores: DataFrame, panel: DataFrame, parts: DataFrame) -> DataFrame:
+    """(individual, site, idx) of asked(individual, site): the allele of the largest mean, the first of several.
+
+    Where no mean is positive, it is the first allele that names a part, and OTHER where none does; a site with neither
+    has no row.
+    """
+    best = scores.where("mean > 0").groupBy("individual", "site").agg(F.max_by("idx", F.struct("mean", -F.col("idx"))).alias("best"))
+    return asked.join(best, ["individual", "site"], "left").join(first_choice(panel, parts), "site").select("individual", "site", F.coalesce("best", "first").alias("idx"))
+
+
+def first_choice(panel: DataFrame, parts: DataFrame) -> DataFrame:
+    """(site, first): the first allele with a part, or else OTHER."""
+    named = parts.groupBy("site").agg(F.min("idx").alias("named"))
+    other = panel.where(F.col("label") == OTHER).select("site", F.col("idx").alias("other"))
+    return named.join(other, "site", "full").select("site", F.coalesce("named", "other").alias("first"))
+
+
+def shared_out(asked: DataFrame, scores: DataFrame, panel: DataFrame, parts: DataFrame) -> DataFrame:
+    """(individual, site, idx, p) of asked(individual, site): means normalized in a site; 1 for the choice where all are 0."""
+    pair = ["individual", "site"]
+    positive = scores.where("mean > 0").join(asked, pair, "left_semi")
+    shares = positive.select(*pair, "idx", (F.col("mean") / F.sum("mean").over(Window.partitionBy(*pair))).alias("p"))
+    rest = asked.join(positive.select(*pair).distinct(), pair, "left_anti").join(first_choice(panel, parts), "site")
+    return shares.unionByName(rest.select(*pair, F.col("first").alias("idx"), F.lit(1.0).alias("p")))
+
+
+def encoded_values(values: DataFrame, walks: DataFrame, snarls: DataFrame) -> DataFrame:
+    """(individual, feature, value): node values(individual, node, value) encoded against a panel of walks.
+
+    Values are those of alleles.node_values. A site has rows for an individual with a positive value at its entry and
+    exit whose ancestors' best skeletons allow the site. Individuals whose values are all 0 or 1 get the best allele
+    as 0 and 1; the others get shares of the alleles. A cyclic site has the largest value of its inner nodes, or of its
+    boundary where that is 0.
+    """
+    from .alleles import hard_calls, informative, signature_scores
+
+    known, values = learned(walks, snarls), stored(values)
+    sites = known["sites"]
+    site = F.col("snarl").alias("site")
+    at = stored(traversed(values, snarls))
+    here = at.select("individual", site)
+    flat, routes = known["flat"], known["skeleton"]
+    named, route_parts = stored(flat_parts(flat)), stored(skeleton_parts(routes))
+    children = at.select("individual", F.col("snarl").cast("string").alias("child"))
+    route_scores = stored(skeleton_scores(values, route_parts, children))
+    on_routes = here.join(routes.select("site").distinct(), "site", "left_semi")
+    route_calls = stored(chosen(on_routes, route_scores, routes, route_parts))
+    used = stored(reached(at.join(sites.select("snarl"), "snarl", "left_semi"), known["when"], route_calls.withColumnRenamed("site", "snarl"), "individual"))
+    hard = hard_calls(values)
+    asked = used.join(hard, "individual").select("individual", site, "hard")
+    firm, soft = asked.where("hard").drop("hard"), asked.where("not hard").drop("hard")
+
+    def cells(p: DataFrame, pairs: DataFrame, columns: DataFrame) -> DataFrame:
+        settled = p.select("individual", "site").distinct()
+        wide = pairs.join(settled, ["individual", "site"]).join(columns.withColumnRenamed("snarl", "site").withColumnRenamed("allele", "idx"), "site")
+        return wide.join(p, ["individual", "site", "idx"], "left").select("individual", "feature", F.coalesce("p", F.lit(0.0)).alias("value"))
+
+    def both(panel: DataFrame, parts: DataFrame, all_scores: DataFrame, soft_scores: DataFrame, *kinds: str) -> DataFrame:
+        columns = stored(site_columns(sites, panel, *kinds))
+        mine = columns.select(site).distinct()
+        calls = chosen(firm.join(mine, "site", "left_semi"), all_scores, panel, parts).withColumn("p", F.lit(1.0))
+        shares = shared_out(soft.join(mine, "site", "left_semi"), soft_scores, panel, parts)
+        return cells(calls.unionByName(shares), asked.drop("hard"), columns)
+
+    leaves = both(flat, named, signature_scores(values, named), signature_scores(values, informative(named)), "leaf", "flat")
+    split = both(routes, route_parts, route_scores, route_scores, "skeleton")
+    ends = snarls.select("snarl", F.explode(F.array_distinct(F.array("entry", "exit"))).alias("node"))
+    inner = cyclic_support(values, known["cycles"]).where("support > 0").withColumnRenamed("support", "inner")
+    outer = cyclic_support(values, ends)
+    looped = used.join(sites.where("site_kind = 'cyclic'"), "snarl").join(outer, ["individual", "snarl"]).join(inner, ["individual", "snarl"], "left")
+    return leaves.unionByName(split).unionByName(looped.select("individual", F.col("feature_start").alias("feature"), F.coalesce("inner", "support").alias("value")))
 
 
 def skeleton_scores(values: DataFrame, parts: DataFrame, children: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 E-bip  lineitem as edges supplier -> 1000000 + part.   E-seq  events as walks of users over the nodes of ``props``.
 SN     ten snarls e: entry 10e, exit 10e + 5.           I-ord  orders as intervals of 7 days by customer.
 AL     parts as haplotypes: site brand, allele type|size.
+BUB    orders as walks over bubbles: at line n one of the nodes 10n, 10n + 1, 10n + 2; snarls from 10e to 10(e + 2).
 """
 
 from __future__ import annotations
@@ -81,3 +82,19 @@ def dna(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DNA = "d AS (SELECT p_partkey AS node, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTacgtACGTNacgtACGTNA') AS seq FROM part)"
+
+
+def bubbles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """walks, snarls and readings(individual, node, value): every fourth order alone and certain, the others in threes."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("flag"), F.min("l_discount").alias("d"))
+    order, line = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
+    rows = lines.select(order.alias("walk"), (line - 1).alias("step"), (line * 10 + F.col("p") % 3).alias("node"), (F.col("flag") != "R").alias("fwd"), "d")
+    sites = spark.range(1, 6).select(F.col("id").alias("snarl"), F.lit("acyclic").alias("kind"), (F.col("id") * 10).alias("entry"), (F.col("id") * 10 + 20).alias("exit"), F.lit(None).cast("bigint").alias("parent"))
+    sure = F.col("walk") % 4 == 0
+    readings = rows.select(F.when(sure, F.col("walk")).otherwise(F.col("walk") - F.col("walk") % 4 + 1).alias("individual"), "node", F.when(sure, 1.0).otherwise(F.col("d") * 10).alias("value"))
+    return rows.drop("d"), sites, readings
+
+
+BUBBLES = """b AS (SELECT l_orderkey AS walk, CAST(l_linenumber AS BIGINT) AS line, min(l_partkey) AS p, min(l_returnflag) <> 'R' AS fwd, min(l_discount) AS d FROM lineitem GROUP BY 1, 2),
+w AS (SELECT walk, line - 1 AS step, line * 10 + p % 3 AS node, fwd, d FROM b), sn AS (SELECT range AS snarl, range * 10 AS entry, range * 10 + 20 AS exit FROM range(1, 6)),
+z AS (SELECT CASE WHEN walk % 4 = 0 THEN walk ELSE walk - walk % 4 + 1 END AS individual, node, sum(CASE WHEN walk % 4 = 0 THEN 1 ELSE least(greatest(d * 10, 0), 1) END) AS value FROM w GROUP BY 1, 2)"""

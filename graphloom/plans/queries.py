@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -353,7 +354,8 @@ def segment_chunk_expand(spark, sf):
     return sequence.expanded_steps(w.withColumnRenamed("node", "name").drop("len"), chunk_index)
 
 
-@query()
+@query(f"""WITH {A.OFFSETS}, q AS (SELECT walk, step, fwd, substring('ACGTTGCA', CAST(1 + node % 2 AS INTEGER), CAST(len AS INTEGER)) AS seq, greatest(20 - s, 0) AS a, least(80, e) - s AS b FROM o WHERE s < 80 AND e > 20)
+SELECT walk, string_agg(substring(CASE WHEN fwd THEN seq ELSE translate(reverse(seq), 'ACGT', 'TGCA') END, CAST(a + 1 AS INTEGER), CAST(b - a AS INTEGER)), '' ORDER BY step) AS seq FROM q GROUP BY 1""")
 def assembled_regions(spark, sf):
     hits = coords.overlaps(A.walks(spark, sf), 20, 80)
     seqs = A.walks(spark, sf).select("node", "len").distinct().select("node", F.expr("substring('ACGTTGCA', 1 + int(node % 2), int(len))").alias("seq"))
@@ -553,7 +555,15 @@ def _nested(spark):
     return A.snarls(spark).unionByName(inner)
 
 
-@query()
+#: The spans of children within the steps of their parents: the spans of walks numbered walk * 100 + parent.
+CHILDREN = re.sub(r"\b(h|c1|c2|s1|s2|k|sp|w|sn)\b", r"\1_c", SPANS.removeprefix(f"{A.WALKS}, {A.SNARLS}, "))
+
+
+@query(f"""WITH {SPANS}, w_c AS (SELECT sp.walk * 100 + sp.snarl AS walk, row_number() OVER (PARTITION BY sp.walk, sp.snarl ORDER BY step) - 1 AS step, node, fwd FROM sp JOIN w ON w.walk = sp.walk AND step BETWEEN s AND e WHERE NOT amb),
+sn_c AS (SELECT range AS snarl, range * 10 + 1 AS entry, range * 10 + 3 AS exit FROM range(10)), {CHILDREN}, own AS (SELECT * FROM sp_c WHERE walk % 100 = snarl AND NOT amb),
+x AS (SELECT w_c.walk, CASE WHEN step > e THEN 2 ELSE 0 END AS place, least(string_agg(node || CASE WHEN fwd THEN '+' ELSE '-' END, ',' ORDER BY step), string_agg(node || CASE WHEN fwd THEN '-' ELSE '+' END, ',' ORDER BY step DESC)) AS t FROM w_c LEFT JOIN own ON own.walk = w_c.walk WHERE s IS NULL OR step < s OR step > e GROUP BY 1, 2
+UNION ALL SELECT walk, 1, '{{' || (snarl + 100) || '}}' FROM own)
+SELECT walk // 100 AS walk, walk % 100 AS snarl, string_agg(t, '|' ORDER BY place) AS label, CAST(count(*) FILTER (place = 1) AS INTEGER) AS children FROM x GROUP BY x.walk""")
 def skeleton_signature(spark, sf):
     return snarls.skeleton_signatures(A.walks(spark, sf), _nested(spark)).select("walk", "snarl", "label", F.size("children").alias("children"))
 
@@ -690,6 +700,45 @@ def traversed_snarls(spark, sf):
     return snarls.traversed(_values(spark, sf), A.snarls(spark))
 
 
+#: Node values encoded against a panel of walks: labels lb, alleles p, sites st, parts g (gi without shared nodes).
+ENCODED = f"""{A.BUBBLES}, gr AS (SELECT a.walk, snarl, a.step AS s, c.step AS e FROM sn JOIN w a ON a.node = entry JOIN w c ON c.node = exit AND c.walk = a.walk),
+lb AS (SELECT walk, snarl, least(f, r) AS label FROM (SELECT gr.walk, snarl, string_agg(node || CASE WHEN fwd THEN '+' ELSE '-' END, ',' ORDER BY step) AS f, string_agg(node || CASE WHEN fwd THEN '-' ELSE '+' END, ',' ORDER BY step DESC) AS r FROM gr JOIN w ON w.walk = gr.walk AND step BETWEEN s AND e GROUP BY 1, 2)
+UNION ALL SELECT walk, snarl, node || '+' FROM w JOIN sn ON node = entry OR node = exit WHERE NOT EXISTS (SELECT 1 FROM gr WHERE gr.walk = w.walk AND gr.snarl = sn.snarl)),
+cn AS (SELECT snarl, label, count(*) AS n FROM lb GROUP BY 1, 2), p0 AS (SELECT snarl, CASE WHEN n > 1 THEN label ELSE 'OTHER' END AS label, n = 1 AS rest, sum(n) AS n FROM cn GROUP BY 1, 2, 3),
+p AS (SELECT snarl, label, n, row_number() OVER (PARTITION BY snarl ORDER BY rest, n DESC, label) - 1 AS idx FROM p0),
+st AS (SELECT snarl, ref, sum(k - 1) OVER (ORDER BY snarl) - k + 1 AS f0 FROM (SELECT snarl, max_by(idx, (n, -idx)) AS ref, count(*) AS k FROM p GROUP BY 1) WHERE k > 1),
+g AS (SELECT snarl, idx, CAST(regexp_extract(t, '[0-9]+') AS BIGINT) AS node FROM (SELECT snarl, idx, unnest(string_split(label, ',')) AS t FROM p WHERE label <> 'OTHER')),
+sh AS (SELECT snarl, node FROM g JOIN (SELECT snarl, count(DISTINCT idx) AS k FROM g GROUP BY 1) USING (snarl) GROUP BY snarl, node, k HAVING count(DISTINCT idx) = k),
+gm AS (SELECT g.*, sh.node IS NOT NULL AS common FROM g LEFT JOIN sh ON sh.snarl = g.snarl AND sh.node = g.node), gi AS (SELECT snarl, idx, node FROM (SELECT *, bool_and(common) OVER (PARTITION BY snarl, idx) AS alone FROM gm) WHERE alone OR NOT common),
+hd AS (SELECT individual, bool_and(abs(value) <= 1e-12 OR abs(value - 1) <= 1e-12) AS hard FROM z GROUP BY 1),
+vis AS (SELECT individual, hard, snarl, ref, f0 FROM st JOIN sn USING (snarl) JOIN z x ON x.node = entry AND x.value > 0 JOIN z y USING (individual) JOIN hd USING (individual) WHERE y.node = exit AND y.value > 0),
+q AS (SELECT snarl, coalesce((SELECT min(idx) FROM g WHERE g.snarl = o.snarl), o.idx) AS pick FROM (SELECT snarl, max(idx) AS idx FROM p GROUP BY 1) o),
+sc AS (SELECT individual, snarl, idx, round(sum(value) / size, 9) AS mean FROM g JOIN z USING (node) JOIN (SELECT snarl, idx, count(*) AS size FROM g GROUP BY 1, 2) USING (snarl, idx) GROUP BY 1, 2, 3, size HAVING sum(value) > 0),
+si AS (SELECT individual, snarl, idx, sum(value) / size AS mean FROM gi JOIN z USING (node) JOIN (SELECT snarl, idx, count(*) AS size FROM gi GROUP BY 1, 2) USING (snarl, idx) GROUP BY 1, 2, 3, size HAVING sum(value) > 0),
+bs AS (SELECT individual, snarl, max_by(idx, (mean, -idx)) AS best FROM sc GROUP BY 1, 2), tt AS (SELECT individual, snarl, sum(mean) AS total FROM si GROUP BY 1, 2),
+en AS (SELECT vis.individual, CAST(f0 + CASE WHEN p.idx < ref THEN p.idx ELSE p.idx - 1 END AS BIGINT) AS feature,
+CASE WHEN hard THEN CASE WHEN p.idx = coalesce(best, pick) THEN 1.0 ELSE 0.0 END WHEN total IS NULL THEN CASE WHEN p.idx = pick THEN 1.0 ELSE 0.0 END ELSE coalesce(mean, 0.0) / total END::DOUBLE AS value
+FROM vis JOIN p ON p.snarl = vis.snarl AND p.idx <> ref JOIN q ON q.snarl = vis.snarl LEFT JOIN bs ON bs.individual = vis.individual AND bs.snarl = vis.snarl LEFT JOIN tt ON tt.individual = vis.individual AND tt.snarl = vis.snarl LEFT JOIN si ON si.individual = vis.individual AND si.snarl = vis.snarl AND si.idx = p.idx)"""
+
+
+def _encoded_values(spark, sf):
+    walks, sites, readings = A.bubbles(spark, sf)
+    return snarls.encoded_values(alleles.node_values(readings), walks, sites)
+
+
+@query(f"WITH {ENCODED} SELECT individual, feature, round(value + 1e-9, 6) AS value FROM en")
+def encode_node_values(spark, sf):
+    # shares are often sums of halves: off the ties of rounding
+    return _encoded_values(spark, sf).withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+@query(f"WITH {ENCODED} SELECT individual // 8 AS pair, feature, round(sum(value), 5) AS value FROM en WHERE individual % 4 = 0 GROUP BY 1, 2")
+def diploid_node_values(spark, sf):
+    sure = index.stored(_encoded_values(spark, sf)).where("individual % 4 = 0").select(F.floor(F.col("individual") / 8).alias("pair"), (F.col("individual") % 8 == 0).alias("left"), "feature", "value")
+    left, right = sure.where("left").drop("left"), sure.where("not left").drop("left")
+    return alleles.diploid(left, right, ["pair", "feature"]).withColumn("value", F.round("value", 5))
+
+
 @query(f"WITH {A.PANEL}, s AS (SELECT site, min(frequency) AS lo, sum(frequency) AS t, max(idx) AS l, count(*) AS k FROM p GROUP BY 1) SELECT unnest(['negative', 'sum', 'gap']) AS rule, unnest([sum(CASE WHEN lo < 0 THEN 1 ELSE 0 END), sum(CASE WHEN abs(t - 1) > 1e-9 THEN 1 ELSE 0 END), sum(CASE WHEN l + 1 <> k THEN 1 ELSE 0 END)])::BIGINT AS broken FROM s")
 def panel_expectations(spark, sf):
     return alleles.expectations(alleles.pooled(A.allele_calls(spark, sf)))

@@ -190,10 +190,13 @@ def test_panel_and_encoding(spark):
     skeleton = sorted((r["idx"], r["frequency"]) for r in found["skeleton"].collect())
     assert len(skeleton) == 2 and math.isclose(skeleton[0][1], 2 / 3)
     assert [tuple(r) for r in found["allowed"].collect()] == [("outer", "inner", [0])]
-    encoded = {(r["walk"], r["feature"]): r["value"] for r in snarls.encoded(w, t).collect()}
-    assert (encoded["h2", 0], encoded["h2", 1]) == (1.0, None)
+    cells, sites = index.stored(snarls.encoded(w, t)), spark.createDataFrame([(0, 1), (1, 2)], "feature_start long, feature_end long")
+    encoded = {(r["walk"], r["feature"]): r["value"] for r in cells.collect()}
+    assert encoded["h2", 0] == 1.0 and ("h2", 1) not in encoded
     assert (encoded["h1", 0], encoded["h1", 1]) == (0.0, 0.0)
     assert encoded["h3", 1] == 1.0
+    whole = {(r["walk"], r["feature"]): r["value"] for r in snarls.grid(cells, w.select("walk").distinct(), sites).collect()}
+    assert len(whole) == 12 and whole["h2", 1] is None and all(whole[k] == v for k, v in encoded.items())
 
 
 def test_spans(spark):
@@ -211,6 +214,8 @@ def test_spans(spark):
 
 def test_topology_errors(spark):
     schema = "snarl long, kind string, entry long, exit long, parent long"
+    with pytest.raises(snarls.TopologyError, match="twice"):
+        snarls.tree(spark.createDataFrame([(1, "acyclic", 1, 2, None), (1, "cyclic", 3, 4, None)], schema))
     with pytest.raises(snarls.TopologyError, match="missing"):
         snarls.tree(spark.createDataFrame([(1, "acyclic", 1, 2, 9)], schema))
     with pytest.raises(snarls.TopologyError, match="cycle"):
@@ -237,6 +242,25 @@ def test_repeats(spark):
     assert snarls.repeat_counts(w, t).first()["copies"] == 2
 
 
+def test_encoding_of_node_values(spark):
+    w, t = panel_fixture(spark)
+    # skeletons of outer: {inner} between 1 and 4 (4 walks), and 1, 5, 4 (2); inner: 2, 3 and 2, 6, 3, equally often
+    sure = {"a": [1, 2, 3, 4], "b": [1, 5, 4], "c": [1, 2, 6, 3, 4], "d": [1, 2, 3]}
+    rows = [(i, n, 1.0) for i, nodes in sure.items() for n in nodes]
+    rows += [("e", n, v) for n, v in ((1, 1.0), (2, 0.5), (6, 0.25), (3, 0.5), (4, 1.0), (5, 0.5))] + [("f", 1, 0.5), ("f", 4, 0.5)]
+    values = spark.createDataFrame(rows, "individual string, node long, value double")
+    got = {(r["individual"], r["feature"]): r["value"] for r in snarls.encoded_values(values, w, t).collect()}
+    # c has all nodes of both alleles of inner, and the first counts;
+    # of d outer's exit has no value, so neither site is traversed; of f inner's boundary has none
+    assert {k: v for k, v in got.items() if k[0] in "abcd"} == {("a", 0): 0.0, ("a", 1): 0.0, ("b", 0): 1.0, ("c", 0): 0.0, ("c", 1): 0.0}
+    # e: skeletons 1+, {inner}, 4+ with mean 1 and 1+, 5+, 4+ with mean 5/6; of inner 2, 3 has no node of its own
+    assert math.isclose(got["e", 0], (5 / 6) / (1 + 5 / 6)) and math.isclose(got["e", 1], 0.25 / 0.75)
+    assert math.isclose(got["f", 0], (1 / 3) / (1 / 3 + 1 / 3)) and ("f", 1) not in got
+    rings = spark.createDataFrame([("r", "cyclic", 1, 4, None)], t.schema)
+    of = {(r["individual"], r["feature"]): r["value"] for r in snarls.encoded_values(values, w, rings).collect()}
+    assert of == {("a", 0): 1.0, ("b", 0): 1.0, ("c", 0): 1.0, ("e", 0): 0.5, ("f", 0): 0.5}
+
+
 def test_bounded_reach(spark):
     lens = spark.createDataFrame([(n, 3) for n in range(5)], "node long, len long")
     e = edges(spark, [(0, 1), (1, 2), (2, 3), (3, 4)])
