@@ -133,6 +133,11 @@ def list_walks(parts: dict[str, DataFrame]) -> DataFrame:
     return parts["paths"].join(coords.lengths(parts["walks"]), "walk").select("walk", "sample", "phase", "contig", "fragment", "length", "steps")
 
 
+def name_counts(paths: DataFrame) -> DataFrame:
+    """(samples, haplotypes, contigs): how many different ones paths(sample, phase, contig, ...) name."""
+    return paths.agg(F.countDistinct("sample").alias("samples"), F.countDistinct(F.struct("sample", "phase")).alias("haplotypes"), F.countDistinct("contig").alias("contigs"))
+
+
 def lowest_eigenvalues(edges: DataFrame, start: int, end: int, k: int = 10) -> DataFrame:
     """(k, eigenvalue): the smallest eigenvalues of a node range, exact or by Lanczos as its size asks."""
 

@@ -802,6 +802,21 @@ def weighted_importance(spark, sf):
     return matrices.weighted_importance(cells.select("row", F.col("col").alias("k"), F.col("value").alias("v")), values).withColumn("importance", F.round("importance", 5))
 
 
+@query(f"WITH {CELLS}, v AS (SELECT col AS k, sum(value) AS x FROM c GROUP BY 1), f AS (SELECT min(x) AS lo, max(x) AS hi FROM v), i AS (SELECT row, round(sum(abs(value) * (x - lo) / (hi - lo)), 5) AS importance FROM c JOIN v ON v.k = c.col, f GROUP BY 1) SELECT row, row_number() OVER (ORDER BY importance DESC, row) - 1 AS place FROM i")
+def importance_rank(spark, sf):
+    return index.with_rank(weighted_importance(spark, sf), F.desc("importance"), "row", name="place").select("row", "place")
+
+
+@query("SELECT count(DISTINCT c_custkey % 50) AS samples, count(DISTINCT (c_custkey % 50, c_custkey % 3)) AS haplotypes, count(DISTINCT c_nationkey) AS contigs FROM customer")
+def name_counts(spark, sf):
+    from ..sources import gfa
+    from .pipelines import name_counts as counts
+
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("s"), (key % 50).cast("string"), F.lit("#"), (key % 3).cast("string"), F.lit("#chr"), F.col("c_nationkey").cast("string"))
+    return counts(gfa.path_names(A.table(spark, sf, "customer").select(name.alias("walk"))))
+
+
 @query("""WITH t AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+') AS a FROM documents), x AS (SELECT doc_id, unnest(a) AS word, unnest(range(len(a))) AS i FROM t),
 n AS (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM x WHERE word <> ''), e AS (SELECT DISTINCT least(word, nxt) AS a, greatest(word, nxt) AS b FROM n WHERE nxt IS NOT NULL AND word <> nxt)
 SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1""")
