@@ -1,21 +1,22 @@
 """Linear coordinates of walks: walks(walk, step, node, fwd, len) and what regions of them hold.
 
-Offsets are a running sum within a walk. A walk is one sorted run of narrow rows that Spark may spill; nothing of a
-walk is collected.
+Offsets are a running sum within a walk, in blocks of steps (see blocks): a walk of any length is many tasks, and
+nothing of a walk is collected. ``size`` is the number of steps, or of places, of a block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .index import kept
 
 
-def offsets(walks: DataFrame) -> DataFrame:
+def offsets(walks: DataFrame, size: int = blocks.STEPS) -> DataFrame:
     """Adds start and end, half-open, of each step along its walk."""
-    before = F.sum("len").over(Window.partitionBy("walk").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    return walks.withColumn("start", F.coalesce(before, F.lit(0))).withColumn("end", F.col("start") + F.col("len"))
+    summed = blocks.running(walks, ["walk"], ["step"], F.col("len"), "start", before=True, size=size)
+    return summed.withColumn("start", F.coalesce("start", F.lit(0))).withColumn("end", F.col("start") + F.col("len"))
 
 
 def lengths(walks: DataFrame) -> DataFrame:
@@ -45,15 +46,15 @@ def region_overlaps(walks: DataFrame, regions: DataFrame, bucket: int = 256) ->
     return met.withColumns({"off_start": F.greatest(F.col("lo") - F.col("start"), F.lit(0)), "off_end": F.least("hi", "end") - F.col("start")})
 
 
-def seek(walks: DataFrame, targets: DataFrame, every: int = 10) -> DataFrame:
+def seek(walks: DataFrame, targets: DataFrame, every: int = 10, size: int = blocks.PLACES) -> DataFrame:
     """(walk, target, step, start): the last sampled step (every so many) that starts at or before a target."""
     samples = offsets(walks).where(F.col("step") % every == 0).select("walk", "step", "start")
     placed = samples.select("walk", F.col("start").alias("at"), F.lit(0).alias("kind"), "step", "start", F.lit(None).cast("bigint").alias("target"))
     asked = targets.select("walk", F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("step"), F.lit(None).cast("bigint").alias("start"), "target")
     # samples come before targets of the same place; the last sample before a target is carried forward
-    order = Window.partitionBy("walk").orderBy("at", "kind", "step").rowsBetween(Window.unboundedPreceding, 0)
-    carried = placed.unionByName(asked).withColumns({"step": F.last("step", True).over(order), "start": F.last("start", True).over(order)})
-    return carried.where("kind = 1").select("walk", "target", "step", "start")
+    both = placed.unionByName(asked).withColumn("sample", F.when(F.col("kind") == 0, F.struct("step", "start")))
+    carried = blocks.carried(both, ["walk"], ["at", "kind", "step"], F.col("sample"), "found", size=size)
+    return carried.where("kind = 1").select("walk", "target", "found.step", "found.start")
 
 
 def anchors(walks: DataFrame, start: int, end: int) -> DataFrame:
@@ -71,7 +72,7 @@ def forward_offsets(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"fwd_start": a, "fwd_end": b})
 
 
-def between_anchors(walks: DataFrame, first: int, last: int, reach: DataFrame | None = None) -> DataFrame:
+def between_anchors(walks: DataFrame, first: int, last: int, reach: DataFrame | None = None, size: int = blocks.STEPS) -> DataFrame:
     """The steps of each walk from a visit of node ``first`` to the next visit of ``last``: its earliest such stretch.
 
     With reach(node), a walk that leaves these nodes starts anew: a stretch lies within one run of steps inside. Further
@@ -81,8 +82,8 @@ def between_anchors(walks: DataFrame, first: int, last: int, reach: DataFrame |
     inside = walks.withColumn("run", F.lit(0).cast("bigint"))
     if reach is not None:
         marked = walks.join(reach.select("node", F.lit(True).alias("inside")).distinct(), "node", "left")
-        order = Window.partitionBy("walk").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-        inside = marked.withColumn("run", F.count(F.when(F.col("inside").isNull(), 1)).over(order)).where("inside")
+        outside = F.when(F.col("inside").isNull(), 1).otherwise(0)
+        inside = blocks.running(marked, ["walk"], ["step"], outside, "run", size=size).where("inside")
     begins = inside.where(F.col("node") == first).groupBy("walk", "run").agg(F.min("step").alias("begin"))
     ends = inside.where(F.col("node") == last).select("walk", "run", "step").join(begins, ["walk", "run"]).where("step >= begin")
     stretch = ends.groupBy("walk").agg(F.min(F.struct(F.col("step").alias("stop"), "begin")).alias("s"))
@@ -103,14 +104,37 @@ def candidate_walks(walks: DataFrame, names: DataFrame, node: int, sample: str,
 def bounded_reach(edges: DataFrame, lengths_of: DataFrame, sources: DataFrame, cap: int, stop: int | None = None) -> DataFrame:
     """(node, cost): least bases before a node over paths from sources(node), up to cap, not going on from ``stop``.
 
-    One frontier join and one combinable minimum a round; each round is cut into the shared folder.
+    Edges are gone along in both directions, whatever their orientation.
     """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    steps = both.join(lengths_of.select(F.col("node").alias("src"), "len"), "src")
+    return _spread(steps, sources.select("node"), cap, None if stop is None else F.col("node") != stop)
+
+
+def oriented_reach(links: DataFrame, lengths_of: DataFrame, sources: DataFrame, cap: int, stop: int | None = None) -> DataFrame:
+    """As bounded_reach over links(src, src_fwd, dst, dst_fwd), as walks may go: a node is left on the strand it is
+    entered on. Sources are entered on both strands; a link is gone along as it stands, or back on the other strands.
+    Nodes of no length are neither reached nor gone on from. The cost of a node is the lesser of its strands.
+    """
+    from ..functions.scalars import oriented
+
+    ahead = links.select(oriented(F.col("src"), F.col("src_fwd")).alias("src"), oriented(F.col("dst"), F.col("dst_fwd")).alias("dst"))
+    back = links.select(oriented(F.col("dst"), ~F.col("dst_fwd")).alias("src"), oriented(F.col("src"), ~F.col("src_fwd")).alias("dst"))
+    real = lengths_of.where("len > 0").select("node", "len")
+    steps = ahead.unionByName(back).distinct().withColumn("node", F.shiftright("src", 1)).join(real, "node").select("src", "dst", "len")
+    begin = sources.join(real, "node", "left_semi").select(F.explode(F.array(F.shiftleft("node", 1), F.shiftleft("node", 1) + 1)).alias("node"))
+    found = _spread(steps, begin, cap, None if stop is None else F.shiftright("node", 1) != stop)
+    return found.groupBy(F.shiftright("node", 1).alias("node")).agg(F.min("cost").alias("cost")).join(real, "node", "left_semi")
+
+
+def _spread(steps: DataFrame, sources: DataFrame, cap: int, goes_on: Column | None) -> DataFrame:
+    """(node, cost) over steps(src, dst, len). One frontier join and one combinable minimum a round, each round cut into
+    the shared folder."""
     reached = kept(sources.select("node", F.lit(0).cast("bigint").alias("cost")).distinct())
-    frontier = reached
-    both = kept(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().join(lengths_of.select(F.col("node").alias("src"), "len"), "src"))
+    frontier, steps = reached, kept(steps)
     while True:
-        on = frontier if stop is None else frontier.where(F.col("node") != stop)
-        found = on.join(both, on["node"] == both["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("len")).alias("cost")).where(F.col("cost") <= cap).groupBy("node").agg(F.min("cost").alias("new"))
+        on = frontier if goes_on is None else frontier.where(goes_on)
+        found = on.join(steps, on["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("len")).alias("cost")).where(F.col("cost") <= cap).groupBy("node").agg(F.min("cost").alias("new"))
         joined = kept(reached.join(found, "node", "full").select("node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("moved")))
         reached = joined.select("node", "cost")
         frontier = joined.where("moved").select("node", "cost")
@@ -118,7 +142,8 @@ def bounded_reach(edges: DataFrame, lengths_of: DataFrame, sources: DataFrame, c
             return reached
 
 
-def capped(walks: DataFrame, nodes: int, bases: int) -> DataFrame:
+def capped(walks: DataFrame, nodes: int, bases: int, size: int = blocks.STEPS) -> DataFrame:
     """The steps of each walk up to a number of nodes and of bases."""
-    order = Window.partitionBy("walk").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return walks.withColumns({"seen": F.count("*").over(order), "sum": F.sum("len").over(order)}).where((F.col("seen") <= nodes) & (F.col("sum") <= bases)).drop("seen", "sum")
+    counted = blocks.running(walks, ["walk"], ["step"], F.lit(1), "seen", size=size)
+    summed = blocks.running(counted, ["walk"], ["step"], F.col("len"), "sum", size=size)
+    return summed.where((F.col("seen") <= nodes) & (F.col("sum") <= bases)).drop("seen", "sum")

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """Each edge with its lesser end first."""
@@ -30,24 +32,30 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
-def step_pairs(walks: DataFrame) -> DataFrame:
+def step_pairs(walks: DataFrame, size: int = blocks.STEPS) -> DataFrame:
     """Consecutive steps of walks(walk, step, node, fwd): walk, step, src, src_fwd, dst, dst_fwd."""
-    at = Window.partitionBy("walk").orderBy("step")
-    pairs = walks.select("walk", "step", F.col("node").alias("src"), F.col("fwd").alias("src_fwd"), F.lead("node").over(at).alias("dst"), F.lead("fwd").over(at).alias("dst_fwd"))
-    return pairs.where("dst is not null")
+    pairs = blocks.following(walks.select("walk", "step", "node", "fwd"), ["walk"], "step", "node", "fwd", size=size)
+    named = pairs.select("walk", "step", F.col("node").alias("src"), F.col("fwd").alias("src_fwd"), F.col("next.node").alias("dst"), F.col("next.fwd").alias("dst_fwd"))
+    return named.where("dst is not null")
 
 
-def transitions(walks: DataFrame) -> DataFrame:
-    """How often each oriented pair is walked, in both directions of every walk."""
+def transitions(walks: DataFrame, size: int = blocks.STEPS) -> DataFrame:
+    """How often each oriented pair is walked, in both directions of every walk: a pair read backwards is its ends
+    swapped and turned, so the walks are paired once."""
     from ..functions.scalars import oriented
 
-    return step_pairs(both_directions(walks)).groupBy(oriented(F.col("src"), F.col("src_fwd")).alias("from_node"), oriented(F.col("dst"), F.col("dst_fwd")).alias("to_node")).agg(F.count("*").alias("n"))
+    def pair(a: str, a_fwd, b: str, b_fwd):
+        return F.struct(oriented(F.col(a), a_fwd).alias("from_node"), oriented(F.col(b), b_fwd).alias("to_node"))
+
+    src, dst = F.col("src_fwd"), F.col("dst_fwd")
+    both = step_pairs(walks, size).select(F.explode(F.array(pair("src", src, "dst", dst), pair("dst", ~dst, "src", ~src))).alias("p"))
+    return both.groupBy("p.from_node", "p.to_node").agg(F.count("*").alias("n"))
 
 
 def both_directions(walks: DataFrame) -> DataFrame:
     """Walks and their reverses, told apart by the column ``reverse``; walk is that pair's key."""
-    last = F.max("step").over(Window.partitionBy("walk"))
-    turned = walks.select("walk", (last - F.col("step")).alias("step"), "node", (~F.col("fwd")).alias("fwd"))
+    ends_at = walks.groupBy("walk").agg(F.max("step").alias("__last"))
+    turned = walks.join(ends_at, "walk").select("walk", (F.col("__last") - F.col("step")).alias("step"), "node", (~F.col("fwd")).alias("fwd"))
 
     def marked(w: DataFrame, reverse: bool) -> DataFrame:
         return w.select(F.struct("walk", F.lit(reverse).alias("reverse")).alias("walk"), "step", "node", "fwd")

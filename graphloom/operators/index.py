@@ -78,7 +78,7 @@ def contiguous_index(ids: DataFrame) -> DataFrame:
 
 
 def index_edges(links: DataFrame, index: DataFrame) -> DataFrame:
-    """edges(src, dst) of links(src, dst) by name; links with an unknown end are dropped."""
-    src = index.select(F.col("name").alias("src"), F.col("idx").alias("a"))
-    dst = index.select(F.col("name").alias("dst"), F.col("idx").alias("b"))
-    return links.join(src, "src").join(dst, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    """links(src, dst, ...) by name with both ends as indices; links with an unknown end are dropped."""
+    src = index.select(F.col("name").alias("src"), F.col("idx").alias("__a"))
+    dst = index.select(F.col("name").alias("dst"), F.col("idx").alias("__b"))
+    return links.join(src, "src").join(dst, "dst").withColumns({"src": F.col("__a"), "dst": F.col("__b")}).select(*links.columns)

@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 
-def merged(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, start, end) with overlapping and touching intervals merged."""
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    island = intervals.select(*by, "start", "end").distinct().withColumn("new", new).withColumn("island", F.sum("new").over(order))
+
+def merged(intervals: DataFrame, by: Sequence[str], size: int = blocks.PLACES) -> DataFrame:
+    """(by, start, end) with overlapping and touching intervals merged.
+
+    Keys are cut into blocks of ``size`` places, so that one key may hold most intervals.
+    """
+    order = ["start", "end"]
+    reached = blocks.running(intervals.select(*by, *order).distinct(), by, order, F.col("end"), "before", F.max, True, size, True)
+    new = F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)
+    island = blocks.running(reached.withColumn("new", new), by, order, F.col("new"), "island", size=size, nulls=True)
     return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -24,10 +29,10 @@ def report(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["text"]), ", ").alias("ranges"))
 
 
-def id_runs(ids: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+def id_runs(ids: DataFrame, by: Sequence[str], name: str, size: int = blocks.PLACES) -> DataFrame:
     """(by, start, end) of runs of consecutive ids."""
-    order = Window.partitionBy(*by).orderBy(name)
-    runs = ids.select(*by, name).distinct().withColumn("run", F.col(name) - F.row_number().over(order))
+    counted = blocks.running(ids.select(*by, name).distinct(), by, [name], F.lit(1), "run", size=size, nulls=True)
+    runs = counted.withColumn("run", F.col(name) - F.col("run"))
     return runs.groupBy(*by, "run").agg(F.min(name).alias("start"), F.max(name).alias("end")).drop("run")
 
 

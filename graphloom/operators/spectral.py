@@ -1,7 +1,8 @@
-"""Spectra and entropy scores of small dense blocks, one group of rows at a time.
+"""Spectra and entropy scores of blocks, one group of rows at a time.
 
 A block is one window's or region's matrix. Its size is bounded by the window, not by the corpus, so a grouped pandas
-function holds it; everything around it stays relational.
+function holds it; everything around it stays relational. Full spectra take a dense matrix; Lanczos' steps and random
+probes only ever multiply the entries with vectors.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..functions.scalars import x_ln_x
 
 #: Blocks above this order are solved for their smallest eigenvalues only.
 FULL_ORDER, MOST_PAIRS, MOST_STEPS = 4096, 256, 512
+#: Numbers in the vectors that Lanczos' steps keep of one block (1 GB); a larger block is refused.
+MOST_KEPT = 1 << 27
 EPS = 1e-9
 
 
@@ -32,6 +35,32 @@ def dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return nodes, m
 
 
+class Entries:
+    """A symmetric matrix as the entries of a coordinate list, in the order of its nodes."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        self.nodes = np.unique(np.concatenate([row, col]))
+        by_row = np.argsort(row, kind="stable")
+        self.row, self.col = np.searchsorted(self.nodes, row[by_row]), np.searchsorted(self.nodes, col[by_row])
+        self.value = pdf["value"].to_numpy(float)[by_row]
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        if x.ndim == 2:
+            return np.column_stack([self @ x[:, k] for k in range(x.shape[1])])
+        return np.bincount(self.row, self.value * x[self.col], len(self))
+
+    def trace(self) -> float:
+        return float(self.value[self.row == self.col].sum())
+
+    def bound(self) -> float:
+        """The largest absolute row sum, 1 at least: no eigenvalue is larger."""
+        return max(1.0, float(np.bincount(self.row, np.abs(self.value), len(self)).max(initial=0.0)))
+
+
 def full_spectrum(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending eigenvalues, and eigenvectors in columns, of a symmetric matrix."""
     if m.ndim != 2 or m.shape[0] != m.shape[1]:
@@ -39,40 +68,57 @@ def full_spectrum(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.linalg.eigh(m)
 
 
-def lanczos(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, extra: int = 32, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenpairs of a symmetric operator, with full reorthogonalization."""
+def lanczos(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, extra: int = 32, most: int = MOST_STEPS, tolerance: float = 1e-9, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenpairs of a symmetric operator, with full reorthogonalization.
+
+    At least k + extra steps are done, then ``extra`` at a time until the residuals of all k pairs are within the
+    tolerance of the largest value, or ``most`` steps are done.
+    """
     k = min(k, n)
-    m = min(max(k + extra, k + 4), n, MOST_STEPS)
-    q = np.zeros((n, m))
-    alpha, beta = np.zeros(m), np.zeros(m)
+    most = min(most, n)
+    q = np.zeros((n, min(k + extra, most)))
+    alpha, beta = np.zeros(most), np.zeros(most)
     rng = np.random.default_rng(seed)
     v = rng.standard_normal(n)
-    q[:, 0] = v / np.linalg.norm(v)
-    for j in range(m):
-        w = apply(q[:, j])
-        alpha[j] = q[:, j] @ w
+    v /= np.linalg.norm(v)
+    for j in range(most):
+        if j == q.shape[1]:
+            q = np.hstack([q, np.zeros((n, min(extra, most - j)))])
+        q[:, j] = v
+        w = apply(v)
+        alpha[j] = v @ w
         for _ in range(2):
             w = w - q[:, : j + 1] @ (q[:, : j + 1].T @ w)
         beta[j] = np.linalg.norm(w)
-        if j + 1 == m:
-            break
+        if j + 1 == q.shape[1]:
+            values, vectors = np.linalg.eigh(np.diag(alpha[: j + 1]) + np.diag(beta[:j], 1) + np.diag(beta[:j], -1))
+            if j + 1 == most or (beta[j] * np.abs(vectors[-1, :k]) <= tolerance * max(1.0, np.abs(values).max())).all():
+                break
         if beta[j] < 1e-12:  # an invariant subspace: go on in its complement
             w = rng.standard_normal(n)
             w = w - q[:, : j + 1] @ (q[:, : j + 1].T @ w)
             beta[j] = 0.0
-            q[:, j + 1] = w / np.linalg.norm(w)
-            continue
-        q[:, j + 1] = w / beta[j]
-    t = np.diag(alpha) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1)
-    values, vectors = np.linalg.eigh(t)
+        v = w / np.linalg.norm(w)
     return values[:k], q @ vectors[:, :k]
 
 
-def smallest(m: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest eigenvalues: exactly up to FULL_ORDER, by Lanczos beyond it."""
-    if len(m) <= FULL_ORDER:
-        return full_spectrum(m)[0][:k]
-    return lanczos(lambda x: m @ x, len(m), min(k, MOST_PAIRS))[0]
+def smallest(pdf: pd.DataFrame, k: int, full: int = FULL_ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, the k smallest eigenvalues and their vectors in columns: exactly up to ``full`` nodes, by Lanczos beyond.
+
+    A vector's entry of largest size is positive. Lanczos finds a repeated value once, until its space is used up.
+    """
+    m = Entries(pdf)
+    if len(m) <= full:
+        values, vectors = full_spectrum(dense(pdf)[1])
+        values, vectors = values[:k], vectors[:, :k]
+    else:
+        k = min(k, MOST_PAIRS)
+        most = min(MOST_STEPS, MOST_KEPT // len(m))
+        if most < k + 32:
+            raise SpectrumError(f"a block of {len(m)} nodes and {k} pairs; the bound is {MOST_KEPT} numbers")
+        values, vectors = lanczos(lambda x: m @ x, len(m), k, most=most)
+    top = np.abs(vectors).argmax(axis=0) if len(vectors) else np.zeros(0, int)
+    return m.nodes, values, vectors * np.where(vectors[top, np.arange(len(values))] < 0, -1.0, 1.0)
 
 
 def chebyshev(f: Callable[[np.ndarray], np.ndarray], top: float, degree: int) -> np.ndarray:
@@ -141,11 +187,11 @@ def block_scores(coo: DataFrame, by: str, exact: bool = True, degree: int = 64,
     """(by, nodes, score) of each block, from its spectrum or by random probes."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, m = dense(pdf)
+        m = Entries(pdf)
         if exact:
-            score = entropy_score(full_spectrum(m)[0], strict=False)
+            score = entropy_score(full_spectrum(dense(pdf)[1])[0], strict=False)
         else:
-            score = hutchinson(lambda x: m @ x, len(m), float(np.trace(m)), max(1.0, float(np.abs(m).sum(axis=1).max())), degree, probes)
+            score = hutchinson(lambda x: m @ x, len(m), m.trace(), m.bound(), degree, probes)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "nodes": [len(m)], "score": [score]})
 
     return coo.groupBy(by).applyInPandas(solve, f"{by} long, nodes long, score double")

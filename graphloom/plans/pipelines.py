@@ -18,23 +18,23 @@ ASSEMBLIES = ("grch38", "chm13", "hg38", "t2t", "")
 
 
 def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """nodes(name, seq, len, node), edges(src, dst), walks(walk, step, node, fwd, len) and paths(walk, sample, contig...)."""
+    """nodes(name, seq, len, node), edges(src, dst), links(src, src_fwd, dst, dst_fwd), walks(walk, step, node, fwd, len) and paths(walk, sample, contig...)."""
     rows = gfa.lines(spark, path)
     segs = gfa.segments(rows)
     idx = index.node_index(segs.select("name"))
     nodes = segs.dropDuplicates(["name"]).join(idx, "name").select("name", "seq", F.coalesce(F.length("seq"), F.lit(0)).cast("bigint").alias("len"), F.col("idx").alias("node"))
-    edges = index.index_edges(gfa.links(rows).select("src", "dst"), idx)
+    links = index.index_edges(gfa.links(rows), idx)
     steps = gfa.path_steps(rows).unionByName(gfa.walk_steps(rows).select("walk", "step", "name", "fwd"))
     named = steps.withColumn("walk", three_field_name(F.col("walk")))
     walks = named.join(nodes.select("name", "node", "len"), "name").select("walk", "step", "node", "fwd", "len")
-    return {"nodes": nodes, "edges": edges, "walks": walks, "paths": gfa.path_names(named.select("walk").distinct())}
+    return {"nodes": nodes, "edges": links.select("src", "dst"), "links": links, "walks": walks, "paths": gfa.path_names(named.select("walk").distinct())}
 
 
 def convert(spark: SparkSession, path: str, out: str) -> None:
     """Graph text to an edge table laid out by source node, and the node index."""
     parts = bundle(spark, path)
     sinks.edges(parts["edges"], f"{out}/edges")
-    sinks.bundle(out, nodes=parts["nodes"], walks=parts["walks"], paths=parts["paths"])
+    sinks.bundle(out, nodes=parts["nodes"], links=parts["links"], walks=parts["walks"], paths=parts["paths"])
 
 
 def extract(edges: DataFrame, start: int, end: int) -> dict[str, DataFrame]:
@@ -95,7 +95,7 @@ def anchored_walks(parts: dict[str, DataFrame], region: str, assemblies: Sequenc
     """Of every walk the steps between the region's first and last reference node, within reach of the first.
 
     Of several reference walks that meet the region the longest is taken, and of those the first by name. A walk that
-    leaves the reach starts anew; all complete walks are returned. Reach is counted over edges in either direction.
+    leaves the reach starts anew; all complete walks are returned. Reach goes along links as walks may.
     """
     contig, start, end = parse(region)
     on = reference_walks(parts["walks"], parts["paths"], contig, assemblies)
@@ -104,7 +104,7 @@ def anchored_walks(parts: dict[str, DataFrame], region: str, assemblies: Sequenc
     if not ends:
         return parts["walks"].limit(0).select("walk", "step", "node", "fwd")
     first, last = ends[0]["first"], ends[0]["last"]
-    near = coords.bounded_reach(parts["edges"], parts["nodes"].select("node", "len"), parts["nodes"].where(F.col("node") == first).select("node"), end - start + slack, last)
+    near = coords.oriented_reach(parts["links"], parts["nodes"].select("node", "len"), parts["nodes"].where(F.col("node") == first).select("node"), end - start + slack, last)
     return coords.between_anchors(parts["walks"], first, last, near)
 
 
@@ -138,12 +138,19 @@ def name_counts(paths: DataFrame) -> DataFrame:
     return paths.agg(F.countDistinct("sample").alias("samples"), F.countDistinct(F.struct("sample", "phase")).alias("haplotypes"), F.countDistinct("contig").alias("contigs"))
 
 
-def lowest_eigenvalues(edges: DataFrame, start: int, end: int, k: int = 10) -> DataFrame:
-    """(k, eigenvalue): the smallest eigenvalues of a node range, exact or by Lanczos as its size asks."""
+def lowest_eigenpairs(edges: DataFrame, start: int, end: int, k: int = 10) -> DataFrame:
+    """(k, eigenvalue, residual, node, entry): the smallest eigenpairs of a node range, exact or by Lanczos as its size
+    asks. The residual is the length of M v - value v, which tells how far Lanczos' steps went."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = spectral.smallest(spectral.dense(pdf)[1], k)
-        return pd.DataFrame({"k": np.arange(len(values)), "eigenvalue": values})
+        nodes, values, vectors = spectral.smallest(pdf, k)
+        at, left = np.arange(len(values)), np.linalg.norm(spectral.Entries(pdf) @ vectors - vectors * values, axis=0)
+        return pd.DataFrame({"k": np.repeat(at, len(nodes)), "eigenvalue": np.repeat(values, len(nodes)), "residual": np.repeat(left, len(nodes)), "node": np.tile(nodes, len(values)), "entry": vectors.T.ravel()})
 
     coo = graph.laplacian(graph.in_range(edges, start, end))
-    return coo.groupBy(F.lit(0).alias("__block")).applyInPandas(solve, "k long, eigenvalue double")
+    return coo.groupBy(F.lit(0).alias("__block")).applyInPandas(solve, "k long, eigenvalue double, residual double, node long, entry double")
+
+
+def lowest_eigenvalues(edges: DataFrame, start: int, end: int, k: int = 10) -> DataFrame:
+    """(k, eigenvalue, residual) of lowest_eigenpairs."""
+    return lowest_eigenpairs(edges, start, end, k).groupBy("k").agg(F.first("eigenvalue").alias("eigenvalue"), F.first("residual").alias("residual"))

@@ -450,6 +450,18 @@ def bounded_bfs(spark, sf):
     return coords.bounded_reach(e, lens, spark.range(1).select(F.col("id").alias("node")), 14)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 97 AS a, p_partkey % 3 > 0 AS af, (p_partkey * 7 + 3) % 97 AS b, p_partkey % 5 > 0 AS bf FROM part),
+g AS (SELECT a, af, b, bf FROM e UNION SELECT b, NOT bf, a, NOT af FROM e),
+r AS (SELECT 1::BIGINT AS node, f AS fwd, 0::BIGINT AS cost FROM (SELECT unnest([true, false]) AS f)
+  UNION SELECT g.b, g.bf, r.cost + g.a % 7 FROM r JOIN g ON g.a = r.node AND g.af = r.fwd WHERE r.cost + g.a % 7 <= 9 AND g.a % 7 > 0)
+SELECT node, min(cost) AS cost FROM r WHERE node % 7 > 0 GROUP BY 1""")
+def oriented_bfs(spark, sf):
+    a, b = F.col("p_partkey") % 97, (F.col("p_partkey") * 7 + 3) % 97
+    links = A.table(spark, sf, "part").select(a.alias("src"), (F.col("p_partkey") % 3 > 0).alias("src_fwd"), b.alias("dst"), (F.col("p_partkey") % 5 > 0).alias("dst_fwd"))
+    lens = spark.range(97).select(F.col("id").alias("node"), (F.col("id") % 7).alias("len"))
+    return coords.oriented_reach(links, lens, spark.range(1, 2).select(F.col("id").alias("node")), 9)
+
+
 @query(f"WITH {A.WALKS}, c AS (SELECT walk, step, node, count(*) OVER (PARTITION BY walk ORDER BY step) AS k, sum(len) OVER (PARTITION BY walk ORDER BY step) AS b FROM w) SELECT walk, step, node FROM c WHERE k <= 30 AND b <= 100")
 def capped_walks(spark, sf):
     return coords.capped(A.walks(spark, sf), 30, 100).select("walk", "step", "node")

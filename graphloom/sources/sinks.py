@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,19 @@ def edges(df: DataFrame, path: str, width: int = 1_000_000) -> None:
 
 
 def edge_bytes(df: DataFrame) -> Iterable[bytes]:
-    """The edges in order as little-endian pairs of 32 bits, a partition at a time."""
-    for row in df.select("src", "dst").orderBy("src", "dst").toLocalIterator(prefetchPartitions=True):
-        yield struct.pack("<II", row["src"], row["dst"])
+    """The edges in order as little-endian pairs of 32 bits, in pieces packed by the executors, one partition of them
+    on the driver at a time. Ids of over 32 bits are refused."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = pdf.to_numpy()
+            if len(pairs) and (pairs.min() < 0 or pairs.max() > 0xFFFFFFFF):
+                raise ValueError("an id does not fit 32 bits")
+            yield pd.DataFrame({"content": [pairs.astype("<u4").tobytes()]})
+
+    parts = df.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").mapInPandas(pack, "content binary")
+    for row in parts.toLocalIterator(prefetchPartitions=True):
+        yield bytes(row["content"])
 
 
 def matrix_csv(coo: DataFrame, n: int, path: str) -> None:

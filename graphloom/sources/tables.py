@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -21,9 +22,11 @@ MANIFEST_KEYS = ("graph_build_id", "graph_construction_pipeline", "reference_coo
 
 
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """edges(src, dst) of a binary file of little-endian pairs of 32 bits; a cut-off pair at the end is ignored.
+    """edges(src, dst) of binary files of little-endian pairs of 32 bits; a cut-off pair at the end is ignored.
 
-    Large lists belong in Parquet (see sinks.edges); this reads files that fit an executor each.
+    Files of whole pairs are read by Hadoop's fixed-length format, which splits them, so their size is not bounded. It
+    refuses a cut-off pair, so a file with one is read as a value, up to the 2 GB that one may have. Only paths and
+    sizes come to the driver.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,7 +35,17 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
                 pairs = np.frombuffer(content[: len(content) // 8 * 8], "<u4").reshape(-1, 2).astype("int64")
                 yield pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "src long, dst long")
+    def gathered(pairs: Iterator[bytes]) -> Iterator[tuple[bytes]]:
+        while part := b"".join(itertools.islice(pairs, 1 << 16)):
+            yield (part,)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    cut = [f["path"] for f in files if f["length"] % 8]
+    contents = spark.read.format("binaryFile").load(cut).select("content") if cut else spark.createDataFrame([], "content binary")
+    for f in files:
+        if f["length"] and f["length"] % 8 == 0:
+            contents = contents.union(spark.createDataFrame(spark.sparkContext.binaryRecords(f["path"], 8).mapPartitions(gathered), "content binary"))
+    return contents.mapInPandas(decode, "src long, dst long")
 
 
 def topology(spark: SparkSession, path: str) -> DataFrame:
