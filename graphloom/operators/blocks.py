@@ -64,9 +64,9 @@ def following(df: DataFrame, by: Sequence[str], order: str, *columns: str, name:
 def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, size: int = STEPS) -> DataFrame:
     """Adds the last value that is not null, up to the row itself."""
     rows = blocked(df, order[0], size).withColumn("__value", value)
-    lasts = rows.where("__value is not null").groupBy(*by, BLOCK).agg(F.max_by("__value", F.struct(*order)).alias("__last"))
-    # a block without a value of its own needs those before it, so every block takes part
-    every = rows.select(*by, BLOCK).distinct().join(lasts, [*by, BLOCK], "left")
+    # a block without a value of its own needs those before it, so it takes part with a null
+    placed = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    every = rows.groupBy(*by, BLOCK).agg(F.max_by("__value", placed).alias("__last"))
     earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     side = every.select(*by, BLOCK, F.last("__last", True).over(earlier).alias(BEFORE))
     inside = Window.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

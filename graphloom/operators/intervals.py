@@ -11,12 +11,12 @@ from . import blocks
 
 
 def merged(intervals: DataFrame, by: Sequence[str], size: int = blocks.PLACES) -> DataFrame:
-    """(by, start, end) with overlapping and touching intervals merged.
+    """(by, start, end) with overlapping and touching intervals merged; none ends before its start.
 
     Keys are cut into blocks of ``size`` places, so that one key may hold most intervals.
     """
     order = ["start", "end"]
-    reached = blocks.running(intervals.select(*by, *order).distinct(), by, order, F.col("end"), "before", F.max, True, size, True)
+    reached = blocks.running(intervals.select(*by, *order), by, order, F.col("end"), "before", F.max, True, size, True)
     new = F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)
     island = blocks.running(reached.withColumn("new", new), by, order, F.col("new"), "island", size=size, nulls=True)
     return island.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
