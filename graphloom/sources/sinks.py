@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import HEADER, MAGIC, MANIFEST_KEYS, NO_PARENT, RECORD, VERSION, CatalogError
+from ..operators.graph import running_total
+from .tables import HEADER, MAGIC, MANIFEST_KEYS, NO_PARENT, RECORD, RECORD_COLUMNS, VERSION, CatalogError
 
 
 def edges(df: DataFrame, path: str, width: int = 1_000_000) -> None:
@@ -94,6 +96,44 @@ def catalog_bytes(records: list[dict], alleles: list[list[list[int]]]) -> tuple[
     return head + body, bytes(traversals)
 
 
+def catalog_pieces(records: DataFrame, alleles: DataFrame) -> tuple[Iterator[bytes], Iterator[bytes]]:
+    """The two binary files of a catalog in pieces that the executors pack: records(feature_id, entry, exit, k, cyclic,
+    parent_feature) by id, and alleles(feature_id, idx, nodes) by id and idx. A partition at a time is on the driver.
+
+    Offsets are running totals over ranges of ids. Ids occur once; an allele of an unknown id is left out.
+    """
+    own = alleles.join(records.select("feature_id"), "feature_id", "left_semi")
+    sized = own.groupBy("feature_id").agg(F.sum(2 + 8 * F.size("nodes").cast("bigint")).alias("bytes"), F.count("*").alias("lists"), F.max(F.size("nodes")).alias("most"))
+    facts = sized.agg(F.sum("bytes"), F.sum("lists"), F.max("most")).first()
+    if (facts[2] or 0) > 0xFFFF:
+        raise CatalogError("an allele has more nodes than 16 bits can count")
+    if (facts[0] or 0) > 0xFFFFFFFF:
+        raise CatalogError("the traversals exceed 32-bit offsets")
+    full = records.join(sized, "feature_id", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    placed = full.drop("lists", "most").join(running_total(full, "feature_id", "bytes", "after"), "feature_id")
+    numbers = ["feature_id", "entry", "exit", "k", F.col("cyclic").cast("int").alias("cyclic"), F.coalesce("parent_feature", F.lit(NO_PARENT)).alias("parent_feature"), (F.col("after") - F.col("bytes")).alias("offset")]
+
+    def pack_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = np.zeros(len(pdf), RECORD_COLUMNS)
+            for name in pdf.columns:
+                rows[name] = pdf[name]
+            yield pd.DataFrame({"content": [rows.tobytes()]})
+
+    def pack_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"content": [b"".join(struct.pack("<H", len(nodes)) + np.asarray(nodes, "<u8").tobytes() for nodes in pdf["nodes"])]})
+
+    def pieces(rows: DataFrame, pack) -> Iterator[bytes]:
+        for row in rows.mapInPandas(pack, "content binary").toLocalIterator(prefetchPartitions=True):
+            yield bytes(row["content"])
+
+    head = struct.pack(HEADER, MAGIC, VERSION, records.count(), facts[1] or 0)
+    ordered = placed.select(*numbers).repartitionByRange("feature_id").sortWithinPartitions("feature_id")
+    lists = own.repartitionByRange("feature_id", "idx").sortWithinPartitions("feature_id", "idx").select("nodes")
+    return itertools.chain([head], pieces(ordered, pack_records)), pieces(lists, pack_lists)
+
+
 def manifest(df_session, values: dict[str, str], path: str) -> None:
     """One tab-separated pair a line; refuses tabs and line ends in values, and missing keys."""
     for k in MANIFEST_KEYS:

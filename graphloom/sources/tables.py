@@ -98,35 +98,82 @@ class CatalogError(ValueError):
     """A catalog that is cut off, of another version, or inconsistent."""
 
 
-def read_catalog(features: bytes, traversals: bytes) -> tuple[pd.DataFrame, list[list[int]]]:
-    """Records and allele node lists of a binary catalog; refuses wrong magic, version, sizes and counts."""
+#: RECORD as columns.
+RECORD_COLUMNS = np.dtype([("feature_id", "<u4"), ("entry", "<u8"), ("exit", "<u8"), ("k", "<u2"), ("cyclic", "u1"), ("parent_feature", "<u4"), ("offset", "<u4"), ("pad", "u1")])
+RECORD_SCHEMA = "feature_id long, entry long, exit long, k int, cyclic int, parent_feature long, offset long"
+
+
+def catalog_rows(features: bytes) -> tuple[np.ndarray, int]:
+    """The records of a catalog file as RECORD_COLUMNS, and the number of traversals its header names."""
     head = struct.calcsize(HEADER)
     if len(features) < head:
         raise CatalogError("the header is cut off")
     magic, version, n, n_lists = struct.unpack_from(HEADER, features)
-    size = struct.calcsize(RECORD)
     if magic != MAGIC or version != VERSION:
         raise CatalogError("not a catalog of this version")
-    if len(features) != head + n * size:
+    if len(features) != head + n * RECORD_COLUMNS.itemsize:
         raise CatalogError("the number of records does not fit the file")
-    rows = [struct.unpack_from(RECORD, features, head + k * size) for k in range(n)]
-    table = pd.DataFrame(rows, columns=["feature_id", "entry", "exit", "k", "cyclic", "parent_feature", "offset"])
-    table["parent_feature"] = [None if p == NO_PARENT else p for p in table["parent_feature"]]
-    lists, at = [], 0
+    return np.frombuffer(features, RECORD_COLUMNS, n, head), n_lists
+
+
+def catalog_lists(traversals: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each node list of a traversal file begins, and its nodes."""
+    at = 0
     while at < len(traversals):
         if at + 2 > len(traversals):
             raise CatalogError("a traversal is cut off")
         (count,) = struct.unpack_from("<H", traversals, at)
-        at += 2
-        if at + 8 * count > len(traversals):
+        if at + 2 + 8 * count > len(traversals):
             raise CatalogError("a traversal is cut off")
-        lists.append(list(struct.unpack_from(f"<{count}Q", traversals, at)))
-        at += 8 * count
+        yield at, np.frombuffer(traversals, "<u8", count, at + 2)
+        at += 2 + 8 * count
+
+
+def read_catalog(features: bytes, traversals: bytes) -> tuple[pd.DataFrame, list[list[int]]]:
+    """Records and allele node lists of a small catalog; refuses wrong magic, version, sizes and counts."""
+    rows, n_lists = catalog_rows(features)
+    table = pd.DataFrame(rows).drop(columns="pad")
+    table["parent_feature"] = [None if p == NO_PARENT else p for p in rows["parent_feature"].tolist()]
+    lists = [nodes.tolist() for _, nodes in catalog_lists(traversals)]
     if len(lists) != n_lists:
         raise CatalogError("the number of traversals does not fit the header")
     return table, lists
 
 
+def catalog(spark: SparkSession, features: str, traversals: str) -> tuple[DataFrame, DataFrame]:
+    """records(feature_id, entry, exit, k, cyclic, parent_feature, offset) and lists(i, at, nodes) of a catalog's two
+    files, as read_catalog. ``at`` is the place that a record's offset names; a record's lists follow from there.
+
+    A file is one value of an executor, of 2 GB at most (67 million records). Nothing but counts comes to the driver.
+    """
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                rows, _ = catalog_rows(content)
+                for at in range(0, len(rows), 1 << 18):
+                    part = pd.DataFrame({name: rows[name][at : at + (1 << 18)].astype("int64") for name in RECORD_COLUMNS.names[:-1]})
+                    part["parent_feature"] = part["parent_feature"].astype("Int64").mask(part["parent_feature"] == NO_PARENT)
+                    yield part
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                found = enumerate(catalog_lists(content))
+                while part := [(i, at, nodes.astype("int64")) for i, (at, nodes) in itertools.islice(found, 1 << 14)]:
+                    yield pd.DataFrame(part, columns=["i", "at", "nodes"])
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"n": [catalog_rows(content)[1] for content in pdf["content"]]})
+
+    files = spark.read.format("binaryFile")
+    found = files.load(traversals).select("content").mapInPandas(lists, "i long, at long, nodes array<long>")
+    if files.load(features).select("content").mapInPandas(named, "n long").agg(F.sum("n")).first()[0] != found.count():
+        raise CatalogError("the number of traversals does not fit the header")
+    return files.load(features).select("content").mapInPandas(records, RECORD_SCHEMA), found
+
+
 def manifest(spark: SparkSession, path: str) -> dict[str, str]:
     """Keys and values of a manifest, one tab-separated pair a line; all required keys must be there."""
     found = {r["k"]: r["v"] for r in spark.read.text(path).select(F.split("value", "\t").alias("f")).select(F.get("f", F.lit(0)).alias("k"), F.get("f", F.lit(1)).alias("v")).collect()}

@@ -131,3 +131,25 @@ def test_binary_edges_are_split(spark, tmp_path):
     assert b"".join(pieces) == b"".join(struct.pack("<II", *p) for p in sorted([*pairs, (7, 8)])) and len(pieces) < 100
     with pytest.raises(Exception, match="32 bits"):
         list(sinks.edge_bytes(spark.createDataFrame([(1, 1 << 32)], "src long, dst long")))
+
+
+def test_catalogs_as_frames(spark, tmp_path):
+    rows = [{"feature_id": f, "entry": f * 10, "exit": f * 10 + 5, "k": f % 3, "cyclic": f % 7 == 0, "parent_feature": None if f % 4 else f // 4} for f in range(300)]
+    alleles = [[[f * 10 + a + n for n in range(a)] for a in range(f % 3)] for f in range(300)]
+    features, traversals = sinks.catalog_bytes(rows, alleles)
+    records = spark.createDataFrame(rows[::-1], "feature_id long, entry long, exit long, k int, cyclic boolean, parent_feature long")
+    lists = spark.createDataFrame([(f, a, nodes) for f, of in enumerate(alleles) for a, nodes in enumerate(of)] + [(900, 0, [1])], "feature_id long, idx long, nodes array<long>")
+    a, b = sinks.catalog_pieces(records, lists.repartition(5))
+    assert (b"".join(a), b"".join(b)) == (features, traversals)
+    (tmp_path / "f").write_bytes(features)
+    (tmp_path / "t").write_bytes(traversals)
+    back, found = tables.catalog(spark, f"{tmp_path}/f", f"{tmp_path}/t")
+    table, all_lists = tables.read_catalog(features, traversals)
+    assert [r["nodes"] for r in found.orderBy("i").collect()] == all_lists
+    assert [tuple(r)[:6] for r in back.orderBy("feature_id").collect()] == [(r["feature_id"], r["entry"], r["exit"], r["k"], int(r["cyclic"]), r["parent_feature"]) for r in rows]
+    assert table["offset"].tolist() == [r["offset"] for r in back.orderBy("feature_id").collect()]
+    (tmp_path / "short").write_bytes(b"\x00\x00")
+    with pytest.raises(tables.CatalogError):
+        tables.catalog(spark, f"{tmp_path}/f", f"{tmp_path}/short")
+    with pytest.raises(tables.CatalogError, match="16 bits"):
+        sinks.catalog_pieces(records, spark.createDataFrame([(1, 0, [0] * 65_536)], "feature_id long, idx long, nodes array<long>"))
