@@ -159,6 +159,43 @@ def panel_of(flat: DataFrame, skeleton: DataFrame, walks: DataFrame, snarls: Dat
     return {"flat": flat_panel, "skeleton": skeleton_panel, "allowed": allowed, "cycles": cycles}
 
 
+def broken_rules(snarls: DataFrame, flat: DataFrame, skeleton: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(snarl, rule) for every rule that a topology and its panel (see panel) break; no rows if all is well.
+
+    Cyclic sites have neither alleles nor routes, others have alleles; only sites with children have routes; places of
+    alleles and of routes have no gap; frequencies are finite, not negative and sum to more than 0; a child of a site of
+    several routes names those it occurs on, all of them routes of its parent.
+    """
+
+    def facts(panel: DataFrame, name: str) -> DataFrame:
+        f = F.col("frequency")
+        bad = F.max(f.isNull() | F.isnan(f) | (f < 0) | (f == float("inf"))) | ~F.coalesce(F.sum(f) > 0, F.lit(False))
+        gap = (F.min("idx") != 0) | (F.max("idx") + 1 != F.count("*")) | (F.countDistinct("idx") != F.count("*"))
+        return panel.groupBy(F.col("site").alias("snarl")).agg(F.count("*").alias(name), bad.alias(f"{name}_bad"), gap.alias(f"{name}_gap"))
+
+    routes = facts(skeleton, "routes")
+    children = snarls.where("parent is not null").groupBy(F.col("parent").alias("snarl")).agg(F.count("*").alias("children"))
+    named = allowed.select(F.col("snarl").alias("parent"), F.col("child").alias("snarl"), "allowed")
+    of_parent = routes.select(F.col("snarl").alias("parent"), F.col("routes").alias("parent_routes"))
+    site = snarls.select("snarl", "kind", "parent").join(facts(flat, "alleles"), "snarl", "left").join(routes, "snarl", "left")
+    site = site.join(children, "snarl", "left").join(of_parent, "parent", "left").join(named, ["parent", "snarl"], "left")
+    cyclic, has_routes, several = F.col("kind") == "cyclic", F.col("routes").isNotNull(), F.col("parent_routes") > 1
+    rules = {
+        "cyclic site with alleles": cyclic & F.col("alleles").isNotNull(),
+        "cyclic site with routes": cyclic & has_routes,
+        "site without alleles": ~cyclic & F.col("alleles").isNull(),
+        "frequencies of alleles": F.col("alleles_bad"),
+        "gap in alleles": F.col("alleles_gap"),
+        "routes without children": ~cyclic & has_routes & F.col("children").isNull(),
+        "frequencies of routes": F.col("routes_bad"),
+        "gap in routes": F.col("routes_gap"),
+        "child without routes of its parent": several & (F.coalesce(F.size("allowed"), F.lit(0)) <= 0),
+        "unknown route of the parent": several & F.exists("allowed", lambda k: (k < 0) | (k >= F.col("parent_routes"))),
+    }
+    found = F.filter(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]), lambda r: r.isNotNull())
+    return site.select("snarl", F.explode(found).alias("rule"))
+
+
 def tree(snarls: DataFrame) -> DataFrame:
     """snarls with depth and path (ids from the root); refuses repeated ids, missing parents and cycles."""
     named = stored(snarls)

@@ -59,6 +59,13 @@ def window_laplacians(edges: DataFrame, start: int, end: int, size: int, overlap
     return laplacian(edges_in_windows(edges, start, end, size, overlap), loops="cancel", multi="drop", by=("win",))
 
 
-def labelled(intervals: DataFrame, names: DataFrame) -> DataFrame:
-    """intervals(start, end, ...) with each of the overlapping names(name, lo, hi); names is a dimension of a few rows."""
-    return intervals.join(names, (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")))
+def labelled(intervals: DataFrame, names: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+    """intervals(start, end, ...) with each of the overlapping names(name, lo, hi): an equi-join on buckets of places."""
+
+    def buckets(a: str, b: str):
+        return F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bucket)))
+
+    met = intervals.withColumn("__bucket", buckets("start", "end")).join(names.withColumn("__bucket", buckets("lo", "hi")), "__bucket")
+    met = met.where((F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")))
+    # a pair is kept in the first bucket both are in
+    return met.where(F.col("__bucket") == F.floor(F.greatest("start", "lo") / bucket)).drop("__bucket")
