@@ -18,6 +18,7 @@ score go to the more frequent phrase, then to UTF-8 order; an empty table gives
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.index import shared_dir
+from . import splits
 from .common import table, written
-from .splits import LOT, kinds, lots, words
+from .splits import kinds, lots, packed, unpacked, words
 
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: A phrase is named by block and place in the block's list: so many bits for the place, and for a task's own blocks.
@@ -35,15 +38,11 @@ PLACE_BITS, BLOCK_BITS = 28, 13
 FIRST, LEAST, LONGEST, COVERED = 2000, 30, 4, 80
 
 BLOCKS = "block long, lang string, n long, words array<string>, counts array<long>, codes binary"
-#: Positions and local numbers are 32-bit, names 64-bit; p_* are the phrases' lists, w_* the words' postings.
+#: p_* are the phrases' lists, w_* the words' postings: positions, local numbers, and the names of those.
 LISTS = "block long, w_at binary, w_of binary, w_name binary, p_at binary, p_of binary, p_name binary"
 PAIRS = "slot long, phrase long, word long, n long"
 
 
-def _int32(x: np.ndarray) -> bytes:
-    return x.astype("<i4").tobytes()
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -63,7 +62,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made += 1
         counts = np.bincount(of, minlength=len(coded.dictionary))
         return pa.RecordBatch.from_arrays(
-            [pa.array([first + made - 1]), pa.array([lang]), pa.array([len(of)]), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([_int32(codes)])],
+            [pa.array([first + made - 1]), pa.array([lang]), pa.array([len(of)]), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([packed(codes)])],
             names=[c.split()[0] for c in BLOCKS.split(", ")],
         )
 
@@ -74,10 +73,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in lots(mine):
                 some = mine.slice(a, b - a)
                 ready = waiting.get(lang, [])
-                if ready and sum(t.nbytes for t in ready) + some.nbytes > LOT:
+                if ready and sum(t.nbytes for t in ready) + some.nbytes > splits.LOT:
                     yield block(lang, waiting.pop(lang))
                 waiting.setdefault(lang, []).append(some)
-        while sum(t.nbytes for ts in waiting.values() for t in ts) > 2 * LOT:  # many languages: the largest goes first
+        while sum(t.nbytes for ts in waiting.values() for t in ts) > 2 * splits.LOT:  # many languages: the largest goes first
             lang = max(waiting, key=lambda x: sum(t.nbytes for t in waiting[x]))
             yield block(lang, waiting.pop(lang))
     for lang in list(waiting):
@@ -96,13 +95,10 @@ class Lists:
     """The lists of one block: postings of words and occurrences of phrases of size words."""
 
     def __init__(self, row: dict, size: int) -> None:
-        read = lambda c, t: np.frombuffer(row[c], t)
+        read = lambda c: (unpacked(row[f"{c}_at"], rising=True), unpacked(row[f"{c}_of"]), unpacked(row[f"{c}_name"], width=8))
         self.size, self.block = size, row["block"]
-        self.w_at, self.w_of, self.w_name = read("w_at", "<i4"), read("w_of", "<i4"), read("w_name", "<i8")
-        if size == 1:
-            self.p_at, self.p_of, self.p_name = self.w_at, self.w_of, self.w_name
-        else:
-            self.p_at, self.p_of, self.p_name = read("p_at", "<i4"), read("p_of", "<i4"), read("p_name", "<i8")
+        self.w_at, self.w_of, self.w_name = words_ = read("w")
+        self.p_at, self.p_of, self.p_name = words_ if size == 1 else read("p")
 
     def grown(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions of the phrases of one word more, the number of each, and of each number its phrase and its word."""
@@ -114,9 +110,9 @@ class Lists:
 
 
 def _row(block: int, postings: tuple, phrases: tuple | None) -> pa.Table:
-    at, of, name = postings
-    cells = [_int32(at), _int32(of), name.astype("<i8").tobytes()]
-    cells += [_int32(phrases[0]), _int32(phrases[1]), phrases[2].astype("<i8").tobytes()] if phrases else [b""] * 3
+    cells = []
+    for at, of, name in (postings, phrases or (np.zeros(0, np.int64),) * 3):
+        cells += [packed(at, rising=True), packed(of), packed(name, width=8)]
     names = [c.split()[0] for c in LISTS.split(", ")]
     return pa.table(dict(zip(names, [pa.array([block]), *(pa.array([c]) for c in cells)])))
 
@@ -136,7 +132,7 @@ def _chosen(frequent: pa.Table, total: int) -> tuple[np.ndarray, np.ndarray]:
 def _first_lists(block: pa.Table, frequent: pa.Table) -> pa.Table:
     if not block.num_rows or not frequent.num_rows:
         return _none()
-    codes = np.frombuffer(block.column("codes")[0].as_py(), "<i4")
+    codes = unpacked(block.column("codes")[0].as_py())
     new, name = _chosen(frequent, int(codes.max()) + 1)
     of = new[codes]
     at = np.flatnonzero(of >= 0)
@@ -166,18 +162,29 @@ def _lengths(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lists = Lists(row, size)
+            for k in range(len(batch)):
+                lists = Lists(batch.slice(k, 1).to_pylist()[0], size)
                 _, number, phrase, word = lists.grown()
                 n = np.bincount(number, minlength=len(phrase))
-                for k in range(0, len(phrase), 100_000):
-                    some = slice(k, k + 100_000)
+                for start in range(0, len(phrase), 100_000):
+                    some = slice(start, start + 100_000)
                     slot = (lists.block << PLACE_BITS) + np.arange(len(phrase))[some]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (slot, lists.p_name[phrase[some]], lists.w_name[word[some]], n[some])], names=["slot", "phrase", "word", "n"])
 
     return run
 
 
+def _bucketed(lists: DataFrame) -> DataFrame:
+    """The table of lists, once, in the shared folder and in buckets of blocks."""
+    spark = lists.sparkSession
+    name = f"lists_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; found and its files stay
+    return found
+
+
 def _frequent(rows: DataFrame, least: int, *keys: str) -> DataFrame:
     """The rows whose key is frequent in all blocks, with its total and its name, the first slot that holds it."""
     same = Window.partitionBy(*keys)
@@ -197,20 +204,20 @@ def _score(a: Column, both: Column) -> Column:
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Every candidate: lang, phrase, size, a, l, r, n, score, and whether a longer one covers it (dropped)."""
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = written(texts.mapInArrow(_blocks, BLOCKS))
+    blocks = _bucketed(texts.mapInArrow(_blocks, BLOCKS))
     of_lang = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     # counts of words: one row for each block that holds a word
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
     each = each.select(((F.col("block") * (1 << PLACE_BITS)) + F.col("place")).alias("slot"), "lang", F.col("x.words").alias("text"), F.col("x.counts").alias("n"))
     frequent = _frequent(each, least, "lang", "text")
-    lists = written(blocks.select("block", "codes").groupBy("block").cogroup(_by_block(frequent)).applyInArrow(_first_lists, LISTS))
+    lists = _bucketed(blocks.select("block", "codes").groupBy("block").cogroup(_by_block(frequent)).applyInArrow(_first_lists, LISTS))
     single = frequent.where("slot = name").select("name", "lang", "text", F.array("total").alias("heads"), F.array("total").alias("tails"), F.lit(None).cast("long").alias("rest"))
     word = single.select(F.col("name").alias("word"), F.col("text").alias("last"))
     known, shorter, found = single, None, []
     for size in range(1, longest):
         frequent = _frequent(lists.mapInArrow(_lengths(size), PAIRS), least, "phrase", "word")
         if size + 1 < longest:
-            lists = written(lists.groupBy("block").cogroup(_by_block(frequent)).applyInArrow(_next_lists(size), LISTS))
+            lists = _bucketed(lists.groupBy("block").cogroup(_by_block(frequent)).applyInArrow(_next_lists(size), LISTS))
         here = frequent.where("slot = name").select("name", "phrase", "word", "total")
         head = known.select(F.col("name").alias("phrase"), "lang", "text", "heads", F.col("rest").alias("within"))
         grown = here.join(head, "phrase").join(word, "word")

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts of one lot, in bytes; a longer text is a lot of its own.
-LOT = 16 << 20
+LOT = 8 << 20
 WORD, BLANK, STOP = 0, 1, 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -24,7 +25,7 @@ def kinds(blank: bytes, stop: bytes = b"") -> np.ndarray:
 
 def lots(texts: pa.Array, size: int = LOT) -> Iterator[tuple[int, int]]:
     """(from, to) of consecutive texts of at most size bytes together."""
-    ends = np.cumsum(np.array(pa.compute.binary_length(texts).fill_null(0), np.int64)) if len(texts) else np.zeros(0, np.int64)
+    ends = np.cumsum(np.array(pc.binary_length(texts).fill_null(0), np.int64)) if len(texts) else np.zeros(0, np.int64)
     start, before = 0, 0
     while start < len(texts):
         end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
@@ -55,3 +56,18 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = False) -> tuple[np.nd
     piece = np.searchsorted(np.flatnonzero(of == STOP), start) + text
     ends = np.concatenate([[0], np.cumsum(stop - start)])
     return text, piece, pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
+
+
+def packed(numbers: np.ndarray, rising: bool = False, width: int = 4) -> bytes:
+    """Whole numbers as compressed byte planes; those that only rise as their differences."""
+    if rising:
+        numbers = np.diff(numbers, prepend=0)
+    planes = np.ascontiguousarray(numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, rising: bool = False, width: int = 4) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    numbers = np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<i{width}").ravel()
+    return np.cumsum(numbers) if rising else numbers
