@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, collocations, exact_dedup, mixing, packing, personal_data, quality, secret_scan, simhash, token_rollup, toxicity
+from . import best_fit, chat_format, collocations, exact_dedup, merkle, mixing, packing, personal_data, quality, secret_scan, simhash, token_rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality.op1,
@@ -20,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": simhash.op9,
     "op10_packing": packing.op10,
     "op11_collocations": collocations.op11,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_best_fit_packing": best_fit.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_divergence": quality.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
