@@ -63,7 +63,7 @@ def encoder(folder: str | None = None):
 #: Stands for the end of a word, in stretches that do not hold it.
 MARK = "\x7f"
 #: Latin letters without combining signs: lower case takes each to one other, and nothing is composed.
-LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 #: What a stretch may hold to be split here: ASCII, those letters, and common quotes and dashes.
 PLAIN = re.compile(rf"[\x00-\x7e{LATIN}\u00ab\u00bb\u2013\u2014\u2018-\u201e\u2026]*")
 #: The split of word_bpe_49k (fixed value) for such stretches in lower case, one a line.
