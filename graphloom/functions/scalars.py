@@ -68,22 +68,29 @@ def assembly_matches(sample: Column, wanted: str) -> Column:
     return found | F.contains(low, F.lit(ALIASES[want])) if want in ALIASES else found
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: an expression used often is not written out each time."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def three_field_name(c: Column) -> Column:
     """sample#haplotype#contig from names with one, two or more ``#``; names without are left as they are."""
-    p = F.split(c, "#", -1)
 
     def known(x: Column) -> Column:
         return F.when(x == "", "unknown").otherwise(x)
 
-    sample, hap = known(F.get(p, 0)), F.get(p, 1)
-    numbered = strict_u32(hap).isNotNull()
-    joined = F.array_join(F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(1))), "_")
-    return (
-        F.when(F.size(p) == 2, F.concat_ws("#", sample, F.lit("0"), known(hap)))
-        .when((F.size(p) == 3) & ~numbered, F.concat_ws("#", sample, F.lit("0"), known(F.get(p, 2))))
-        .when(F.size(p) > 3, F.concat_ws("#", sample, F.when(numbered, hap).otherwise("0"), joined))
-        .otherwise(c)
-    )
+    def named(p: Column) -> Column:
+        sample, hap = known(F.get(p, 0)), F.get(p, 1)
+        numbered = strict_u32(hap).isNotNull()
+        joined = F.array_join(F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(1))), "_")
+        return (
+            F.when(F.size(p) == 2, F.concat_ws("#", sample, F.lit("0"), known(hap)))
+            .when((F.size(p) == 3) & ~numbered, F.concat_ws("#", sample, F.lit("0"), known(F.get(p, 2))))
+            .when(F.size(p) > 3, F.concat_ws("#", sample, F.when(numbered, hap).otherwise("0"), joined))
+            .otherwise(F.array_join(p, "#"))
+        )
+
+    return let(F.split(c, "#", -1), named)
 
 
 def name_repair(c: Column) -> Column:

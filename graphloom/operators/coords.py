@@ -13,24 +13,26 @@ from . import blocks
 from .index import kept
 
 
-def offsets(walks: DataFrame, size: int = blocks.STEPS) -> DataFrame:
-    """Adds start and end, half-open, of each step along its walk."""
+def offsets(walks: DataFrame, size: int = blocks.STEPS, base: str | None = None) -> DataFrame:
+    """Adds start and end, half-open, of each step along its walk; from where the column ``base`` says, if it is named
+    (a null counts as 0), so that fragments of a contig lie where they belong."""
     summed = blocks.running(walks, ["walk"], ["step"], F.col("len"), "start", before=True, size=size)
-    return summed.withColumn("start", F.coalesce("start", F.lit(0))).withColumn("end", F.col("start") + F.col("len"))
+    first = F.lit(0) if base is None else F.coalesce(base, F.lit(0))
+    return summed.withColumn("start", F.coalesce("start", F.lit(0)) + first).withColumn("end", F.col("start") + F.col("len"))
 
 
 def lengths(walks: DataFrame) -> DataFrame:
     return walks.groupBy("walk").agg(F.sum("len").alias("length"), F.count("*").alias("steps"), F.countDistinct("node").alias("nodes"))
 
 
-def node_to_coordinates(walks: DataFrame, nodes: DataFrame) -> DataFrame:
+def node_to_coordinates(walks: DataFrame, nodes: DataFrame, base: str | None = None) -> DataFrame:
     """(walk, node, start, last): every occurrence of nodes(node); last is inclusive."""
-    return offsets(walks).join(nodes, "node", "left_semi").select("walk", "node", "start", (F.col("end") - 1).alias("last"))
+    return offsets(walks, base=base).join(nodes, "node", "left_semi").select("walk", "node", "start", (F.col("end") - 1).alias("last"))
 
 
-def overlaps(walks: DataFrame, start: int, end: int) -> DataFrame:
+def overlaps(walks: DataFrame, start: int, end: int, base: str | None = None) -> DataFrame:
     """Steps that meet [start, end) of their walk, with the part of the node that lies inside, as the walk sees it."""
-    hit = offsets(walks).where((F.col("start") < end) & (F.col("end") > start))
+    hit = offsets(walks, base=base).where((F.col("start") < end) & (F.col("end") > start))
     return hit.withColumns({"off_start": F.greatest(F.lit(start) - F.col("start"), F.lit(0)), "off_end": F.least(F.lit(end), F.col("end")) - F.col("start")})
 
 
@@ -57,9 +59,9 @@ def seek(walks: DataFrame, targets: DataFrame, every: int = 10, size: int = bloc
     return carried.where("kind = 1").select("walk", "target", "found.step", "found.start")
 
 
-def anchors(walks: DataFrame, start: int, end: int) -> DataFrame:
+def anchors(walks: DataFrame, start: int, end: int, base: str | None = None) -> DataFrame:
     """First and last step of each walk that meet a region, with the part of each node that lies inside."""
-    hit = overlaps(walks, start, end)
+    hit = overlaps(walks, start, end, base)
     row = F.struct("step", "node", "fwd", "len", "off_start", "off_end")
     return hit.groupBy("walk").agg(F.min_by(row, "step").alias("first"), F.max_by(row, "step").alias("last"))
 

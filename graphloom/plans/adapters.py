@@ -98,3 +98,45 @@ def bubbles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
 BUBBLES = """b AS (SELECT l_orderkey AS walk, CAST(l_linenumber AS BIGINT) AS line, min(l_partkey) AS p, min(l_returnflag) <> 'R' AS fwd, min(l_discount) AS d FROM lineitem GROUP BY 1, 2),
 w AS (SELECT walk, line - 1 AS step, line * 10 + p % 3 AS node, fwd, d FROM b), sn AS (SELECT range AS snarl, range * 10 AS entry, range * 10 + 20 AS exit FROM range(1, 6)),
 z AS (SELECT CASE WHEN walk % 4 = 0 THEN walk ELSE walk - walk % 4 + 1 END AS individual, node, sum(CASE WHEN walk % 4 = 0 THEN 1 ELSE least(greatest(d * 10, 0), 1) END) AS value FROM w GROUP BY 1, 2)"""
+
+
+#: Steps of one W line of graph_text, and the gap on the contig between two lines of a walk.
+LINE_STEPS, GAP = 40, 1000
+
+
+def fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """E-seq cut into fragments: walk, step (within the fragment), node, fwd, len, first (the fragment's start)."""
+    from ..operators.coords import offsets
+
+    placed = offsets(walks(spark, sf)).withColumn("part", F.floor(F.col("step") / LINE_STEPS))
+    starts = placed.groupBy("walk", "part").agg((F.min("start") + F.col("part") * GAP).alias("first"))
+    name = F.concat(F.lit("u"), F.col("walk").cast("string"), F.lit("#1#chr1"))
+    return placed.join(starts, ["walk", "part"]).select(name.alias("name"), "walk", "first", (F.col("step") % LINE_STEPS).alias("step"), "node", "fwd", "len")
+
+
+def graph_text(spark: SparkSession, sf: str) -> str:
+    """The path of E-seq as graph text: a segment for each node, its links, and a W line for each fragment."""
+    import uuid
+
+    from ..operators.index import shared_dir
+
+    steps = fragments(spark, sf)
+    segs = steps.groupBy("node").agg(F.max("len").alias("len")).select(F.concat_ws("\t", F.lit("S"), F.col("node").cast("string"), F.expr("repeat('A', int(len))")).alias("value"))
+    sign = lambda c: F.when(F.col(c), "+").otherwise("-")
+    from ..operators.graph import step_pairs
+
+    pairs = step_pairs(walks(spark, sf)).select("src", "src_fwd", "dst", "dst_fwd").distinct()
+    links = pairs.select(F.concat_ws("\t", F.lit("L"), F.col("src").cast("string"), sign("src_fwd"), F.col("dst").cast("string"), sign("dst_fwd"), F.lit("0M")).alias("value"))
+    step = F.struct("step", F.concat(F.when(F.col("fwd"), ">").otherwise("<"), F.col("node").cast("string")).alias("s"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(step)), lambda x: x["s"]), "")
+    lines = steps.groupBy("walk", "first").agg(joined.alias("s"), F.sum("len").alias("len"))
+    w = lines.select(F.concat_ws("\t", F.lit("W"), F.concat(F.lit("u"), F.col("walk").cast("string")), F.lit("1"), F.lit("chr1"), F.col("first").cast("string"), (F.col("first") + F.col("len")).cast("string"), F.col("s")).alias("value"))
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    segs.union(links).union(w).write.text(path)
+    return path
+
+
+FRAGMENTS = OFFSETS + f""", fs AS (SELECT walk, step // {LINE_STEPS} AS part, CAST(min(s) + step // {LINE_STEPS} * {GAP} AS BIGINT) AS first FROM o GROUP BY 1, 2),
+fr AS (SELECT 'u' || o.walk || '#1#chr1' || CASE WHEN first > 0 THEN '[' || first || ']' ELSE '' END AS walk, 'u' || o.walk AS sample, first, step % {LINE_STEPS} AS step, node, fwd, len,
+  CAST(first + sum(len) OVER (PARTITION BY o.walk, part ORDER BY step) - len AS BIGINT) AS s FROM o JOIN fs ON fs.walk = o.walk AND fs.part = o.step // {LINE_STEPS}),
+gn AS (SELECT node, dense_rank() OVER (ORDER BY node) - 1 AS idx FROM (SELECT DISTINCT node FROM w))"""

@@ -22,12 +22,15 @@ def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rows = gfa.lines(spark, path)
     segs = gfa.segments(rows)
     idx = index.node_index(segs.select("name"))
-    nodes = segs.dropDuplicates(["name"]).join(idx, "name").select("name", "seq", F.coalesce(F.length("seq"), F.lit(0)).cast("bigint").alias("len"), F.col("idx").alias("node"))
+    # of segments of one name the first in byte order counts, one with a sequence before one without
+    once = segs.groupBy("name").agg(F.min("seq").alias("seq"))
+    nodes = once.join(idx, "name").select("name", "seq", F.coalesce(F.length("seq"), F.lit(0)).cast("bigint").alias("len"), F.col("idx").alias("node"))
     links = index.index_edges(gfa.links(rows), idx)
     steps = gfa.path_steps(rows).unionByName(gfa.walk_steps(rows).select("walk", "step", "name", "fwd"))
-    named = steps.withColumn("walk", three_field_name(F.col("walk")))
+    names = index.stored(steps.select("walk").distinct().select("walk", three_field_name(F.col("walk")).alias("named")))
+    named = steps.join(names, "walk").drop("walk").withColumnRenamed("named", "walk")
     walks = named.join(nodes.select("name", "node", "len"), "name").select("walk", "step", "node", "fwd", "len")
-    return {"nodes": nodes, "edges": links.select("src", "dst"), "links": links, "walks": walks, "paths": gfa.path_names(named.select("walk").distinct())}
+    return {"nodes": nodes, "edges": links.select("src", "dst"), "links": links, "walks": walks, "paths": gfa.path_names(names.select(F.col("named").alias("walk")).distinct())}
 
 
 def convert(spark: SparkSession, path: str, out: str) -> None:
@@ -51,14 +54,15 @@ def window_scores(edges: DataFrame, start: int, end: int, size: int, overlap: in
     return spectral.block_scores(coo, "win", exact).select(F.col("win").alias("start_node"), (F.col("win") + size).alias("end_node"), F.col("score").alias("ngec"))
 
 
-def reference_walks(walks: DataFrame, paths: DataFrame, contig: str, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
-    """The walks over a contig of the first assembly that has one."""
-    on = paths.where(plain_contig(F.col("contig")) == contig)
+def reference_walks(walks: DataFrame, paths: DataFrame, contig: str | None, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
+    """The walks over a contig (over any, for None) of the first assembly that has one, with their ``fragment``: where
+    on the contig they start."""
+    on = paths if contig is None else paths.where(plain_contig(F.col("contig")) == contig)
     for name in assemblies:
         found = on.where(assembly_matches(F.col("sample"), name))
         if not found.isEmpty():
-            return walks.join(found.select("walk"), "walk", "left_semi")
-    return walks.limit(0)
+            return walks.join(found.select("walk", "fragment"), "walk")
+    return walks.withColumn("fragment", F.lit(None).cast("bigint")).limit(0)
 
 
 def parse(region: str) -> tuple[str, int, int]:
@@ -71,18 +75,14 @@ def parse(region: str) -> tuple[str, int, int]:
 
 
 def coord2node(parts: dict[str, DataFrame], region: str, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
-    """The steps of the reference walks that meet a region."""
+    """The steps of the reference walks that meet a region; start and end are places on the contig."""
     contig, start, end = parse(region)
-    return coords.overlaps(reference_walks(parts["walks"], parts["paths"], contig, assemblies), start, end)
+    return coords.overlaps(reference_walks(parts["walks"], parts["paths"], contig, assemblies), start, end, "fragment").drop("fragment")
 
 
 def node2coord(parts: dict[str, DataFrame], nodes: DataFrame, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
-    """Where nodes(node) lie on reference walks; on any walk where there is no reference."""
-    for name in assemblies:
-        found = parts["paths"].where(assembly_matches(F.col("sample"), name))
-        if not found.isEmpty():
-            return coords.node_to_coordinates(parts["walks"].join(found.select("walk"), "walk", "left_semi"), nodes)
-    return coords.node_to_coordinates(parts["walks"].limit(0), nodes)
+    """Where nodes(node) lie on the contigs of reference walks; of any walk where there is no reference."""
+    return coords.node_to_coordinates(reference_walks(parts["walks"], parts["paths"], None, assemblies), nodes, "fragment")
 
 
 def node_report(hits: DataFrame) -> DataFrame:
@@ -94,12 +94,12 @@ def node_report(hits: DataFrame) -> DataFrame:
 def anchored_walks(parts: dict[str, DataFrame], region: str, assemblies: Sequence[str] = ASSEMBLIES, slack: int = 50_000) -> DataFrame:
     """Of every walk the steps between the region's first and last reference node, within reach of the first.
 
-    Of several reference walks that meet the region the longest is taken, and of those the first by name. A walk that
+    Of several fragments of reference walks that meet the region the longest is taken, and of those the first by name. A walk that
     leaves the reach starts anew; all complete walks are returned. Reach goes along links as walks may.
     """
     contig, start, end = parse(region)
     on = reference_walks(parts["walks"], parts["paths"], contig, assemblies)
-    met = coords.anchors(on, start, end).join(coords.lengths(on).select("walk", "length"), "walk")
+    met = coords.anchors(on, start, end, "fragment").join(coords.lengths(on).select("walk", "length"), "walk")
     ends = met.orderBy(F.desc("length"), "walk").limit(1).select(F.col("first.node").alias("first"), F.col("last.node").alias("last")).collect()
     if not ends:
         return parts["walks"].limit(0).select("walk", "step", "node", "fwd")
@@ -111,8 +111,8 @@ def anchored_walks(parts: dict[str, DataFrame], region: str, assemblies: Sequenc
 def make_sequence(parts: dict[str, DataFrame], region: str, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
     """(file, record): FASTA of the region on every walk over the contig; nodes without a sequence give N."""
     contig, start, end = parse(region)
-    on = parts["paths"].where(plain_contig(F.col("contig")) == contig).select("walk")
-    hits = coords.overlaps(parts["walks"].join(on, "walk", "left_semi"), start, end)
+    on = reference_walks(parts["walks"], parts["paths"], contig, ("",))
+    hits = coords.overlaps(on, start, end, "fragment")
     built = sequence.assembled(hits, parts["nodes"].where("seq is not null").select("node", "seq"))
     return sequence.fasta(built.select(F.col("walk").alias("name"), "seq"), start, end)
 

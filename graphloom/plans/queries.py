@@ -860,3 +860,5 @@ def cluster_colours(spark, sf):
 @query("SELECT range AS start, range + 2000 AS \"end\", CAST(range + 1000 AS DOUBLE) AS midpoint FROM range(0, 20000, 2000)")
 def window_midpoints(spark, sf):
     return windows.coordinate_windows(spark, 0, 20000, 2000).select("start", "end", S.midpoint(F.col("start"), F.col("end")).alias("midpoint"))
+
+from . import stored_queries  # noqa: E402,F401  registers its queries

@@ -51,18 +51,28 @@ def path_steps(rows: DataFrame) -> DataFrame:
 
 
 def walk_steps(rows: DataFrame) -> DataFrame:
-    """(walk, start, stop, step, name, fwd) of W lines as the public format has them: ``>11<12`` behind six fields."""
-    named = F.concat_ws("#", _field(1), _field(2), _field(3))
-    found = rows.where("kind = 'W'").select(named.alias("walk"), _field(4).try_cast("bigint").alias("start"), _field(5).try_cast("bigint").alias("stop"), F.posexplode(F.regexp_extract_all(_field(6), F.lit("[><][^><]+"), F.lit(0))).alias("step", "s"))
+    """(walk, start, stop, step, name, fwd) of W lines as the public format has them: ``>11<12`` behind six fields.
+
+    Each line is a walk of its own: ``sample#haplotype#contig``, and ``[start]`` behind it where a fragment starts
+    beyond 0, so that fragments of one contig stay apart.
+    """
+    start = _field(4).try_cast("bigint")
+    named = F.concat(F.concat_ws("#", _field(1), _field(2), _field(3)), F.when(start > 0, F.concat(F.lit("["), start.cast("string"), F.lit("]"))).otherwise(F.lit("")))
+    found = rows.where("kind = 'W'").select(named.alias("walk"), start.alias("start"), _field(5).try_cast("bigint").alias("stop"), F.posexplode(F.regexp_extract_all(_field(6), F.lit("[><][^><]+"), F.lit(0))).alias("step", "s"))
     return found.select("walk", "start", "stop", F.col("step").cast("bigint").alias("step"), F.expr("substring(s, 2)").alias("name"), F.startswith("s", F.lit(">")).alias("fwd"))
 
 
 def path_names(walks: DataFrame) -> DataFrame:
     """(walk, sample, phase, contig, fragment) from ``sample#phase#contig[fragment]``."""
-    p = F.split("walk", "#", -1)
-    contig = F.when(F.size(p) > 2, F.array_join(F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(1))), "#")).otherwise(F.get(p, F.size(p) - 1))
+    from ..functions.scalars import let
+
+    def parts(p: Column) -> Column:
+        contig = F.when(F.size(p) > 2, F.array_join(F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(1))), "#")).otherwise(F.get(p, F.size(p) - 1))
+        return F.struct(F.get(p, 0).alias("sample"), F.when(F.size(p) > 2, F.get(p, 1).try_cast("int")).alias("phase"), F.substring_index(contig, "[", 1).alias("contig"))
+
     fragment = F.regexp_extract("walk", r"\[([0-9]+)", 1)
-    return walks.select("walk", F.get(p, 0).alias("sample"), F.when(F.size(p) > 2, F.get(p, 1).try_cast("int")).alias("phase"), F.substring_index(contig, "[", 1).alias("contig"), F.when(fragment != "", fragment.try_cast("bigint")).alias("fragment"))
+    split = walks.select("walk", let(F.split("walk", "#", -1), parts).alias("p"), F.when(fragment != "", fragment.try_cast("bigint")).alias("fragment"))
+    return split.select("walk", "p.sample", "p.phase", "p.contig", "fragment")
 
 
 def sequences_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:

@@ -20,6 +20,14 @@ def edges(df: DataFrame, path: str, width: int = 1_000_000) -> None:
     df.withColumn("src_range", F.floor(F.col("src") / width)).repartition("src_range").sortWithinPartitions("src", "dst").write.mode("overwrite").partitionBy("src_range").parquet(path)
 
 
+def edge_files(df: DataFrame, path: str) -> None:
+    """The edges as binary files, one a partition, written where they are and named when all are done."""
+    from .edge_files import NAME, registered
+
+    registered(df.sparkSession)
+    df.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).write.format(NAME).mode("append").save(path)
+
+
 def edge_bytes(df: DataFrame) -> Iterable[bytes]:
     """The edges in order as little-endian pairs of 32 bits, in pieces packed by the executors, one partition of them
     on the driver at a time. Ids of over 32 bits are refused."""

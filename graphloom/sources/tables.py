@@ -21,13 +21,22 @@ NO_PARENT = 0xFFFFFFFF
 MANIFEST_KEYS = ("graph_build_id", "graph_construction_pipeline", "reference_coordinates", "hprc_release", "haplotype_count", "snarl_decomposition_tool")
 
 
+#: Schemes that edge_files opens itself; others are read through Hadoop.
+OPENED = ("", "file", "s3", "gs")
+
+
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
     """edges(src, dst) of binary files of little-endian pairs of 32 bits; a cut-off pair at the end is ignored.
 
-    Files of whole pairs are read by Hadoop's fixed-length format, which splits them, so their size is not bounded. It
-    refuses a cut-off pair, so a file with one is read as a value, up to the 2 GB that one may have. Only paths and
-    sizes come to the driver.
+    One relation whatever the number of files, in byte ranges, with bounds on src and dst applied while reading. Of
+    stores that only Hadoop opens, files of whole pairs are one fixed-length input that is split; it refuses a cut-off
+    pair, so files with one are read as values, up to the 2 GB that one may have.
     """
+    if (path.partition(":")[0] if ":" in path else "") in OPENED:
+        from .edge_files import NAME, registered
+
+        registered(spark)
+        return spark.read.format(NAME).load(path)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -41,10 +50,10 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
     cut = [f["path"] for f in files if f["length"] % 8]
+    whole = [f["path"] for f in files if f["length"] and f["length"] % 8 == 0]
     contents = spark.read.format("binaryFile").load(cut).select("content") if cut else spark.createDataFrame([], "content binary")
-    for f in files:
-        if f["length"] and f["length"] % 8 == 0:
-            contents = contents.union(spark.createDataFrame(spark.sparkContext.binaryRecords(f["path"], 8).mapPartitions(gathered), "content binary"))
+    if whole:
+        contents = contents.union(spark.createDataFrame(spark.sparkContext.binaryRecords(",".join(whole), 8).mapPartitions(gathered), "content binary"))
     return contents.mapInPandas(decode, "src long, dst long")
 
 
