@@ -3,10 +3,10 @@
 Texts are dealt into blocks of one language. A block holds, sorted by position, the postings of its frequent words and
 the occurrences of its frequent phrases; positions jump at the ends of pieces. A phrase grows by a merge join of the
 positions behind its occurrences with the postings: the joined list is that of the longer phrase, and its length is the
-phrase's exact frequency in the block. Spark sums the lengths over blocks and sends each block the phrases that are
-frequent in all, named by their first (block, place). A block's rows hold each phrase once, so the most frequent
-phrase has one row a block. Blocks, lists and frequent phrases are tables in the shared folder; none is broadcast
-and none passes through the driver.
+phrase's exact frequency in the block. The lengths of all blocks meet by a hash of the phrase, and each block gets back
+the phrases that are frequent in all, named by their first (block, place). A block tells of each phrase once, so the
+most frequent phrase has one entry a block; the entries of a block that go one way travel as one packed row. Blocks,
+lists and frequent phrases are tables in the shared folder; none is broadcast and none passes through the driver.
 
 Words that are seldom cannot lie in a frequent phrase, and an occurrence grows only where the phrase that starts one
 word later is frequent too; both leave every frequency as it is.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.index import shared_dir
 from . import splits
 from .common import table, written
-from .splits import kinds, lots, packed, unpacked, words
+from .splits import kinds, lots, packed, packed_records, unpacked, unpacked_records, words
 
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: A phrase is named by block and place in the block's list: so many bits for the place, and for a task's own blocks.
@@ -40,7 +40,10 @@ FIRST, LEAST, LONGEST, COVERED = 2000, 30, 4, 80
 BLOCKS = "block long, lang string, n long, words array<string>, counts array<long>, codes binary"
 #: p_* are the phrases' lists, w_* the words' postings: positions, local numbers, and the names of those.
 LISTS = "block long, w_at binary, w_of binary, w_name binary, p_at binary, p_of binary, p_name binary"
-PAIRS = "slot long, phrase long, word long, n long"
+#: Lists' lengths of one block for one part of all phrases; the entries of a part, on average, at most.
+LENGTHS, PART = "part long, block long, entries binary", 1 << 21
+ENTRY = np.dtype([("phrase", "<i8"), ("word", "<i8"), ("place", "<i4"), ("n", "<i4")])
+PAIRS = "slot long, phrase long, word long, total long, name long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +160,50 @@ def _next_lists(size: int):
     return run
 
 
-def _lengths(size: int):
-    """One row for each phrase of size + 1 words of a block: its place, its phrase and word by name, its list's length."""
+def _part(phrase: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
+    """A hash of two names; a phrase goes to one part from all blocks."""
+    mixed = (phrase.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)) % np.uint64(parts)
+
+
+def _lengths(size: int, parts: int):
+    """One row for each part that a block has phrases of size + 1 words in: phrase and word by name, place, length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 lists = Lists(batch.slice(k, 1).to_pylist()[0], size)
                 _, number, phrase, word = lists.grown()
-                n = np.bincount(number, minlength=len(phrase))
-                for start in range(0, len(phrase), 100_000):
-                    some = slice(start, start + 100_000)
-                    slot = (lists.block << PLACE_BITS) + np.arange(len(phrase))[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (slot, lists.p_name[phrase[some]], lists.w_name[word[some]], n[some])], names=["slot", "phrase", "word", "n"])
+                entries = np.zeros(len(phrase), ENTRY)
+                entries["phrase"], entries["word"] = lists.p_name[phrase], lists.w_name[word]
+                entries["place"], entries["n"] = np.arange(len(phrase)), np.bincount(number, minlength=len(phrase))
+                part = _part(entries["phrase"], entries["word"], parts)
+                order = np.argsort(part, kind="stable")
+                there, starts = np.unique(part[order], return_index=True)
+                rows = [packed_records(entries[some]) for some in np.split(order, starts[1:])] if len(there) else []
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(np.full(len(there), lists.block)), pa.array(rows, pa.binary())], names=["part", "block", "entries"])
+
+    return run
+
+
+def _counted(least: int):
+    """The entries of a part whose phrase is frequent in all blocks, with its total and its name, its first slot."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = [unpacked_records(b, ENTRY) for b in rows.column("entries").to_pylist()]
+        blocks = np.repeat(rows.column("block").to_numpy(), [len(f) for f in found])
+        entries = np.concatenate(found)
+        slot = (blocks << PLACE_BITS) + entries["place"]
+        order = np.lexsort((slot, entries["word"], entries["phrase"]))
+        entries, slot = entries[order], slot[order]
+        new = np.ones(len(entries), bool)
+        new[1:] = (entries["phrase"][1:] != entries["phrase"][:-1]) | (entries["word"][1:] != entries["word"][:-1])
+        starts = np.flatnonzero(new)
+        totals, of = np.add.reduceat(entries["n"].astype(np.int64), starts), np.cumsum(new) - 1
+        keep = totals[of] >= least
+        of = of[keep]
+        return pa.table({"slot": slot[keep], "phrase": entries["phrase"][keep], "word": entries["word"][keep], "total": totals[of], "name": slot[starts][of]})
 
     return run
 
@@ -206,6 +240,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = _bucketed(texts.mapInArrow(_blocks, BLOCKS))
     of_lang = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (blocks.agg(F.sum("n")).first()[0] or 0) // PART)
     # counts of words: one row for each block that holds a word
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
     each = each.select(((F.col("block") * (1 << PLACE_BITS)) + F.col("place")).alias("slot"), "lang", F.col("x.words").alias("text"), F.col("x.counts").alias("n"))
@@ -215,7 +250,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered
     word = single.select(F.col("name").alias("word"), F.col("text").alias("last"))
     known, shorter, found = single, None, []
     for size in range(1, longest):
-        frequent = _frequent(lists.mapInArrow(_lengths(size), PAIRS), least, "phrase", "word")
+        frequent = written(lists.mapInArrow(_lengths(size, parts), LENGTHS).groupBy("part").applyInArrow(_counted(least), PAIRS))
         if size + 1 < longest:
             lists = _bucketed(lists.groupBy("block").cogroup(_by_block(frequent)).applyInArrow(_next_lists(size), LISTS))
         here = frequent.where("slot = name").select("name", "phrase", "word", "total")

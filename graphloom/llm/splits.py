@@ -58,16 +58,24 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = False) -> tuple[np.nd
     return text, piece, pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
 
 
+def packed_records(records: np.ndarray) -> bytes:
+    """An array of one fixed-width type as compressed byte planes."""
+    width = records.dtype.itemsize
+    planes = np.ascontiguousarray(np.ascontiguousarray(records).view(np.uint8).reshape(-1, width).T)
+    return len(records).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_records(data: bytes, kind: np.dtype | str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
 def packed(numbers: np.ndarray, rising: bool = False, width: int = 4) -> bytes:
-    """Whole numbers as compressed byte planes; those that only rise as their differences."""
-    if rising:
-        numbers = np.diff(numbers, prepend=0)
-    planes = np.ascontiguousarray(numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T)
-    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers, packed; those that only rise as their differences."""
+    return packed_records((np.diff(numbers, prepend=0) if rising else numbers).astype(f"<i{width}"))
 
 
 def unpacked(data: bytes, rising: bool = False, width: int = 4) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
-    numbers = np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<i{width}").ravel()
+    numbers = unpacked_records(data, f"<i{width}")
     return np.cumsum(numbers) if rising else numbers
