@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.index import shared_dir
+from ..functions import scalars as S
+from ..operators import graph, haplotypes
+from ..operators.index import shared_dir, stored
 from ..sources import sinks, tables
 from . import adapters as A
 from . import pipelines as P
@@ -38,3 +40,43 @@ def edge_files(spark, sf):
     path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
     sinks.edge_files(A.bipartite(spark, sf), path)
     return tables.edge_list(spark, path).where("src between 3 and 60 and dst > 1000050").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+TURNED = A.WALKS + """, l AS (SELECT walk, max(step) AS last FROM w GROUP BY 1),
+b AS (SELECT walk, false AS rev, step, node * 2 + CASE WHEN fwd THEN 0 ELSE 1 END AS o FROM w UNION ALL
+SELECT w.walk, true, last - step, node * 2 + CASE WHEN fwd THEN 1 ELSE 0 END FROM w JOIN l ON l.walk = w.walk)"""
+
+
+def turned(spark, sf):
+    """Both directions of E-seq as walks over oriented nodes: walk (with its direction), step, node."""
+    return graph.both_directions(A.walks(spark, sf)).select("walk", "step", S.oriented(F.col("node"), F.col("fwd")).alias("node"))
+
+
+@query(f"""WITH {TURNED}, p AS (SELECT walk, rev, step, o, lead(o) OVER t AS nxt, list_reverse(list(o) OVER (PARTITION BY walk, rev ORDER BY step)) AS past FROM b WINDOW t AS (PARTITION BY walk, rev ORDER BY step)),
+q AS (SELECT o, nxt, row_number() OVER (ORDER BY past, walk, rev) AS pos FROM p),
+r AS (SELECT o, nxt, pos, pos - row_number() OVER (PARTITION BY o, nxt ORDER BY pos) AS g FROM q),
+s AS (SELECT o, nxt, min(pos) AS start, count(*) AS length FROM r GROUP BY o, nxt, g)
+SELECT o AS node, row_number() OVER (PARTITION BY o ORDER BY start) - 1 AS run, nxt AS next, length FROM s""")
+def transition_runs(spark, sf):
+    """The runs of each node's transitions in the order of pasts, numbered from 0 at each node."""
+    moves = stored(haplotypes.runs(haplotypes.ordered(turned(spark, sf))))
+    from ..operators.index import with_rank
+
+    placed = with_rank(moves.select("node", "next", "start", "length"), "start", name="run")
+    first = placed.groupBy("node").agg(F.min("run").alias("first"))
+    return placed.join(first, "node").select("node", (F.col("run") - F.col("first")).alias("run"), "next", "length")
+
+
+@query(f"""WITH {TURNED}, t AS (SELECT walk, rev, o AS a, lead(o, 1) OVER s AS b, lead(o, 2) OVER s AS c FROM b WINDOW s AS (PARTITION BY walk, rev ORDER BY step)),
+q AS (SELECT DISTINCT a, b, c FROM t WHERE NOT rev AND c IS NOT NULL)
+SELECT a, b, c, count(*) AS hits, count(DISTINCT (walk, rev)) AS walks FROM t JOIN q USING (a, b, c) GROUP BY a, b, c""")
+def walks_with(spark, sf):
+    """Every three steps of a walk as a pattern, looked up in all walks and their reverses."""
+    steps = stored(turned(spark, sf))
+    order = haplotypes.ordered(steps)
+    pairs = graph.step_pairs(steps.where("not walk.reverse").withColumn("fwd", F.lit(True))).select("walk", "step", "src", "dst")
+    after = pairs.select("walk", (F.col("step") - 1).alias("step"), F.col("dst").alias("third"))
+    triples = stored(pairs.join(after, ["walk", "step"]).select(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("third").alias("c")).alias("pattern")).distinct())
+    patterns = triples.select("pattern", F.posexplode(F.array("pattern.a", "pattern.b", "pattern.c")).alias("at", "node"))
+    found = haplotypes.walks_with(order, haplotypes.runs(order), patterns)
+    return found.select("pattern.a", "pattern.b", "pattern.c", "hits", "walks")
