@@ -38,8 +38,13 @@ def overlaps(walks: DataFrame, start: int, end: int, base: str | None = None) ->
 
 def region_overlaps(walks: DataFrame, regions: DataFrame, bucket: int = 256) -> DataFrame:
     """As overlaps, for many regions(region, walk, lo, hi): an equi-join on (walk, bucket of coordinates)."""
+    return placed_overlaps(offsets(walks), regions, bucket)
+
+
+def placed_overlaps(placed: DataFrame, regions: DataFrame, bucket: int = 256) -> DataFrame:
+    """region_overlaps of steps that have their start and end."""
     buckets = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor((b - 1) / bucket)))
-    steps = offsets(walks).where("len > 0").withColumn("bucket", buckets(F.col("start"), F.col("end")))
+    steps = placed.where("len > 0").withColumn("bucket", buckets(F.col("start"), F.col("end")))
     asked = regions.where("hi > lo").withColumn("bucket", buckets(F.col("lo"), F.col("hi")))
     met = steps.join(asked, ["walk", "bucket"]).where((F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")))
     # a pair is kept in the first bucket both are in
@@ -50,7 +55,11 @@ def region_overlaps(walks: DataFrame, regions: DataFrame, bucket: int = 256) ->
 
 def seek(walks: DataFrame, targets: DataFrame, every: int = 10, size: int = blocks.PLACES) -> DataFrame:
     """(walk, target, step, start): the last sampled step (every so many) that starts at or before a target."""
-    samples = offsets(walks).where(F.col("step") % every == 0).select("walk", "step", "start")
+    return last_samples(offsets(walks).where(F.col("step") % every == 0).select("walk", "step", "start"), targets, size)
+
+
+def last_samples(samples: DataFrame, targets: DataFrame, size: int = blocks.PLACES) -> DataFrame:
+    """seek in samples(walk, step, start) that are there already."""
     placed = samples.select("walk", F.col("start").alias("at"), F.lit(0).alias("kind"), "step", "start", F.lit(None).cast("bigint").alias("target"))
     asked = targets.select("walk", F.col("target").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("step"), F.lit(None).cast("bigint").alias("start"), "target")
     # samples come before targets of the same place; the last sample before a target is carried forward

@@ -51,3 +51,15 @@ def perturbed(edges: DataFrame, n: int, drop: float, add: int, seed: int = 1) ->
     kept = edges.where(_chance(seed, F.col("src"), F.col("dst")) >= drop)
     extra = edges.sparkSession.range(add).select(F.floor(_chance(seed + 1, F.col("id")) * n).alias("src"), F.floor(_chance(seed + 2, F.col("id")) * n).alias("dst")).where("src <> dst")
     return kept.select("src", "dst").unionByName(extra)
+
+
+def digit_ring(ids: DataFrame, digits: int) -> DataFrame:
+    """Edges over ids(id) that run from 0 without a gap: a clique among ids that differ in one of their last decimal
+    digits, and a ring over what stands before these. Its Laplacian has the eigenvalues 10 a + 2 - 2 cos(2 pi j / m), a
+    up to digits, m the numbers before the digits, j below m."""
+    n = ids.count()
+    tens = 10**digits
+    if n % tens:
+        raise ValueError(f"{n} ids do not end in {digits} full digits")
+    ahead = F.array(*(F.when(F.expr(f"id div {10**p} % 10 < {10 - k}"), F.col("id") + k * 10**p) for p in range(digits) for k in range(1, 10)), *([(F.col("id") + tens) % n] if n > tens else []))
+    return ids.select(F.col("id").alias("src"), F.explode(ahead).alias("dst")).where("dst is not null")

@@ -52,6 +52,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *columns: str, parts: int | None = None) -> DataFrame:
+    """As stored, in buckets of the columns: joins and groups by them need no exchange of this side."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, *columns).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; found and its files stay
+    return found
+
+
 def node_index(names: DataFrame, numeric: bool = True) -> DataFrame:
     """(name, idx): dense ranks of the distinct names of a one-column frame.
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import assembly_matches, plain_contig, three_field_name
-from ..operators import coords, graph, index, intervals, sequence, snarls, spectral, windows
-from ..sources import gfa, sinks
+from ..operators import coords, graph, index, intervals, krylov, sequence, snarls, spectral, windows
+from ..sources import bundles, gfa, sinks
 
 #: Names of reference samples in the order they are tried.
 ASSEMBLIES = ("grch38", "chm13", "hg38", "t2t", "")
@@ -34,10 +34,17 @@ def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def convert(spark: SparkSession, path: str, out: str) -> None:
-    """Graph text to an edge table laid out by source node, and the node index."""
+    """Graph text to an edge table laid out by source node, and to laid-out graph tables."""
     parts = bundle(spark, path)
     sinks.edges(parts["edges"], f"{out}/edges")
-    sinks.bundle(out, nodes=parts["nodes"], links=parts["links"], walks=parts["walks"], paths=parts["paths"])
+    bundles.write(parts, out)
+
+
+def resolve(spark: SparkSession, path: str, out: str) -> dict[str, DataFrame]:
+    """The graph tables below out: those that are there, or else made from graph text."""
+    if not bundles.exists(spark, out):
+        convert(spark, path, out)
+    return bundles.read(spark, out)
 
 
 def extract(edges: DataFrame, start: int, end: int) -> dict[str, DataFrame]:
@@ -118,10 +125,17 @@ def make_sequence(parts: dict[str, DataFrame], region: str, assemblies: Sequence
 
 
 def region_score(parts: dict[str, DataFrame], region: str, exact: bool = True) -> DataFrame:
-    """(region, nodes, score) of the subgraph of a region: edges once, loops left out."""
+    """(region, nodes, score) of the subgraph of a region: edges once, loops left out.
+
+    A region beyond one task is scored by random probes over tables; an exact score of it is refused.
+    """
     nodes = coord2node(parts, region).select("node").distinct()
-    coo = graph.laplacian(graph.within(parts["edges"], nodes), loops="skip", multi="drop").withColumn("win", F.lit(0).cast("bigint"))
-    return spectral.block_scores(coo, "win", exact, degree=64, probes=24).select(F.lit(region).alias("region"), "nodes", "score")
+    coo = index.stored(graph.laplacian(graph.within(parts["edges"], nodes), loops="skip", multi="drop"))
+    small = coo.select("row").distinct().count() <= spectral.FULL_ORDER
+    if not small and exact:
+        raise ValueError(f"an exact score of a region of over {spectral.FULL_ORDER} nodes; ask for random probes")
+    scores = spectral.block_scores(coo.withColumn("win", F.lit(0).cast("bigint")), "win", exact, degree=64, probes=24) if small else krylov.probe_score(coo)
+    return scores.select(F.lit(region).alias("region"), "nodes", "score")
 
 
 def feature_matrix(walks: DataFrame, topology: DataFrame) -> DataFrame:
@@ -139,15 +153,18 @@ def name_counts(paths: DataFrame) -> DataFrame:
 
 
 def lowest_eigenpairs(edges: DataFrame, start: int, end: int, k: int = 10) -> DataFrame:
-    """(k, eigenvalue, residual, node, entry): the smallest eigenpairs of a node range, exact or by Lanczos as its size
-    asks. The residual is the length of M v - value v, which tells how far Lanczos' steps went."""
+    """(k, eigenvalue, residual, node, entry): the smallest eigenpairs of a node range, in one task up to FULL_ORDER nodes,
+    by a Krylov space over tables beyond. The residual is the length of M v - value v, which tells how far that went."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, values, vectors = spectral.smallest(pdf, k)
         at, left = np.arange(len(values)), np.linalg.norm(spectral.Entries(pdf) @ vectors - vectors * values, axis=0)
         return pd.DataFrame({"k": np.repeat(at, len(nodes)), "eigenvalue": np.repeat(values, len(nodes)), "residual": np.repeat(left, len(nodes)), "node": np.tile(nodes, len(values)), "entry": vectors.T.ravel()})
 
-    coo = graph.laplacian(graph.in_range(edges, start, end))
+    coo = index.stored(graph.laplacian(graph.in_range(edges, start, end)))
+    if coo.select("row").distinct().count() > spectral.FULL_ORDER:
+        values, vectors = krylov.lowest(coo, k)
+        return values.join(vectors, "k").select("k", "eigenvalue", "residual", "node", "entry")
     return coo.groupBy(F.lit(0).alias("__block")).applyInPandas(solve, "k long, eigenvalue double, residual double, node long, entry double")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graph, haplotypes
+from ..operators import generators, graph, haplotypes, krylov, position_index
 from ..operators.index import shared_dir, stored
 from ..sources import sinks, tables
 from . import adapters as A
@@ -80,3 +80,38 @@ def walks_with(spark, sf):
     patterns = triples.select("pattern", F.posexplode(F.array("pattern.a", "pattern.b", "pattern.c")).alias("at", "node"))
     found = haplotypes.walks_with(order, haplotypes.runs(order), patterns)
     return found.select("pattern.a", "pattern.b", "pattern.c", "hits", "walks")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM customer), d AS (SELECT n, max(p) AS p FROM n, range(0, 12) AS t(p) WHERE n % pow(10, p)::BIGINT = 0 GROUP BY n),
+m AS (SELECT p, n // pow(10, p)::BIGINT AS m FROM d),
+v AS (SELECT DISTINCT round(10 * a.range + 2 - 2 * cos(2 * pi() * j.range / m), 6) AS eigenvalue FROM m, range(13) AS a, range(100000) AS j WHERE a.range <= p AND j.range < m)
+SELECT row_number() OVER (ORDER BY eigenvalue) - 1 AS k, eigenvalue + 0.0 AS eigenvalue FROM v ORDER BY eigenvalue LIMIT 5""")
+def lowest_eigenvalues(spark, sf):
+    """A ring of cliques over all customers, whose eigenvalues have a closed form, by a Krylov space over tables."""
+    from ..operators.index import contiguous_index
+
+    ids = stored(contiguous_index(A.table(spark, sf, "customer").select("c_custkey")).select(F.col("idx").alias("id")))
+    n, digits = ids.count(), 0
+    while n and n % 10 ** (digits + 1) == 0:
+        digits += 1
+    coo = graph.laplacian(generators.digit_ring(ids, digits))
+    values, _ = krylov.lowest(coo, 5)
+    return values.select("k", (F.round("eigenvalue", 6) + 0.0).alias("eigenvalue"))
+
+
+@query(f"WITH {A.FRAGMENTS} SELECT idx AS node, count(*) AS visits, count(DISTINCT walk) AS walks, CAST(sum(len) AS BIGINT) AS bases FROM fr JOIN gn USING (node) GROUP BY 1")
+def bundle_visits(spark, sf):
+    """Graph text to laid-out tables and back: what is walked of each node, without an exchange of steps."""
+    parts = P.resolve(spark, A.graph_text(spark, sf), f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}")
+    met = parts["visits"].join(parts["nodes"].select("node", F.col("len").alias("own")), "node")
+    return met.groupBy("node").agg(F.count("*").alias("visits"), F.countDistinct("walk").alias("walks"), F.sum("own").alias("bases"))
+
+
+@query(f"""WITH {A.OFFSETS}, t AS (SELECT user_id AS walk, CAST(floor(value * 10) AS BIGINT) AS target FROM events GROUP BY 1, 2)
+SELECT t.walk, target, step, node, fwd, target - s AS offset FROM t JOIN o ON o.walk = t.walk AND s <= target AND e > target""")
+def stored_places(spark, sf):
+    """Places along walks looked up in a stored index: the steps that hold them."""
+    path = f"{shared_dir(spark)}/positions-{uuid.uuid4().hex}"
+    position_index.write(A.walks(spark, sf), path)
+    targets = A.table(spark, sf, "events").select(F.col("user_id").alias("walk"), F.floor(F.col("value") * 10).cast("bigint").alias("target")).distinct()
+    return position_index.PositionIndex(spark, path).at(targets)

@@ -150,9 +150,3 @@ def manifest(df_session, values: dict[str, str], path: str) -> None:
     if any(c in str(v) for v in values.values() for c in "\t\r\n"):
         raise CatalogError("a manifest value holds a tab or a line end")
     df_session.createDataFrame([(f"{k}\t{v}",) for k, v in values.items()], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def bundle(path: str, **frames: DataFrame) -> None:
-    """A graph as a folder of tables, for example nodes, edges, walks and paths."""
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
