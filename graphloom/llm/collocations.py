@@ -43,7 +43,11 @@ LISTS = "block long, w_at binary, w_of binary, w_name binary, p_at binary, p_of
 #: Lists' lengths of one block for one part of all phrases; the entries of a part, on average, at most.
 LENGTHS, PART = "part long, block long, entries binary", 1 << 21
 ENTRY = np.dtype([("phrase", "<i8"), ("word", "<i8"), ("place", "<i4"), ("n", "<i4")])
-PAIRS = "slot long, phrase long, word long, total long, name long"
+#: Of a part and a block: places and names of its frequent phrases, and what is new in phrases first met there.
+FREQUENT = "block long, names binary, phrases binary"
+NAMED = np.dtype([("place", "<i4"), ("name", "<i8")])
+PHRASE = np.dtype([("name", "<i8"), ("phrase", "<i8"), ("word", "<i8"), ("total", "<i8")])
+PHRASES = "name long, phrase long, word long, total long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +130,11 @@ def _none() -> pa.Table:
 
 def _chosen(frequent: pa.Table, total: int) -> tuple[np.ndarray, np.ndarray]:
     """New numbers of a block's old ones, -1 for those that are not frequent, and the names of the new ones."""
-    place, name = frequent.column("place").to_numpy(), frequent.column("name").to_numpy()
+    if "names" in frequent.column_names:
+        found = np.concatenate([unpacked_records(b, NAMED) for b in frequent.column("names").to_pylist()])
+        place, name = found["place"], found["name"]
+    else:
+        place, name = frequent.column("place").to_numpy(), frequent.column("name").to_numpy()
     new = np.full(total + 1, -1, np.int64)  # the last one stands for the gaps between pieces
     new[place] = np.arange(len(place))
     return new, name
@@ -188,26 +196,43 @@ def _lengths(size: int, parts: int):
 
 
 def _counted(least: int):
-    """The entries of a part whose phrase is frequent in all blocks, with its total and its name, its first slot."""
+    """The phrases of a part that are frequent in all blocks, back to the blocks that hold them."""
 
     def run(rows: pa.Table) -> pa.Table:
         found = [unpacked_records(b, ENTRY) for b in rows.column("entries").to_pylist()]
         blocks = np.repeat(rows.column("block").to_numpy(), [len(f) for f in found])
         entries = np.concatenate(found)
-        slot = (blocks << PLACE_BITS) + entries["place"]
-        order = np.lexsort((slot, entries["word"], entries["phrase"]))
-        entries, slot = entries[order], slot[order]
+        order = np.lexsort((entries["place"], blocks, entries["word"], entries["phrase"]))
+        entries, blocks = entries[order], blocks[order]
         new = np.ones(len(entries), bool)
         new[1:] = (entries["phrase"][1:] != entries["phrase"][:-1]) | (entries["word"][1:] != entries["word"][:-1])
         starts = np.flatnonzero(new)
         totals, of = np.add.reduceat(entries["n"].astype(np.int64), starts), np.cumsum(new) - 1
-        keep = totals[of] >= least
-        of = of[keep]
-        return pa.table({"slot": slot[keep], "phrase": entries["phrase"][keep], "word": entries["word"][keep], "total": totals[of], "name": slot[starts][of]})
+        keep = np.flatnonzero(totals[of] >= least)
+        names = np.zeros(len(keep), NAMED)
+        first = starts[of[keep]]
+        names["place"], names["name"] = entries["place"][keep], (blocks[first] << PLACE_BITS) + entries["place"][first]
+        phrases = np.zeros(len(keep), PHRASE)
+        for c in ("phrase", "word"):
+            phrases[c] = entries[c][keep]
+        phrases["name"], phrases["total"] = names["name"], totals[of[keep]]
+        here, opens = blocks[keep], keep == first
+        order = np.argsort(here, kind="stable")
+        there, begins = np.unique(here[order], return_index=True)
+        groups = np.split(order, begins[1:]) if len(there) else []
+        cells = [(packed_records(names[g]), packed_records(phrases[g[opens[g]]])) for g in groups]
+        return pa.table({"block": there, "names": pa.array([c[0] for c in cells], pa.binary()), "phrases": pa.array([c[1] for c in cells], pa.binary())})
 
     return run
 
 
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("phrases").to_pylist():
+            found = unpacked_records(data, PHRASE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in PHRASE.names], names=list(PHRASE.names))
+
+
 def _bucketed(lists: DataFrame) -> DataFrame:
     """The table of lists, once, in the shared folder and in buckets of blocks."""
     spark = lists.sparkSession
@@ -250,10 +275,10 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered
     word = single.select(F.col("name").alias("word"), F.col("text").alias("last"))
     known, shorter, found = single, None, []
     for size in range(1, longest):
-        frequent = written(lists.mapInArrow(_lengths(size, parts), LENGTHS).groupBy("part").applyInArrow(_counted(least), PAIRS))
+        counted = written(lists.mapInArrow(_lengths(size, parts), LENGTHS).groupBy("part").applyInArrow(_counted(least), FREQUENT))
         if size + 1 < longest:
-            lists = _bucketed(lists.groupBy("block").cogroup(_by_block(frequent)).applyInArrow(_next_lists(size), LISTS))
-        here = frequent.where("slot = name").select("name", "phrase", "word", "total")
+            lists = _bucketed(lists.groupBy("block").cogroup(counted.select("block", "names").groupBy("block")).applyInArrow(_next_lists(size), LISTS))
+        here = written(counted.select("phrases").mapInArrow(_phrases, PHRASES))
         head = known.select(F.col("name").alias("phrase"), "lang", "text", "heads", F.col("rest").alias("within"))
         grown = here.join(head, "phrase").join(word, "word")
         if shorter is None:
