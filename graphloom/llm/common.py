@@ -47,31 +47,43 @@ def fresh(df: DataFrame, stem: str) -> str:
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a row number, and the number's column name.
 
-    Stages that return whole rows decide by number and read the rows again. So numbers must not change with a lost
-    executor or another division into tasks: rows of a scan of files are numbered by file and place in the file, and
-    the rows of any other frame are numbered once and written to the shared folder.
+    Stages that return whole rows decide by number and read the rows again. So numbers, and the rows themselves, must
+    not change with a lost executor or another division into tasks. Only the rows of files that are read as they stand,
+    with columns chosen and rows filtered by what they hold, are numbered by file and place in the file; the rows of
+    any other frame (samples, random filters, deduplications, joins, unions) are drawn once and written, numbered, to
+    the shared folder.
     """
     row = fresh(docs, "row")
-    placed = _placed(docs, row)
+    placed = _placed(docs, row) if _stands(docs) else None
     return placed if placed is not None else written(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
+def _stands(docs: DataFrame) -> bool:
+    """Whether the rows are those of files, chosen by nothing but their own values."""
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+    except AttributeError:  # a remote session does not show its plans
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def _placed(docs: DataFrame, row: str) -> DataFrame | None:
-    """docs numbered by place; None where its rows have no place of their own in at most FILES files."""
+    """docs numbered by place; None where its files do not tell places, or are more than FILES."""
     path, at, n = (fresh(docs, x) for x in ("path", "at", "file_number"))
     try:
         meta = docs.metadataColumn("_metadata")
         found = docs.withColumns({path: meta["file_path"], at: meta["row_index"]})
     except AnalysisException:  # no files, or a format without places
         return None
-    files = sorted(r[0] for r in found.select(path).distinct().limit(FILES + 1).collect() if r[0] is not None)
+    files = sorted(r[0] for r in found.select(path).distinct().limit(FILES + 1).collect())
     if len(files) > FILES:
         return None
     number = docs.sparkSession.createDataFrame([(f, k << 36) for k, f in enumerate(files)], f"`{path}` string, `{n}` long")
-    placed = found.join(F.broadcast(number), path).withColumn(row, F.col(n) + F.col(at)).drop(path, at, n)
-    # a frame made from a scan may repeat a place, as explode does, or lose it, as a union does
-    facts = placed.select(row).groupBy(row).count().agg(F.count("*").alias("places"), F.sum("count").alias("rows")).first()
-    return placed if facts["places"] == (facts["rows"] or 0) == docs.count() else None
+    return found.join(F.broadcast(number), path).withColumn(row, F.col(n) + F.col(at)).drop(path, at, n)
 
 
 def without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:

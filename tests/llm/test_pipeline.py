@@ -137,9 +137,42 @@ def test_rows_without_a_place_of_their_own(spark, tmp_path):
     plain = spark.createDataFrame(rows, "doc_id long, text string")
     plain.repartition(4).write.parquet(str(tmp_path / "docs"))
     scan = spark.read.parquet(str(tmp_path / "docs"))
-    assert common._placed(scan, "row") is not None and common._placed(scan.where("doc_id < 30"), "row").count() == 30
-    for docs in (plain, scan.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), scan.union(scan), scan.union(plain), plain.union(scan), scan.join(plain, ["doc_id", "text"])):
-        assert common._placed(docs, "row") is None or docs.count() == 40
+    place = lambda df: common._stands(df) and common._placed(df, "row") is not None
+    chosen = scan.where("doc_id < 30").select("doc_id", F.upper("text").alias("text"))
+    assert place(scan) and place(chosen) and common._placed(chosen, "row").count() == 30
+    unions = (scan.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), scan.union(scan), scan.union(plain), plain.union(scan), scan.join(plain, ["doc_id", "text"]))
+    for docs in (plain, *unions):
+        assert not place(docs)
         kept, row = common.numbered(docs)
         assert kept.select(row).distinct().count() == docs.count() and kept.drop(row).columns == docs.columns
         assert sorted(r["doc_id"] for r in exact_dedup.drop_duplicates(docs).collect()) == list(range(0, 40, 2))
+
+
+RANDOM = {
+    "filter": lambda docs: docs.where(F.rand(7) < 0.5),
+    "sample": lambda docs: docs.sample(0.5, seed=3),
+    "column": lambda docs: docs.withColumn("k", F.rand(1)).where("k < 0.5"),
+    "distinct": lambda docs: docs.dropDuplicates(["text"]),
+    "limit": lambda docs: docs.limit(150),
+    "order": lambda docs: docs.orderBy(F.rand(2)).limit(200),
+}
+
+
+@pytest.mark.parametrize("kind", RANDOM)
+def test_random_frames_are_drawn_once(spark, tmp_path, kind):
+    """Whatever becomes of the division into tasks, a stage decides on one draw and returns rows of that draw."""
+    texts = [" ".join(f"w{i % 40}x{j}" for j in range(30)) for i in range(400)]
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(str(tmp_path / "docs"))
+    for stage in (exact_dedup.drop_duplicates, simhash.keep_one):
+        draws = []
+        try:
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            out = stage(RANDOM[kind](spark.read.parquet(str(tmp_path / "docs"))))
+            for parts in ("1", "8", "3"):
+                spark.conf.set("spark.sql.files.minPartitionNum", parts)
+                draws.append(sorted((r["doc_id"], r["text"]) for r in out.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert draws[0] == draws[1] == draws[2] and draws[0]
+        found = [t for _, t in draws[0]]
+        assert len(set(found)) == len(found) and all(texts[i] == t for i, t in draws[0])
