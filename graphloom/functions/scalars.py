@@ -196,6 +196,15 @@ def midpoint(start: Column, end: Column) -> Column:
     return (start + end) / 2.0
 
 
+def deviation_colour(value: Column, deviation: Column) -> tuple[Column, Column, Column, Column]:
+    """Red, green, blue and opacity, from 0 to 1: red above the mean and blue below, brighter up to two deviations away;
+    a value of 0 is black."""
+    bright = F.least(F.abs(deviation), F.lit(2.0)) / 2.0
+    red = F.when((value != 0) & (deviation >= 0), bright).otherwise(0.0)
+    blue = F.when((value != 0) & (deviation < 0), bright).otherwise(0.0)
+    return red, F.lit(0.0), blue, F.lit(1.0)
+
+
 def hsl_to_rgb(hue: Column, saturation: Column, lightness: Column) -> tuple[Column, Column, Column]:
     """Red, green and blue from 0 to 255 of a hue in degrees and shares of 1."""
     chroma = (1 - F.abs(2 * lightness - 1)) * saturation

@@ -70,6 +70,15 @@ def diploid(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.unionByName(right).groupBy(*by).agg(F.sum("value").alias("value"))
 
 
+def diploid_sites(left: DataFrame, right: DataFrame, site: Sequence[str], column: str = "column") -> DataFrame:
+    """As diploid, of site vectors with one row for each column; refuses sites whose two vectors differ in length."""
+    sizes = [side.groupBy(*site).agg(F.count("*").alias(n)) for side, n in ((left, "a"), (right, "b"))]
+    odd = sizes[0].join(sizes[1], list(site)).where("a <> b").first()
+    if odd is not None:
+        raise ValueError(f"the vectors of {[odd[c] for c in site]} have {odd['a']} and {odd['b']} columns")
+    return diploid(left, right, [*site, column])
+
+
 def expectations(panel: DataFrame) -> DataFrame:
     """(rule, broken): sites whose frequencies are negative, do not sum to 1, or whose places have gaps."""
     site = panel.groupBy("site").agg(F.min("frequency").alias("low"), F.sum("frequency").alias("total"), F.max("idx").alias("last"), F.count("*").alias("k"))

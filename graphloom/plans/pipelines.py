@@ -87,6 +87,13 @@ def coord2node(parts: dict[str, DataFrame], region: str, assemblies: Sequence[st
     return coords.overlaps(reference_walks(parts["walks"], parts["paths"], contig, assemblies), start, end, "fragment").drop("fragment")
 
 
+def extracted_ratio(parts: dict[str, DataFrame], region: str, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
+    """(walk, bases, ratio): what each reference walk holds of a region, and its share of the region's length."""
+    _, start, end = parse(region)
+    inside = coord2node(parts, region, assemblies).groupBy("walk").agg(F.sum(F.col("off_end") - F.col("off_start")).alias("bases"))
+    return inside.withColumn("ratio", F.col("bases") / (end - start))
+
+
 def node2coord(parts: dict[str, DataFrame], nodes: DataFrame, assemblies: Sequence[str] = ASSEMBLIES) -> DataFrame:
     """Where nodes(node) lie on the contigs of reference walks; of any walk where there is no reference."""
     return coords.node_to_coordinates(reference_walks(parts["walks"], parts["paths"], None, assemblies), nodes, "fragment")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 
@@ -155,14 +154,15 @@ def bandwidth_sparsity(spark, sf):
 # Windows
 
 
-@query("SELECT s AS start, s + 40 AS \"end\" FROM (SELECT range AS s FROM range(0, 961, 30)) UNION SELECT 960, 1000")
+@query("""WITH l AS (SELECT max(p_partkey) AS n FROM part) SELECT range AS start, range + 40 AS "end" FROM range(0, (SELECT n - 39 FROM l), 30)
+UNION SELECT n - 40, n FROM l WHERE ((n - 40) // 30 + 1) * 30 < n""")
 def node_windows(spark, sf):
-    return windows.node_windows(spark, 0, 1000, 40, 10)
+    return windows.node_windows(spark, 0, A.table(spark, sf, "part").agg(F.max("p_partkey")).first()[0], 40, 10)
 
 
-@query("SELECT range AS start, least(range + 2000, 284000 + 500) AS \"end\" FROM range(0, 284500, 2000)")
+@query('WITH l AS (SELECT 100 * count(*) + 500 AS n FROM orders) SELECT range AS start, least(range + 2000, n) AS "end" FROM range(0, (SELECT n FROM l), 2000), l')
 def coordinate_windows(spark, sf):
-    return windows.coordinate_windows(spark, 0, 284500, 2000)
+    return windows.coordinate_windows(spark, 0, 100 * A.table(spark, sf, "orders").count() + 500, 2000)
 
 
 @query("SELECT range AS start, range + 200 AS \"end\" FROM range(0, (SELECT max(l_partkey) FROM lineitem) + 1, 5)")
@@ -192,29 +192,29 @@ def gene_annotation(spark, sf):
 # Spectra
 
 
-def _path_spectrum(spark, n=64):
-    return spark.range(n).select(F.lit(0).cast("bigint").alias("win"), (2 - 2 * F.cos(F.col("id") * (math.pi / n))).alias("eigenvalue"))
+#: Numbers of orders as spectra: what each line's quantity has over 3.
+SPECTRA = "v AS (SELECT l_orderkey AS win, CAST(l_quantity AS DOUBLE) - 3 AS x FROM lineitem)"
 
 
-PATH = "v AS (SELECT 2 - 2 * cos(range * pi() / 64) AS x FROM range(64))"
-
-
-@query(f"WITH {PATH}, t AS (SELECT sum(x) AS s, count(*) AS m FROM v) SELECT 0::BIGINT AS win, round(-sum(CASE WHEN x > 1e-15 THEN (x / s) * ln(x / s) ELSE 0 END) / ln(max(m)), 9) AS strict_score, round(-sum(CASE WHEN x > 1e-15 THEN (x / s) * ln(x / s) ELSE 0 END) / ln(max(m)), 9) AS lenient_score FROM v, t")
+@query(f"""WITH {SPECTRA}, t AS (SELECT win, min(x) AS low, count(*) AS m, sum(x) AS s, sum(CASE WHEN x > 1e-15 THEN x * ln(x) ELSE 0 END) AS e, count(*) FILTER (x >= -1e-9) AS lm, sum(x) FILTER (x > 0) AS ls FROM v GROUP BY 1)
+SELECT win, CASE WHEN low >= -1e-9 AND s > 0 AND m > 1 THEN round((ln(CASE WHEN s > 0 THEN s ELSE 1 END) - e / CASE WHEN s > 0 THEN s ELSE 1 END) / ln(m), 9) + 0.0 END AS strict_score,
+  CASE WHEN coalesce(ls, 0) = 0 THEN 0.0 WHEN lm <= 1 THEN -1.0 ELSE round((ln(ls) - e / ls) / ln(lm), 9) + 0.0 END AS lenient_score FROM t""")
 def entropy_from_spectrum(spark, sf):
-    v = _path_spectrum(spark)
+    v = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("win"), (F.col("l_quantity").cast("double") - 3).alias("eigenvalue"))
     strict = spectral.score_of_spectrum(v, "win").withColumnRenamed("score", "strict_score")
     lenient = spectral.score_of_spectrum(v, "win", strict=False).withColumnRenamed("score", "lenient_score")
-    return strict.join(lenient, "win").select("win", F.round("strict_score", 9).alias("strict_score"), F.round("lenient_score", 9).alias("lenient_score"))
+    return strict.join(lenient, "win").select("win", (F.round("strict_score", 9) + 0.0).alias("strict_score"), (F.round(F.nanvl("lenient_score", F.lit(-1.0)), 9) + 0.0).alias("lenient_score"))
 
 
-@query("SELECT range AS id, round(CASE WHEN range * 0.25 > 1e-15 THEN range * 0.25 * ln(range * 0.25) ELSE 0 END, 9) AS y FROM range(40)")
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount > 1e-15 THEN l_discount * ln(CASE WHEN l_discount > 0 THEN l_discount ELSE 1 END) ELSE 0 END, 9) AS y FROM lineitem")
 def x_ln_x(spark, sf):
-    return spark.range(40).select("id", F.round(S.x_ln_x(F.col("id") * 0.25), 9).alias("y"))
+    return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.x_ln_x(F.col("l_discount").cast("double")), 9).alias("y"))
 
 
-@query("WITH t AS (SELECT (range + 0.5) * pi() / 17 AS th FROM range(17)), f AS (SELECT th, CASE WHEN (cos(th) + 1) * 2 > 1e-15 THEN (cos(th) + 1) * 2 * ln((cos(th) + 1) * 2) ELSE 0 END AS y FROM t) SELECT CAST(k AS INTEGER) AS k, round(sum(cos(k * th) * y) * CASE WHEN k = 0 THEN 1.0 / 17 ELSE 2.0 / 17 END, 7) AS coefficient FROM f, (SELECT range AS k FROM range(17)) GROUP BY k")
+@query("WITH h AS (SELECT max(l_quantity)::DOUBLE / 2 AS h FROM lineitem), t AS (SELECT (range + 0.5) * pi() / 17 AS th FROM range(17)), f AS (SELECT th, CASE WHEN (cos(th) + 1) * h > 1e-15 THEN (cos(th) + 1) * h * ln((cos(th) + 1) * h) ELSE 0 END AS y FROM t, h) SELECT CAST(k AS INTEGER) AS k, round(sum(cos(k * th) * y) * CASE WHEN k = 0 THEN 1.0 / 17 ELSE 2.0 / 17 END, 7) AS coefficient FROM f, (SELECT range AS k FROM range(17)) GROUP BY k")
 def chebyshev_coefficients(spark, sf):
-    return spectral.chebyshev_table(spark, 4.0, 16).select("k", F.round("coefficient", 7).alias("coefficient"))
+    top = float(A.table(spark, sf, "lineitem").agg(F.max("l_quantity")).first()[0])
+    return spectral.chebyshev_table(spark, top, 16).select("k", F.round("coefficient", 7).alias("coefficient"))
 
 
 @query()
@@ -681,9 +681,15 @@ def best_signature(spark, sf):
     return means.groupBy("individual", "site").agg(F.max_by("idx", F.struct("mean", -F.col("idx"))).alias("idx"))
 
 
-@query(f"WITH {SIGS} SELECT site, idx, node FROM g WHERE node % 10 <> 9")
+@query(f"""WITH {A.PANEL}, g AS (SELECT DISTINCT a.site, p.idx, p_size AS node FROM a JOIN p ON p.site = a.site AND p.label = a.label JOIN part ON p_partkey = hap),
+k AS (SELECT site, count(DISTINCT idx) AS k FROM g GROUP BY 1), s AS (SELECT site, node FROM g JOIN k USING (site) GROUP BY site, node, k HAVING count(DISTINCT idx) = k),
+m AS (SELECT g.*, s.node IS NOT NULL AS shared FROM g LEFT JOIN s ON s.site = g.site AND s.node = g.node)
+SELECT site, idx, node FROM m WHERE NOT shared OR NOT EXISTS (SELECT 1 FROM m x WHERE x.site = m.site AND x.idx = m.idx AND NOT x.shared)""")
 def informative_nodes(spark, sf):
-    return alleles.informative(_signatures(spark))
+    calls = A.allele_calls(spark, sf)
+    panel = alleles.pooled(calls)
+    own = calls.join(panel.select("site", "label", "idx"), ["site", "label"]).join(A.table(spark, sf, "part").select(F.col("p_partkey").alias("hap"), F.col("p_size").alias("node")), "hap")
+    return alleles.informative(own.select("site", "idx", "node").distinct())
 
 
 @query(f"WITH {VALUES}, {SIGS}, m AS (SELECT individual, site, idx, sum(value) / 2 AS mean FROM g JOIN z ON z.node = g.node WHERE g.node % 10 <> 9 GROUP BY 1, 2, 3 HAVING sum(value) > 0) SELECT individual, site, idx, round(mean / sum(mean) OVER (PARTITION BY individual, site), 6) AS p FROM m UNION ALL SELECT individual, site, max_by(idx, (mean, -idx)), 1.0 FROM (SELECT individual, site, idx, round(sum(value) / 3, 9) AS mean FROM g JOIN z ON z.node = g.node GROUP BY 1, 2, 3) a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.individual = a.individual AND m.site = a.site) GROUP BY 1, 2")
@@ -838,14 +844,14 @@ def word_graph_degree(spark, sf):
     return graph.degrees(graph.distinct_edges(pairs).where("src <> dst"))
 
 
-@query("SELECT range AS src, (range + k) % 200 AS dst FROM range(200), (SELECT unnest([1, 2, 3]) AS k)")
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT range AS src, (range + k) % n AS dst FROM range(0, (SELECT n FROM n)), n, (SELECT unnest([1, 2, 3]) AS k)")
 def circulant_graph(spark, sf):
-    return generators.circulant(spark, 200, (1, 2, 3))
+    return generators.circulant(spark, A.table(spark, sf, "customer").count(), (1, 2, 3))
 
 
-@query("WITH c AS (SELECT a.range AS src, b.range AS dst FROM range(100) a, range(100) b WHERE a.range < b.range AND a.range // 10 = b.range // 10) SELECT src, dst FROM c UNION ALL SELECT range * 10 + 9, range * 10 + 10 FROM range(9)")
+@query("WITH n AS (SELECT count(*) AS n FROM supplier), c AS (SELECT a.range AS src, a.range // 10 * 10 + b.range AS dst FROM range(0, (SELECT n * 10 FROM n)) a, range(10) b WHERE a.range % 10 < b.range) SELECT src, dst FROM c UNION ALL SELECT range * 10 + 9, range * 10 + 10 FROM range(0, (SELECT n - 1 FROM n))")
 def path_communities(spark, sf):
-    return generators.path_of_cliques(spark, 10, 10)
+    return generators.path_of_cliques(spark, A.table(spark, sf, "supplier").count(), 10)
 
 
 COLOURS = "q AS (SELECT vec_id AS id, (vec_id * 37) % 360 AS h FROM embeddings), c AS (SELECT id, h, h / 60.0 AS k, 0.6 AS chroma FROM q), x AS (SELECT *, chroma * (1 - abs(k - 2 * floor(k / 2) - 1)) AS x FROM c)"
@@ -857,8 +863,19 @@ def cluster_colours(spark, sf):
     return ids.select("id", *[c.alias(n) for n, c in zip("rgb", S.hsl_to_rgb(F.col("h"), F.lit(0.6), F.lit(0.5)))])
 
 
-@query("SELECT range AS start, range + 2000 AS \"end\", CAST(range + 1000 AS DOUBLE) AS midpoint FROM range(0, 20000, 2000)")
+@query('WITH l AS (SELECT 100 * count(*) + 500 AS n FROM orders) SELECT range AS start, least(range + 2000, n) AS "end", (range + least(range + 2000, n)) / 2.0 AS midpoint FROM range(0, (SELECT n FROM l), 2000), l')
 def window_midpoints(spark, sf):
-    return windows.coordinate_windows(spark, 0, 20000, 2000).select("start", "end", S.midpoint(F.col("start"), F.col("end")).alias("midpoint"))
+    return windows.coordinate_windows(spark, 0, 100 * A.table(spark, sf, "orders").count() + 500, 2000).select("start", "end", S.midpoint(F.col("start"), F.col("end")).alias("midpoint"))
+
+
+@query("""WITH v AS (SELECT p_partkey, CAST(p_size - 1 AS DOUBLE) AS x FROM part), f AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM v WHERE x <> 0),
+d AS (SELECT p_partkey, x, least(greatest((x - m) / s, -2), 2) AS d FROM v, f)
+SELECT p_partkey, round(CASE WHEN x <> 0 AND d >= 0 THEN d / 2 ELSE 0 END, 6) + 0.0 AS r, 0.0::DOUBLE AS g, round(CASE WHEN x <> 0 AND d < 0 THEN -d / 2 ELSE 0 END, 6) + 0.0 AS b, 1.0::DOUBLE AS alpha FROM d""")
+def deviation_colours(spark, sf):
+    v = A.table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 1).cast("double").alias("x"))
+    facts = v.where("x <> 0").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    coloured = S.deviation_colour(F.col("x"), (F.col("x") - F.col("m")) / F.col("s"))
+    return v.join(F.broadcast(facts), F.lit(True)).select("p_partkey", *(F.round(c, 6).alias(n) for n, c in zip(("r", "g", "b", "alpha"), coloured)))
+
 
 from . import stored_queries  # noqa: E402,F401  registers its queries

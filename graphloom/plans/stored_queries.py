@@ -28,6 +28,13 @@ def coord2node(spark, sf):
     return P.coord2node(P.bundle(spark, A.graph_text(spark, sf)), "chr1:1201-1700", ("u1",)).select("walk", "step", "node", "start", "end", "off_start", "off_end")
 
 
+@query(f"""WITH {A.FRAGMENTS} SELECT walk, CAST(sum(least(1700 - s, len) - greatest(1200 - s, 0)) AS BIGINT) AS bases, round(sum(least(1700 - s, len) - greatest(1200 - s, 0)) / 500, 9) AS ratio
+FROM fr WHERE s < 1700 AND s + len > 1200 GROUP BY walk""")
+def extracted_ratio(spark, sf):
+    """How much of a region each walk over it holds."""
+    return P.extracted_ratio(P.bundle(spark, A.graph_text(spark, sf)), "chr1:1201-1700", ("",)).withColumn("ratio", F.round("ratio", 9))
+
+
 @query(f"WITH {A.FRAGMENTS} SELECT walk, idx AS node, s AS start, s + len - 1 AS last FROM fr JOIN gn USING (node) WHERE idx % 7 = 3 AND sample LIKE '%u2%'")
 def node2coord(spark, sf):
     parts = P.bundle(spark, A.graph_text(spark, sf))

@@ -34,3 +34,17 @@ def test_names_on_intervals_in_buckets(spark):
     rows, labels = spark.createDataFrame(intervals, "start long, end long"), spark.createDataFrame(names, "name string, lo long, hi long")
     for bucket in (1, 7, 1 << 16):
         assert sorted(map(tuple, windows.labelled(rows, labels, bucket).select("start", "end", "name").collect())) == want
+
+
+def test_diploid_vectors_of_two_lengths_are_refused(spark):
+    import pytest
+
+    from graphloom.operators import alleles
+
+    schema = "site string, hap long, column long, value double"
+    left = spark.createDataFrame([("a", 1, 0, 1.0), ("a", 1, 1, None), ("b", 1, 0, None)], schema)
+    right = spark.createDataFrame([("a", 1, 0, 1.0), ("a", 1, 1, 2.0), ("b", 1, 0, None)], schema)
+    got = alleles.diploid_sites(left, right, ["site", "hap"]).collect()
+    assert {tuple(r) for r in got} == {("a", 1, 0, 2.0), ("a", 1, 1, 2.0), ("b", 1, 0, None)}
+    with pytest.raises(ValueError, match="2 and 1 columns"):
+        alleles.diploid_sites(left, right.where("not (site = 'a' and column = 1)"), ["site", "hap"])
