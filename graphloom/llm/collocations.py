@@ -189,7 +189,11 @@ def _lengths(size: int, parts: int):
                 part = _part(entries["phrase"], entries["word"], parts)
                 order = np.argsort(part, kind="stable")
                 there, starts = np.unique(part[order], return_index=True)
-                rows = [packed_records(entries[some]) for some in np.split(order, starts[1:])] if len(there) else []
+                rows = []
+                for some in np.split(order, starts[1:]) if len(there) else []:
+                    mine = entries[some]
+                    mine["place"] = np.diff(mine["place"], prepend=0)  # places rise; their differences pack better
+                    rows.append(packed_records(mine))
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(np.full(len(there), lists.block)), pa.array(rows, pa.binary())], names=["part", "block", "entries"])
 
     return run
@@ -200,6 +204,8 @@ def _counted(least: int):
 
     def run(rows: pa.Table) -> pa.Table:
         found = [unpacked_records(b, ENTRY) for b in rows.column("entries").to_pylist()]
+        for f in found:
+            f["place"] = np.cumsum(f["place"])
         blocks = np.repeat(rows.column("block").to_numpy(), [len(f) for f in found])
         entries = np.concatenate(found)
         order = np.lexsort((entries["place"], blocks, entries["word"], entries["phrase"]))
@@ -217,7 +223,7 @@ def _counted(least: int):
             phrases[c] = entries[c][keep]
         phrases["name"], phrases["total"] = names["name"], totals[of[keep]]
         here, opens = blocks[keep], keep == first
-        order = np.argsort(here, kind="stable")
+        order = np.lexsort((names["place"], here))
         there, begins = np.unique(here[order], return_index=True)
         groups = np.split(order, begins[1:]) if len(there) else []
         cells = [(packed_records(names[g]), packed_records(phrases[g[opens[g]]])) for g in groups]
@@ -245,9 +251,11 @@ def _bucketed(lists: DataFrame) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, least: int, *keys: str) -> DataFrame:
-    """The rows whose key is frequent in all blocks, with its total and its name, the first slot that holds it."""
+    """(slot, name) of the rows whose key is frequent in all blocks; name is the first slot that holds it, and there alone
+    stand the key and its total."""
     same = Window.partitionBy(*keys)
-    return written(rows.withColumns({"total": F.sum("n").over(same), "name": F.min("slot").over(same)}).where(F.col("total") >= least).drop("n"))
+    found = rows.withColumns({"total": F.sum("n").over(same), "name": F.min("slot").over(same)}).where(F.col("total") >= least)
+    return written(found.select("slot", "name", *(F.when(F.col("slot") == F.col("name"), F.col(c)).alias(c) for c in (*keys, "total"))))
 
 
 def _by_block(frequent: DataFrame):

@@ -62,7 +62,7 @@ def packed_records(records: np.ndarray) -> bytes:
     """An array of one fixed-width type as compressed byte planes."""
     width = records.dtype.itemsize
     planes = np.ascontiguousarray(np.ascontiguousarray(records).view(np.uint8).reshape(-1, width).T)
-    return len(records).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(records).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked_records(data: bytes, kind: np.dtype | str) -> np.ndarray:
