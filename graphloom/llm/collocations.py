@@ -203,7 +203,7 @@ def _counted(least: int):
     """The phrases of a part that are frequent in all blocks, back to the blocks that hold them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        found = [unpacked_records(b, ENTRY) for b in rows.column("entries").to_pylist()]
+        found = [unpacked_records(b, ENTRY).copy() for b in rows.column("entries").to_pylist()]
         for f in found:
             f["place"] = np.cumsum(f["place"])
         blocks = np.repeat(rows.column("block").to_numpy(), [len(f) for f in found])
