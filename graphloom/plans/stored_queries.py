@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import generators, graph, haplotypes, krylov, position_index
+from ..operators import banded, generators, graph, haplotypes, krylov, position_index
 from ..operators.index import shared_dir, stored
 from ..sources import sinks, tables
 from . import adapters as A
@@ -122,3 +123,19 @@ def stored_places(spark, sf):
     position_index.write(A.walks(spark, sf), path)
     targets = A.table(spark, sf, "events").select(F.col("user_id").alias("walk"), F.floor(F.col("value") * 10).cast("bigint").alias("target")).distinct()
     return position_index.PositionIndex(spark, path).at(targets)
+
+
+@query("""WITH c AS (SELECT c_nationkey * 1000000 + c_custkey // 1000 AS win, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_acctbal, c_custkey) AS p,
+  row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey, c_custkey // 1000) AS m FROM customer),
+b AS (SELECT x.win, x.m, max(abs(x.r - y.r)) AS before FROM c x JOIN c y ON y.win = x.win AND y.p = x.p % x.m + 1 WHERE x.m >= 3 GROUP BY 1, 2)
+SELECT win, m AS nodes, before, 2::BIGINT AS after, k, round(CASE WHEN k = 0 THEN 0 ELSE 2 - 2 * cos(2 * pi() / m) END, 7) + 0.0 AS eigenvalue FROM b, range(3) AS t(k)""")
+def banded_rings(spark, sf):
+    """Rings of customers by balance, in blocks of a nation and a thousand keys: bandwidths before and after, and the
+    three lowest eigenvalues, the second of which occurs twice."""
+    of_block = Window.partitionBy("win")
+    c = A.table(spark, sf, "customer").select((F.col("c_nationkey").cast("bigint") * 1000000 + F.floor(F.col("c_custkey") / 1000)).alias("win"), F.col("c_custkey").cast("bigint").alias("src"), "c_acctbal")
+    order = of_block.orderBy("c_acctbal", "src")
+    first = F.first("src").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rings = c.select("win", "src", F.coalesce(F.lead("src").over(order), first).alias("dst"), F.count("*").over(of_block).alias("m")).where("m >= 3")
+    coo = graph.laplacian(rings.select("win", "src", "dst"), loops="skip", multi="drop", by=["win"])
+    return banded.banded(coo, "win", 3).withColumn("eigenvalue", F.abs(F.round("eigenvalue", 7)) + 0.0)
