@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import banded, generators, graph, haplotypes, krylov, position_index
 from ..operators.index import shared_dir, stored
-from ..sources import sinks, tables
+from ..sources import keyed_text, sinks, tables
 from . import adapters as A
 from . import pipelines as P
 from .queries import query
@@ -139,3 +139,13 @@ def banded_rings(spark, sf):
     rings = c.select("win", "src", F.coalesce(F.lead("src").over(order), first).alias("dst"), F.count("*").over(of_block).alias("m")).where("m >= 3")
     coo = graph.laplacian(rings.select("win", "src", "dst"), loops="skip", multi="drop", by=["win"])
     return banded.banded(coo, "win", 3).withColumn("eigenvalue", F.abs(F.round("eigenvalue", 7)) + 0.0)
+
+
+@query(f"WITH {A.WALKS} SELECT CAST(node AS VARCHAR) AS name, repeat('A', max(len)::INTEGER) AS seq FROM w GROUP BY node HAVING bool_or(NOT fwd)")
+def keyed_sequences(spark, sf):
+    """Sequences of the nodes that some walk turns, read from their places in graph text."""
+    path = A.graph_text(spark, sf)
+    at = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
+    keyed_text.write_index(spark, path, at)
+    wanted = A.walks(spark, sf).where("not fwd").select(F.col("node").cast("string").alias("name"))
+    return keyed_text.sequences_of(spark, path, at, wanted)
