@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import banded, generators, graph, haplotypes, krylov, position_index
+from ..operators import banded, generators, graph, haplotypes, krylov, position_index, raster
 from ..operators.index import shared_dir, stored
 from ..sources import keyed_text, sinks, tables
 from . import adapters as A
@@ -149,3 +149,25 @@ def keyed_sequences(spark, sf):
     keyed_text.write_index(spark, path, at)
     wanted = A.walks(spark, sf).where("not fwd").select(F.col("node").cast("string").alias("name"))
     return keyed_text.sequences_of(spark, path, at, wanted)
+
+
+@query("""WITH l AS (SELECT o_orderkey AS o, o_custkey * 37 % 340 - 10 AS x0, o_orderkey * 11 % 260 - 10 AS y0, o_orderkey * 29 % 340 - 10 AS x1, o_custkey * 17 % 260 - 10 AS y1, o_custkey % 256 AS r, o_orderkey % 256 AS g, (o_orderkey + o_custkey) % 256 AS b FROM orders),
+s AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM l), i AS (SELECT *, unnest(range(0, n + 1)) AS i FROM s),
+lp AS (SELECT o, x0 + sign(x1 - x0)::BIGINT * CASE WHEN n = 0 THEN 0 ELSE (2 * i * abs(x1 - x0) + n) // (2 * n) END AS x, y0 + sign(y1 - y0)::BIGINT * CASE WHEN n = 0 THEN 0 ELSE (2 * i * abs(y1 - y0) + n) // (2 * n) END AS y, r, g, b FROM i),
+lo AS (SELECT x, y, max_by((r, g, b), o) AS c FROM lp WHERE x BETWEEN 0 AND 319 AND y BETWEEN 0 AND 239 GROUP BY 1, 2),
+k AS (SELECT c_custkey * 53 % 320 AS cx, c_custkey * 31 % 240 AS cy, 6 + c_custkey % 7 AS rad, c_custkey % 100 AS r, c_custkey % 90 AS g, c_custkey % 80 AS b FROM customer),
+ga AS (SELECT cx + dx AS x, cy + dy AS y, r, g, b, 1 - sqrt(dx * dx + dy * dy) / rad AS a FROM k, (SELECT range AS dx FROM range(-12, 13)), (SELECT range AS dy FROM range(-12, 13)) WHERE dx * dx + dy * dy <= rad * rad),
+gl AS (SELECT x, y, sum(floor(r * a * a)) AS r, sum(floor(g * a * a)) AS g, sum(floor(b * a * a)) AS b FROM ga WHERE x BETWEEN 0 AND 319 AND y BETWEEN 0 AND 239 GROUP BY 1, 2),
+d AS (SELECT s_suppkey AS o, s_suppkey * 71 % 320 AS cx, s_suppkey * 43 % 240 AS cy, 2 + s_suppkey % 4 AS rad FROM supplier),
+tp AS (SELECT cx + dx AS x, cy + dy AS y, max(o) AS o FROM d, (SELECT range AS dx FROM range(-5, 6)), (SELECT range AS dy FROM range(-5, 6)) WHERE dx * dx + dy * dy <= rad * rad AND cx + dx BETWEEN 0 AND 319 AND cy + dy BETWEEN 0 AND 239 GROUP BY 1, 2),
+m AS (SELECT coalesce(tp.x, lo.x, gl.x) AS x, coalesce(tp.y, lo.y, gl.y) AS y, tp.o, lo.c, gl.r, gl.g, gl.b FROM lo FULL JOIN gl ON gl.x = lo.x AND gl.y = lo.y FULL JOIN tp ON tp.x = coalesce(lo.x, gl.x) AND tp.y = coalesce(lo.y, gl.y))
+SELECT x, y, CASE WHEN o IS NOT NULL THEN o % 256 ELSE least(coalesce(c[1], 0) + coalesce(r, 0), 255)::BIGINT END AS r, CASE WHEN o IS NOT NULL THEN o * 7 % 256 ELSE least(coalesce(c[2], 0) + coalesce(g, 0), 255)::BIGINT END AS g,
+  CASE WHEN o IS NOT NULL THEN o * 13 % 256 ELSE least(coalesce(c[3], 0) + coalesce(b, 0), 255)::BIGINT END AS b FROM m""")
+def drawn_pixels(spark, sf):
+    """Orders as lines, customers as glows and suppliers as discs on one canvas."""
+    o, c, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("s_suppkey")
+    k = F.col("c_custkey")
+    lines = A.table(spark, sf, "orders").select(o.alias("order"), (c * 37 % 340 - 10).alias("x0"), (o * 11 % 260 - 10).alias("y0"), (o * 29 % 340 - 10).alias("x1"), (c * 17 % 260 - 10).alias("y1"), (c % 256).alias("r"), (o % 256).alias("g"), ((o + c) % 256).alias("b"))
+    glows = A.table(spark, sf, "customer").select((k * 53 % 320).alias("x"), (k * 31 % 240).alias("y"), (6 + k % 7).alias("radius"), (k % 100).alias("r"), (k % 90).alias("g"), (k % 80).alias("b"))
+    discs = A.table(spark, sf, "supplier").select(s.alias("order"), (s * 71 % 320).alias("x"), (s * 43 % 240).alias("y"), (2 + s % 4).alias("radius"), (s % 256).alias("r"), (s * 7 % 256).alias("g"), (s * 13 % 256).alias("b"))
+    return raster.drawn(lines, glows, discs, 320, 240)

@@ -150,3 +150,25 @@ def manifest(df_session, values: dict[str, str], path: str) -> None:
     if any(c in str(v) for v in values.values() for c in "\t\r\n"):
         raise CatalogError("a manifest value holds a tab or a line end")
     df_session.createDataFrame([(f"{k}\t{v}",) for k, v in values.items()], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def image_bytes(pixels: DataFrame, width: int, height: int) -> Iterable[bytes]:
+    """pixels(x, y, r, g, b) as an uncompressed 24-bit TGA image, rows from y = 0 on, in pieces packed by the executors."""
+    if not (0 < width <= 0xFFFF and 0 < height <= 0xFFFF):
+        raise ValueError("sides of an image have 16 bits")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for line in pdf["line"]:
+                row = np.zeros((width, 3), np.uint8)
+                for p in line if line is not None else []:
+                    row[p["x"]] = p["b"], p["g"], p["r"]
+                rows.append(row.tobytes())
+            yield pd.DataFrame({"content": [b"".join(rows)]})
+
+    lines = pixels.groupBy("y").agg(F.collect_list(F.struct("x", "r", "g", "b")).alias("line"))  # a row's width at most
+    every = pixels.sparkSession.range(height).select(F.col("id").alias("y")).join(lines, "y", "left")
+    yield struct.pack("<BBB5x2H2HBB", 0, 0, 2, 0, 0, width, height, 24, 0)
+    for part in every.repartitionByRange("y").sortWithinPartitions("y").select("line").mapInPandas(pack, "content binary").toLocalIterator(prefetchPartitions=True):
+        yield bytes(part["content"])
