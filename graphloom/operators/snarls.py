@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,18 +87,22 @@ def span_steps(walks: DataFrame, found: DataFrame) -> DataFrame:
     return inside.groupBy("walk", "snarl").agg(rows.alias("steps"))
 
 
-def flat_signatures(walks: DataFrame, snarls: DataFrame) -> DataFrame:
-    """(walk, snarl, label): the signature of each span, or the reserved label of an ambiguous one."""
-    found = spans(boundary_hits(walks, snarls))
+def flat_signatures(walks: DataFrame, snarls: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(walk, snarl, label): the signature of each span, or the reserved label of an ambiguous one.
+
+    found is spans() of all walks and snarls where it is there already, here and below.
+    """
+    found = spans(boundary_hits(walks, snarls)) if found is None else found
     clear = span_steps(walks, found).select("walk", "snarl", signature(F.col("steps")).alias("label"))
     return clear.unionByName(found.where("ambiguous").select("walk", "snarl", F.lit(AMBIGUOUS).alias("label")))
 
 
-def skeleton_signatures(walks: DataFrame, snarls: DataFrame) -> DataFrame:
+def skeleton_signatures(walks: DataFrame, snarls: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(walk, snarl, label, children): spans of snarls with children, each child's span as ``{child}``."""
     inner = snarls.where("parent is not null").select("snarl", "entry", "exit", F.col("parent").alias("of"))
     parents = inner.select(F.col("of").alias("snarl")).distinct()
-    steps = span_steps(walks, spans(boundary_hits(walks, snarls)).join(parents, "snarl", "left_semi"))
+    found = spans(boundary_hits(walks, snarls)) if found is None else found
+    steps = span_steps(walks, found.join(parents, "snarl", "left_semi"))
     # a child is looked for within its parent's steps, numbered anew
     own = steps.select("walk", F.col("snarl").alias("of"), F.posexplode("steps").alias("step", "s")).select("walk", "of", F.col("step").cast("bigint").alias("step"), "s.node")
     child = spans(boundary_hits(own, inner, ("walk", "of")), ("walk", "of")).where("not ambiguous")
@@ -143,7 +148,7 @@ def panel(walks: DataFrame, snarls: DataFrame) -> dict[str, DataFrame]:
     return panel_of(flat_signatures(walks, snarls), skeleton_signatures(walks, snarls), walks, snarls)
 
 
-def panel_of(flat: DataFrame, skeleton: DataFrame, walks: DataFrame, snarls: DataFrame) -> dict[str, DataFrame]:
+def panel_of(flat: DataFrame, skeleton: DataFrame, walks: DataFrame, snarls: DataFrame, found: DataFrame | None = None) -> dict[str, DataFrame]:
     """As panel, from signatures computed before."""
     site = F.col("snarl").alias("site")
     flat_panel = pooled(flat.select(site, F.col("walk").alias("hap"), "label"))
@@ -154,7 +159,8 @@ def panel_of(flat: DataFrame, skeleton: DataFrame, walks: DataFrame, snarls: Dat
     seen = skeleton.select("snarl", "label", F.explode("children").alias("child")).distinct()
     allowed = seen.join(places.withColumnRenamed("site", "snarl"), ["snarl", "label"]).groupBy("snarl", "child").agg(F.sort_array(F.collect_set("idx")).alias("allowed"))
     cyclic = snarls.where("kind = 'cyclic'").select("snarl", "entry", "exit")
-    steps = span_steps(walks, spans(boundary_hits(walks, snarls)).join(cyclic.select("snarl"), "snarl", "left_semi")).select("walk", "snarl", F.explode("steps").alias("s"))
+    found = spans(boundary_hits(walks, snarls)) if found is None else found
+    steps = span_steps(walks, found.join(cyclic.select("snarl"), "snarl", "left_semi")).select("walk", "snarl", F.explode("steps").alias("s"))
     cycles = steps.join(cyclic, "snarl").where("s.node <> entry and s.node <> exit").groupBy("snarl", "s.node").agg(F.count("*").alias("n"))
     return {"flat": flat_panel, "skeleton": skeleton_panel, "allowed": allowed, "cycles": cycles}
 
@@ -254,6 +260,64 @@ def feature_sites(snarls: DataFrame, levels: DataFrame | None = None) -> DataFra
     return ordered.join(ends, "place").select("place", "snarl", "site_kind", "columns", "depth", "parent", (F.col("feature_end") - F.col("columns")).alias("feature_start"), "feature_end")
 
 
+#: Sites whose tree is walked in one task (some 100 bytes each); a larger topology goes level by level over tables.
+MOST_SITES = 200_000
+
+
+def sites_at_once(snarls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As (tree(snarls), feature_sites(snarls)), for snarls with alleles and skeletons, by one walk over all of them."""
+    kind = snarls.schema["snarl"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows = {r["snarl"]: {**r, "alleles": 1 if r["alleles"] is None else r["alleles"], "skeletons": 1 if r["skeletons"] is None else r["skeletons"]} for r in table.to_pylist()}
+        problem = "an id occurs twice" if len(rows) < table.num_rows else None
+        kids: dict = {}
+        for k, r in rows.items():
+            if r["parent"] is not None and r["parent"] not in rows:
+                problem = problem or "a parent is missing"
+            kids.setdefault(r["parent"], []).append(k)
+        order = sorted(kids.get(None, []), reverse=True)
+        waiting, order = [(k, 0, [k]) for k in order], []
+        while waiting:  # pre-order: children by their ids
+            k, depth, path = waiting.pop()
+            rows[k].update(depth=depth, path=path)
+            order.append(k)
+            waiting += [(c, depth + 1, [*path, c]) for c in sorted(kids.get(k, []), reverse=True)]
+        if len(order) < len(rows):
+            problem = problem or "parents form a cycle"
+        at, end = 0, 0
+        for k in reversed(order):
+            r, below = rows[k], kids.get(k)
+            flat, split = r["alleles"] - 1, r["skeletons"] - 1 + sum(rows[c]["cost"] for c in below or [])
+            if r["kind"] == "cyclic":
+                r.update(cost=1, site_kind="cyclic", columns=1)
+            elif not below:
+                r.update(cost=flat, site_kind="leaf", columns=flat)
+            else:
+                r.update(cost=min(flat, split), site_kind="flat" if flat < split else "skeleton", columns=flat if flat < split else r["skeletons"] - 1)
+        for k in order:
+            r = rows[k]
+            above = rows.get(r["parent"])
+            r["open"] = above is None or (above["open"] and above["site_kind"] == "skeleton")
+            if r["open"] and r["columns"] > 0:
+                r.update(place=at, feature_start=end, feature_end=end + r["columns"])
+                at, end = at + 1, end + r["columns"]
+        found = [rows[k] for k in order] if problem is None else [{"snarl": None}]
+        columns = {c: pa.array([r.get(c) for r in found], t) for c, t in types.items()}
+        return pa.table({**columns, "problem": pa.array([problem] * len(found), pa.string())})
+
+    one = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    types = {"snarl": one, "kind": pa.string(), "parent": one, "alleles": pa.int64(), "skeletons": pa.int64(), "depth": pa.int32(), "path": pa.list_(one), "place": pa.int64(), "site_kind": pa.string(), "columns": pa.int64(), "feature_start": pa.int64(), "feature_end": pa.int64()}
+    schema = f"snarl {kind}, kind string, parent {kind}, alleles long, skeletons long, depth int, path array<{kind}>, place long, site_kind string, columns long, feature_start long, feature_end long, problem string"
+    asked = snarls.select("snarl", "kind", F.col("parent").cast(kind).alias("parent"), F.col("alleles").cast("bigint").alias("alleles"), F.col("skeletons").cast("bigint").alias("skeletons"))
+    whole = stored(asked.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: solve(t.drop_columns(["all"]) if "all" in t.column_names else t), schema))
+    wrong = whole.where("problem is not null").first()
+    if wrong is not None:
+        raise TopologyError(wrong["problem"])
+    levels = whole.select("snarl", "kind", "parent", "alleles", "skeletons", "depth", "path")
+    return levels, whole.where("place is not null").select("place", "snarl", "site_kind", "columns", "depth", "parent", "feature_start", "feature_end")
+
+
 def conditions(sites: DataFrame, nodes: DataFrame, allowed: DataFrame) -> DataFrame:
     """(snarl, ancestor, allowed): the skeleton alleles of every ancestor that let a walk reach a site.
 
@@ -278,13 +342,19 @@ def reached(asked: DataFrame, when: DataFrame, skeleton_calls: DataFrame, who: s
 def learned(walks: DataFrame, snarls: DataFrame) -> dict[str, DataFrame]:
     """What an encoding takes from a panel of walks: its labels and alleles, the sites with their features, conditions."""
     walks = stored(walks)
-    flat_labels, skeleton_labels = stored(flat_signatures(walks, snarls)), stored(skeleton_signatures(walks, snarls))
-    found = {k: stored(v) for k, v in panel_of(flat_labels, skeleton_labels, walks, snarls).items()}
+    spanned = stored(spans(boundary_hits(walks, snarls)))
+    flat_labels, skeleton_labels = stored(flat_signatures(walks, snarls, spanned)), stored(skeleton_signatures(walks, snarls, spanned))
+    found = panel_of(flat_labels, skeleton_labels, walks, snarls, spanned)
+    found.update({k: stored(found[k]) for k in ("flat", "skeleton")})
     sizes = found["flat"].groupBy(F.col("site").alias("snarl")).agg(F.count("*").alias("alleles"))
     routes = found["skeleton"].groupBy(F.col("site").alias("snarl")).agg(F.count("*").alias("skeletons"))
-    known = stored(snarls.join(sizes, "snarl", "left").join(routes, "snarl", "left"))
-    levels = tree(known)
-    sites = stored(feature_sites(known, levels))
+    known = snarls.join(sizes, "snarl", "left").join(routes, "snarl", "left")
+    if snarls.count() <= MOST_SITES:
+        levels, sites = sites_at_once(known)
+    else:
+        known = stored(known)
+        levels = tree(known)
+        sites = stored(feature_sites(known, levels))
     when = stored(conditions(sites, levels, found["allowed"]))
     return {**found, "walks": walks, "flat_labels": flat_labels, "skeleton_labels": skeleton_labels, "sites": sites, "when": when}
 

@@ -48,3 +48,23 @@ def test_diploid_vectors_of_two_lengths_are_refused(spark):
     assert {tuple(r) for r in got} == {("a", 1, 0, 2.0), ("a", 1, 1, 2.0), ("b", 1, 0, None)}
     with pytest.raises(ValueError, match="2 and 1 columns"):
         alleles.diploid_sites(left, right.where("not (site = 'a' and column = 1)"), ["site", "hap"])
+
+
+def test_one_walk_over_all_sites_is_the_levels_way(spark):
+    import random
+
+    import pytest
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["acyclic", "acyclic", "cyclic"]), rng.choice([None, rng.randrange(k)]) if k else None, rng.choice([None, rng.randrange(1, 6)]), rng.choice([None, 1, 2, 3])) for k in range(60)]
+    schema = "snarl long, kind string, parent long, alleles long, skeletons long"
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, schema).selectExpr(f"cast(snarl as {kind}) snarl", "kind", f"cast(parent as {kind}) parent", "alleles", "skeletons")
+        levels, sites = snarls.sites_at_once(df)
+        assert sorted(map(repr, sites.collect())) == sorted(map(repr, snarls.feature_sites(df).select(sites.columns).collect()))
+        columns = ["snarl", "depth", "path"]
+        assert sorted(map(repr, levels.select(columns).collect())) == sorted(map(repr, snarls.tree(df).select(columns).collect()))
+    for bad, message in (([*rows, rows[0]], "twice"), ([(1, "acyclic", 9, 1, 1)], "missing"), ([(1, "acyclic", 2, 1, 1), (2, "acyclic", 1, 1, 1)], "cycle")):
+        with pytest.raises(snarls.TopologyError, match=message):
+            snarls.sites_at_once(spark.createDataFrame(bad, schema))
+    assert snarls.sites_at_once(spark.createDataFrame([], schema))[1].count() == 0
