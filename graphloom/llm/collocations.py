@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.index import shared_dir
 from . import splits
 from .common import table, written
-from .splits import kinds, lots, packed, packed_records, unpacked, unpacked_records, words
+from .splits import kinds, lists_of_one, lots, packed, packed_records, released, unpacked, unpacked_records, words
 
 KIND = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: A phrase is named by block and place in the block's list: so many bits for the place, and for a task's own blocks.
@@ -69,7 +69,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made += 1
         counts = np.bincount(of, minlength=len(coded.dictionary))
         return pa.RecordBatch.from_arrays(
-            [pa.array([first + made - 1]), pa.array([lang]), pa.array([len(of)]), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([packed(codes)])],
+            [pa.array([first + made - 1]), pa.array([lang]), pa.array([len(of)]), lists_of_one(coded.dictionary.cast(pa.string())), lists_of_one(pa.array(counts)), pa.array([packed(codes)])],
             names=[c.split()[0] for c in BLOCKS.split(", ")],
         )
 
@@ -88,6 +88,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield block(lang, waiting.pop(lang))
     for lang in list(waiting):
         yield block(lang, waiting.pop(lang))
+    released()
 
 
 def merge(at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +196,7 @@ def _lengths(size: int, parts: int):
                     mine["place"] = np.diff(mine["place"], prepend=0)  # places rise; their differences pack better
                     rows.append(packed_records(mine))
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(np.full(len(there), lists.block)), pa.array(rows, pa.binary())], names=["part", "block", "entries"])
+                released()
 
     return run
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one lot, in bytes; a longer text is a lot of its own.
-LOT = 8 << 20
+LOT = 4 << 20
 WORD, BLANK, STOP = 0, 1, 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -58,6 +58,16 @@ def words(texts: pa.Array, kind: np.ndarray, lower: bool = False) -> tuple[np.nd
     return text, piece, pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
 
 
+def lists_of_one(values: pa.Array) -> pa.Array:
+    """An array of one list that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def released() -> None:
+    """Gives what arrays no longer use back to the system; a worker lives on with other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def packed_records(records: np.ndarray) -> bytes:
     """An array of one fixed-width type as compressed byte planes."""
     width = records.dtype.itemsize
