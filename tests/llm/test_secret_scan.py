@@ -83,3 +83,28 @@ def test_large_ids_beside_null(spark):
     out = S.scan(df)
     assert out.schema["id"].dataType.simpleString() == "bigint"
     assert [r["id"] for r in out.collect()] == ids
+
+
+def test_planted_random_strings_are_found():
+    """Recall by alphabet and length in real texts, each planted string between two words."""
+    import random
+    import string
+
+    rng = random.Random(5)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t.split()) > 20]
+    mixed = string.ascii_letters + string.digits
+    for alphabet, least in ((mixed, {12: 0.9, 16: 0.96, 24: 0.98, 64: 0.99}), (string.ascii_lowercase + string.digits, {12: 0.7, 16: 0.85, 24: 0.98}), (string.ascii_letters, {12: 0.8, 16: 0.9, 24: 0.9, 64: 0.97})):
+        for n, share in least.items():
+            found = 0
+            for k in range(300):
+                words, s = texts[k % len(texts)].split(" "), "".join(rng.choice(alphabet) for _ in range(n))
+                words.insert(rng.randrange(len(words) + 1), s)
+                text = " ".join(words)
+                at, base = text.index(s), S.base_spans(text)
+                found += any(a <= at and b >= at + n for a, b, _ in base + S.random_spans(text, base))
+            assert found >= share * 300, (alphabet, n, found)
+
+
+def test_texts_have_few_random_strings():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert sum(len(S.random_spans(t, S.base_spans(t))) for t in map(lambda t: t or "", texts)) <= 5
