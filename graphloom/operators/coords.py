@@ -44,12 +44,13 @@ def region_overlaps(walks: DataFrame, regions: DataFrame, bucket: int = 256) ->
 def placed_overlaps(placed: DataFrame, regions: DataFrame, bucket: int = 256) -> DataFrame:
     """region_overlaps of steps that have their start and end."""
     buckets = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor((b - 1) / bucket)))
-    steps = placed.where("len > 0").withColumn("bucket", buckets(F.col("start"), F.col("end")))
-    asked = regions.where("hi > lo").withColumn("bucket", buckets(F.col("lo"), F.col("hi")))
-    met = steps.join(asked, ["walk", "bucket"]).where((F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")))
+    (cell,) = blocks.fresh(placed.select(*placed.columns, *(F.lit(0).alias(c) for c in regions.columns if c not in placed.columns)), "bucket")
+    steps = placed.where("len > 0").withColumn(cell, buckets(F.col("start"), F.col("end")))
+    asked = regions.where("hi > lo").withColumn(cell, buckets(F.col("lo"), F.col("hi")))
+    met = steps.join(asked, ["walk", cell]).where((F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")))
     # a pair is kept in the first bucket both are in
     first = F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("lo") / bucket))
-    met = met.where(F.col("bucket") == first).drop("bucket")
+    met = met.where(F.col(cell) == first).drop(cell)
     return met.withColumns({"off_start": F.greatest(F.col("lo") - F.col("start"), F.lit(0)), "off_end": F.least("hi", "end") - F.col("start")})
 
 

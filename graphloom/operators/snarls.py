@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AMBIGUOUS, MISSING, OTHER, signature, signature_nodes
+from . import blocks
 from .alleles import pooled
 from .index import stored
 
@@ -75,9 +76,10 @@ def within_spans(walks: DataFrame, found: DataFrame) -> DataFrame:
     A span is repeated for each bucket it meets, and a step lies in one bucket, so a walk of many steps and spans is as
     many small joins and not one of all with all.
     """
-    cut = found.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
-    placed = walks.withColumn("bucket", F.floor(F.col("step") / BUCKET))
-    return placed.join(cut, ["walk", "bucket"]).where(F.col("step").between(F.col("start"), F.col("end"))).drop("bucket")
+    (bucket,) = blocks.fresh(walks.select(*walks.columns, *(F.lit(0).alias(c) for c in found.columns if c not in walks.columns)), "bucket")
+    cut = found.withColumn(bucket, F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+    placed = walks.withColumn(bucket, F.floor(F.col("step") / BUCKET))
+    return placed.join(cut, ["walk", bucket]).where(F.col("step").between(F.col("start"), F.col("end"))).drop(bucket)
 
 
 def span_steps(walks: DataFrame, found: DataFrame) -> DataFrame:

@@ -153,3 +153,19 @@ def test_catalogs_as_frames(spark, tmp_path):
         tables.catalog(spark, f"{tmp_path}/f", f"{tmp_path}/short")
     with pytest.raises(tables.CatalogError, match="16 bits"):
         sinks.catalog_pieces(records, spark.createDataFrame([(1, 0, [0] * 65_536)], "feature_id long, idx long, nodes array<long>"))
+
+
+def test_columns_of_any_name_come_through(spark):
+    from graphloom.operators import blocks, coords, snarls
+
+    odd = ["block", "each", "inner", "earlier", "bucket", "first", "later", "last", "key0", "key1", "__value", "__block"]
+    walks = spark.createDataFrame([("w", k, k % 3, True, 2, *range(len(odd))) for k in range(10)], "walk string, step long, node long, fwd boolean, len long, " + ", ".join(f"{c} long" for c in odd))
+    kept = [tuple(range(len(odd)))] * 10
+    for df in (
+        coords.offsets(walks, 4), blocks.following(walks, ["walk"], "step", "node", size=4),
+        blocks.carried(walks, ["walk"], ["step"], walks["node"], "carry", size=4),
+        snarls.within_spans(walks, spark.createDataFrame([("w", 0, 9)], "walk string, start long, end long")),
+        coords.region_overlaps(walks, spark.createDataFrame([(1, "w", 0, 20)], "region long, walk string, lo long, hi long")),
+    ):
+        assert [tuple(r) for r in df.select(odd).collect()] == kept
+    assert [r["start"] for r in coords.offsets(walks, 4).orderBy("step").collect()] == [2 * k for k in range(10)]
