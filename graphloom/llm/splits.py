@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one lot, in bytes; a longer text is a lot of its own.
-LOT = 4 << 20
+LOT = 6 << 20
 WORD, BLANK, STOP = 0, 1, 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
