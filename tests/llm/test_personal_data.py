@@ -137,3 +137,81 @@ def test_short_identifiers_in_lists_are_discovered(spark):
     texts = [f"Ref 7\nBadge: a{k}@y.org" for k in range(40)] + ["1\nBadge: AB-12\nBadge: AB-34"]
     out = {r["id"]: r for r in P.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out[40]["spans"] == "id:9:14,id:22:27"
+
+
+def tokens_after(right, last):
+    found = tokens(right)[:2]
+    edge = "$" if last else "~"
+    return " ".join(found if len(found) == 2 else [*found, edge] if found else [edge])
+
+
+@settings(max_examples=60, deadline=None, database=None)
+@given(st.lists(st.tuples(st.text(alphabet="aBé12 -:\n", max_size=8) | st.sampled_from(["word " * 40, "x" * 90, " - " * 50, " a" + "1" * 70 + "b "]), st.booleans()), min_size=1, max_size=12))
+def test_contexts_after(spark, rows):
+    for r in spark.createDataFrame(rows, "right string, last boolean").select(P.context_after(F.col("right"), F.col("last")).alias("c"), "right", "last").collect():
+        assert r["c"] == tokens_after(r["right"], r["last"]), r
+
+
+def found(spark, texts):
+    return {r["id"]: r for r in P.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_each_way_of_reading_discovers(spark):
+    """Seeds that share only what stands before, after, around, or one word and the shape with an unseen string."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bcdfgklm") + rng.choice("aeiou") for _ in range(4))
+    ways = {
+        "before": (lambda v: f"{word()} write to {v} {word()} {word()}", lambda k: f"a{k}@y.org", "AB-{:04d}", "email"),
+        "after": (lambda v: f"{word()} {word()} {v} is mine {word()}", lambda k: f"+1 (234) 555-{k:04d}", "CD-{:04d}", "phone"),
+        "around": (lambda v: f"{word()} host {v} up {word()}", lambda k: f"10.0.0.{k}", "EF-{:04d}", "ip"),
+        "shape": (lambda v: f"{word()} visa {v} {word()}", lambda k: next(c for c in (f"4{k:014d}{d}" for d in range(10)) if luhn(c)), "49999999999{:05d}", "card"),
+    }
+    texts, want = [], {}
+    for say, seed, unseen, kind in ways.values():
+        texts += [say(seed(k)) for k in range(40)]
+        for k in range(3):
+            value = unseen.format(7 + 10 * k)
+            assert not (kind == "card" and luhn(value))
+            texts.append(say(value))
+            at = texts[-1].index(value)
+            want[len(texts) - 1] = (f"id:{at}:{at + len(value)}", kind)
+    out = found(spark, texts)
+    assert {i: (r["spans"], r["found_like"]) for i, r in out.items() if r["n_found"]} == want
+
+
+def test_kinds_do_not_add_up(spark):
+    """Ten seeds of one kind are not enough for a mean of 0.8 with four pseudo-instances, nor are two kinds of ten."""
+    rows = [f"reach me {v} now" for k in range(10) for v in (f"a{k}@y.org", f"+1 (234) 555-{k:04d}")]
+    assert found(spark, [*rows, "reach me AB-1234 now"])[20]["n_found"] == 0
+
+
+def test_planted_in_real_texts(spark):
+    """Identifiers planted in texts of the given table, in six contexts where eight of nine values are seeds; others are
+    planted without a context."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    texts = [r[0] or "" for r in spark.read.parquet(path).orderBy("doc_id").select("text").collect()]
+    rng = random.Random(7)
+    say = [("my phone is", "thanks"), ("mail me at", "today"), ("member number", "expired"), ("customer ref", "paid"), ("passport no", "issued"), ("send it to", "please")]
+    string = lambda: f"{rng.choice('QXZ')}{rng.choice('QXZ')}-{rng.randrange(10**6):06d}"
+    plain = found(spark, texts)
+    base, planted, bait = sum(r["n_found"] for r in plain.values()), {}, set()
+    for i, t in enumerate(texts):
+        at = t.find(" ", rng.randrange(len(t) + 1))
+        if at < 0:
+            continue
+        before, after = say[i % len(say)]
+        turn = i // len(say) % 10
+        value = string() if turn > 7 else None
+        if turn == 9:
+            texts[i] = f"{t[:at]} {value}{t[at:]}"
+            bait.add((i, at + 1, at + 1 + len(value)))
+            continue
+        value = value if turn == 8 else f"+1 (234) 555-{rng.randrange(10**4):04d}" if i % 2 else f"u{i}@y.org"
+        texts[i] = f"{t[:at]} {before} {value} {after}{t[at:]}"
+        if turn == 8:
+            planted[i] = (at + len(before) + 2, at + len(before) + 2 + len(value))
+    got = {(i, *map(int, s.split(":")[1:])) for i, r in found(spark, texts).items() for s in r["spans"].split(",") if s.startswith("id:")}
+    want = {(i, *p) for i, p in planted.items()}
+    assert len(want) > 60 and len(got & want) >= 0.9 * len(want)
+    print("planted", len(want), "found", len(got & want), "all found", len(got), "found before", base)
+    assert len(got & want) >= 0.9 * (len(got) - base) and not got & bait
