@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import banded, generators, graph, haplotypes, krylov, position_index, raster
+from ..operators import banded, generators, graph, haplotypes, krylov, layout, position_index, raster
 from ..operators.index import shared_dir, stored
 from ..sources import keyed_text, sinks, tables
 from . import adapters as A
@@ -171,3 +171,11 @@ def drawn_pixels(spark, sf):
     glows = A.table(spark, sf, "customer").select((k * 53 % 320).alias("x"), (k * 31 % 240).alias("y"), (6 + k % 7).alias("radius"), (k % 100).alias("r"), (k % 90).alias("g"), (k % 80).alias("b"))
     discs = A.table(spark, sf, "supplier").select(s.alias("order"), (s * 71 % 320).alias("x"), (s * 43 % 240).alias("y"), (2 + s % 4).alias("radius"), (s % 256).alias("r"), (s * 7 % 256).alias("g"), (s * 13 % 256).alias("b"))
     return raster.drawn(lines, glows, discs, 320, 240)
+
+
+@query()
+def force_layout(spark, sf):
+    """Suppliers and parts, joined by lineitems, laid out by forces from scattered places."""
+    edges = A.bipartite(spark, sf)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return layout.laid_out(layout.scattered(nodes), edges, iterations=10)

@@ -36,7 +36,7 @@ def test_same_as_sql(spark, db, name):
     assert rows_of([tuple(r) for r in df.collect()], df.columns) == rows_of(found.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["window_spectrum", "entropy_exact_window", "spectral_embedding", "entropy_hutchinson", "encode_walks"])
+@pytest.mark.parametrize("name", ["window_spectrum", "entropy_exact_window", "spectral_embedding", "entropy_hutchinson", "encode_walks", "force_layout"])
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
