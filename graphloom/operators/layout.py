@@ -29,12 +29,12 @@ def scattered(nodes: DataFrame, seed: int = 1) -> DataFrame:
     return nodes.select("node", place(0).alias("x"), place(1).alias("y"))
 
 
-def _in_cells(nodes: DataFrame, x0: float, y0: float, side: float, depth: int) -> DataFrame:
-    """nodes(node, x, y) once for each level, with the numbers of the cell there. Halvings are exact, so the cells of a
-    level lie within those above."""
+def _in_cells(nodes: DataFrame, depth: int) -> DataFrame:
+    """nodes(node, x, y, u, v) once for each level, with the numbers of the cell there; u and v are places in the unit
+    square. Halvings are exact, so the cells of a level lie within those above."""
     at = nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    number = lambda c, low: F.floor((F.col(c) - low) / side * F.pow(F.lit(2.0), F.col("level")))
-    return at.select("node", "x", "y", "level", number("x", x0).alias("ix"), number("y", y0).alias("iy"))
+    number = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level")))
+    return at.select("node", "x", "y", "level", number("u").alias("ix"), number("v").alias("iy"))
 
 
 def _half(c: str) -> Column:
@@ -47,15 +47,17 @@ def repulsion(nodes: DataFrame, strength: float, most: int = MOST, reach: int =
     if x0 is None:
         return nodes.select("node", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     side = max(x1 - x0, y1 - y0, 1e-12) * 1.001
-    cells = kept(_in_cells(nodes, x0, y0, side, depth).groupBy(*CELL).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
+    # the only expression that differs from call to call, so that all others are compiled once for all steps
+    nodes = kept(nodes.select("node", "x", "y", ((F.col("x") - x0) / side).alias("u"), ((F.col("y") - y0) / side).alias("v")))
+    cells = kept(_in_cells(nodes, depth).groupBy(*CELL).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
     last = cells.where((F.col("n") > most) & (F.col("level") < depth)).agg(F.max("level")).first()[0]
     last = -1 if last is None else last  # the deepest level whose cells are divided
     cells = cells.where(F.col("level") <= last + 1)
-    placed = _in_cells(nodes, x0, y0, side, last + 1)
+    placed = _in_cells(nodes, last + 1)
 
     divided = cells.where((F.col("n") > most) & (F.col("level") <= last)).select((F.col("level") + 1).alias("level"), F.col("ix").alias("px"), F.col("iy").alias("py"))
     named = cells.withColumns({"px": _half("ix"), "py": _half("iy")})
-    acting = kept(named.join(divided, ["level", "px", "py"], "left_semi").unionByName(named.where("level = 0")))
+    acting = (named.join(divided, ["level", "px", "py"], "left_semi").unionByName(named.where("level = 0")))
     few = F.col("n") <= most
     singles = placed.join(acting.where(few).select(*CELL), list(CELL)).groupBy(*CELL).agg(F.collect_list(F.struct("x", "y", F.lit(1.0).alias("w"))).alias("singles"))
 

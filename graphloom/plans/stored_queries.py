@@ -175,7 +175,7 @@ def drawn_pixels(spark, sf):
 
 @query()
 def force_layout(spark, sf):
-    """Suppliers and parts, joined by lineitems, laid out by forces from scattered places."""
+    """Suppliers and parts, joined by lineitems, laid out by five steps of forces from scattered places."""
     edges = A.bipartite(spark, sf)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return layout.laid_out(layout.scattered(nodes), edges, iterations=10)
+    return layout.laid_out(layout.scattered(nodes), edges, iterations=5)
