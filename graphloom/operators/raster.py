@@ -8,9 +8,13 @@ numbers, colours from 0 to 255.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import kept
+
 COLOUR = ("r", "g", "b")
 
 
@@ -63,17 +67,30 @@ def glow_pixels(glows: DataFrame, width: int, height: int) -> DataFrame:
     return _around(glows, width, height).select(F.col("px").alias("x"), F.col("py").alias("y"), *(F.floor(F.col(c) * left * left).alias(c) for c in COLOUR))
 
 
-def last_of(pixels: DataFrame) -> DataFrame:
-    """(x, y, c): the colour that was drawn last at each place; of equal orders the brighter one."""
-    colour = F.struct(*COLOUR)
-    return pixels.groupBy("x", "y").agg(F.max(F.struct("order", colour.alias("c"))).alias("m")).select("x", "y", "m.c")
+#: Places in a drawing up to which the winning orders are sent to all tasks.
+FEW = 1 << 20
+
+
+def last_of(shapes: DataFrame, pixels: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(x, y, c): the colour that was drawn last at each place; of equal orders the brighter one.
+
+    pixels takes shapes(order, ...) apart into (order, x, y, r, g, b). The largest order of a place is one number, summed
+    up by hash where the pixels arise; only shapes that are last somewhere come apart again, for their colours.
+    """
+    last = kept(pixels(shapes).groupBy("x", "y").agg(F.max("order").alias("last")))
+    sent = F.broadcast if last.count() <= FEW else lambda side: side
+    orders = last.select("last").distinct()
+    seen = shapes.join(sent(orders), F.col("order").eqNullSafe(F.col("last")), "left_semi")
+    there = last.select(F.col("x").alias("lx"), F.col("y").alias("ly"), "last")
+    met = pixels(seen).join(sent(there), (F.col("x") == F.col("lx")) & (F.col("y") == F.col("ly")) & F.col("order").eqNullSafe(F.col("last")))
+    return met.groupBy("x", "y").agg(F.max(F.struct(*COLOUR)).alias("c"))
 
 
 def drawn(lines: DataFrame, glows: DataFrame, discs: DataFrame, width: int, height: int) -> DataFrame:
     """(x, y, r, g, b) of every place that some shape covers; all others are black."""
-    low = last_of(line_pixels(lines, width, height)).withColumnRenamed("c", "low")
+    low = last_of(lines, lambda s: line_pixels(s, width, height)).withColumnRenamed("c", "low")
     light = glow_pixels(glows, width, height).groupBy("x", "y").agg(*(F.sum(c).alias(f"light_{c}") for c in COLOUR))
-    top = last_of(disc_pixels(discs, width, height)).withColumnRenamed("c", "top")
+    top = last_of(discs, lambda s: disc_pixels(s, width, height)).withColumnRenamed("c", "top")
     met = low.join(light, ["x", "y"], "full").join(top, ["x", "y"], "full")
 
     def blended(c: str) -> Column:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import raster
 from graphloom.sources import sinks
@@ -99,3 +100,19 @@ def test_image(spark, scene):
 def test_nothing(spark):
     empty = raster.drawn(spark.createDataFrame([], LINES), spark.createDataFrame([], GLOWS), spark.createDataFrame([], DISCS), 4, 3)
     assert empty.count() == 0 and b"".join(sinks.image_bytes(empty, 4, 3))[18:] == bytes(36)
+
+
+def test_last_of_sums_up_by_hash(spark):
+    """The pixels of all shapes are summed up where they arise and never sorted; of equal orders the brighter one counts."""
+    lines = spark.createDataFrame([(1, 0, 0, 9, 0, 5, 5, 5), (2, 0, 0, 4, 0, 1, 2, 3), (2, 2, 0, 6, 0, 1, 3, 0), (None, 0, 1, 3, 1, 7, 7, 7)], LINES)
+    plan = []
+
+    def pixels(shapes):
+        out = raster.line_pixels(shapes, 10, 5)
+        plan.append(out.groupBy("x", "y").agg(F.max("order"))._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    got = {(r["x"], r["y"]): tuple(r["c"]) for r in raster.last_of(lines, pixels).collect()}
+    want = {(x, 0): (1, 2, 3) if x < 2 else (1, 3, 0) if x < 7 else (5, 5, 5) for x in range(10)}
+    assert got == {**want, **{(x, 1): (7, 7, 7) for x in range(4)}}
+    assert len(plan) == 2 and "SortAggregate" not in plan[0]
