@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AMBIGUOUS, MISSING, OTHER
+from .index import kept
 
 
 def pooled(calls: DataFrame, keep_reserved: bool = True) -> DataFrame:
@@ -54,15 +55,36 @@ def dosage_columns(panel: DataFrame) -> DataFrame:
     return rows.withColumn("column", (F.row_number().over(order) - 1).cast("bigint"))
 
 
+#: Rows of a panel up to which they are sent to all tasks, and rows a site from which the other side is dealt anew.
+SENT, MANY = 1 << 20, 8
+
+
+def by_panel(rows: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows joined with facts, some rows a site of a panel.
+
+    Few facts are sent to all tasks, so that what comes out is never exchanged. Sites are few and take all rows of a
+    table, so where each row meets many facts, rows are dealt anew first: a small file would be read, and come apart, in
+    a task or two.
+    """
+    facts = kept(facts)
+    n, keys = facts.agg(F.count("*"), F.countDistinct(*on)).first()
+    if n > SENT:
+        return rows.join(facts, list(on))
+    if n >= MANY * keys:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.join(F.broadcast(facts), list(on))
+
+
 def dosages(called: DataFrame, panel: DataFrame) -> DataFrame:
     """(site, hap, column, value): 1 where a haplotype carries the column's allele, else 0; null where it has no call."""
-    return called.join(dosage_columns(panel).withColumnRenamed("idx", "allele"), "site").select("site", "hap", "column", (F.col("idx") == F.col("allele")).cast("double").alias("value"))
+    columns = dosage_columns(panel).select("site", F.col("idx").alias("allele"), "column")
+    return by_panel(called.select("site", "hap", "idx"), columns, ["site"]).select("site", "hap", "column", (F.col("idx") == F.col("allele")).cast("double").alias("value"))
 
 
 def expected_dosages(probabilities: DataFrame, panel: DataFrame) -> DataFrame:
     """As dosages, from probabilities(site, hap, idx, p)."""
-    columns = dosage_columns(panel)
-    return probabilities.join(columns, ["site", "idx"]).select("site", "hap", "column", F.col("p").alias("value"))
+    columns = dosage_columns(panel).select("site", "idx", "column")
+    return by_panel(probabilities, columns, ["site", "idx"]).select("site", "hap", "column", F.col("p").alias("value"))
 
 
 def diploid(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

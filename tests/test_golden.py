@@ -283,3 +283,14 @@ def test_probabilities_where_only_shared_nodes_have_values(spark):
     values = spark.createDataFrame([("a", 9, 0.5), ("b", 2, 1.0), ("b", 9, 1.0), ("c", 1, 0.0)], "individual string, node long, value double")
     got = {tuple(r) for r in alleles.signature_probabilities(values, signatures).select("individual", "site", "idx", "p").collect()}
     assert got == {("a", 0, 0, 1.0), ("b", 0, 1, 1.0), ("c", 0, 0, 1.0)}
+
+
+def test_dosages_are_dealt_over_tasks(spark):
+    """Haplotypes of one small file are spread before each meets all of a site's columns, which are not exchanged after."""
+    panel = spark.createDataFrame([("s", k, 1 / 12) for k in range(12)], "site string, idx long, frequency double")
+    called = spark.createDataFrame([("s", h, h % 12) for h in range(200)], "site string, hap long, idx long").coalesce(1)
+    probs = alleles.by_panel(called.drop("idx"), panel, ["site"]).withColumn("p", F.lit(0.5))
+    for rows in (alleles.dosages(called, panel), alleles.expected_dosages(probs, panel)):
+        assert rows.count() == 200 * 11
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
