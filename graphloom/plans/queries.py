@@ -605,7 +605,7 @@ CALLS = A.PANEL + ", k AS (SELECT p_brand AS site, p_partkey AS hap, p_type || '
 
 def _calls(spark, sf):
     calls = A.table(spark, sf, "part").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("hap"), F.concat_ws("|", "p_type", (F.col("p_size") % 20 + 1).cast("string")).alias("label"))
-    panel = alleles.pooled(A.allele_calls(spark, sf))
+    panel = index.kept(alleles.pooled(A.allele_calls(spark, sf)))
     return alleles.allele_calls(calls, panel), panel
 
 
@@ -632,11 +632,12 @@ def haploid_dosage(spark, sf):
 
 @query(f"WITH {A.PANEL}, f AS (SELECT p.site, p_partkey AS hap, p.idx, (p_size % 10) / 10.0 / k AS pr FROM p JOIN part ON p_brand = p.site JOIN r ON r.site = p.site) SELECT f.site, hap, CASE WHEN idx < ref THEN idx ELSE idx - 1 END AS \"column\", round(pr, 9) AS value FROM f JOIN r ON r.site = f.site WHERE idx <> ref AND k > 1")
 def prob_dosage(spark, sf):
-    panel = alleles.pooled(A.allele_calls(spark, sf))
+    panel = index.kept(alleles.pooled(A.allele_calls(spark, sf)))
     sizes = panel.groupBy("site").agg(F.count("*").alias("k"))
     parts = A.table(spark, sf, "part").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("hap"), (F.col("p_size") % 10).alias("z"))
-    probs = panel.select("site", "idx").join(sizes, "site").join(parts, "site").select("site", "hap", "idx", (F.col("z") / 10.0 / F.col("k")).alias("p"))
-    return alleles.expected_dosages(probs, panel).withColumn("value", F.round("value", 9))
+    # every allele of a part has the same share, rounded once
+    shares = alleles.by_panel(parts, sizes, ["site"]).select("site", "hap", F.round(F.col("z") / 10.0 / F.col("k"), 9).alias("p"))
+    return alleles.expected_dosages(alleles.by_panel(shares, panel.select("site", "idx"), ["site"]), panel)
 
 
 DIP = "x AS (SELECT p_brand AS site, p_partkey // 2 AS ind, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size % 2 AS DOUBLE) END AS value FROM part)"
