@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AMBIGUOUS, MISSING, OTHER, signature, signature_nodes
@@ -442,6 +442,46 @@ def shared_out(asked: DataFrame, scores: DataFrame, panel: DataFrame, parts: Dat
     return shares.unionByName(rest.select(*pair, F.col("first").alias("idx"), F.lit(1.0).alias("p")))
 
 
+def flat_cells(asked: DataFrame, values: DataFrame, panel: DataFrame, parts: DataFrame, columns: DataFrame) -> DataFrame:
+    """(individual, feature, value) of asked(individual, site, hard) by flat alleles: 1 for the chosen() allele of the
+    hard ones, the shares of shared_out() over informative() nodes for the others, 0 for all other columns.
+
+    What an individual has of a site's nodes is one row, a site's alleles and columns are another. Scores of all alleles
+    and the cells arise from the two where they meet, so neither is ever exchanged.
+    """
+    from .alleles import SENT, informative
+
+    columns = stored(columns)
+    mine = columns.select(F.col("snarl").alias("site")).distinct()
+    parts = stored(parts.join(mine, "site", "left_semi"))
+    sent = F.broadcast if parts.count() + columns.count() <= SENT else lambda side: side
+
+    def lists(rows: DataFrame, name: str) -> DataFrame:
+        each = rows.groupBy("site", "idx").agg(F.collect_list("node").alias("nodes"))
+        return each.groupBy("site").agg(F.collect_list(F.struct("idx", "nodes")).alias(name))
+
+    facts = columns.groupBy(F.col("snarl").alias("site")).agg(F.collect_list(F.struct(F.col("allele").alias("idx"), "feature")).alias("columns"))
+    facts = facts.join(lists(parts, "all_nodes"), "site", "left").join(lists(informative(parts), "own_nodes"), "site", "left").join(first_choice(panel, parts), "site", "left")
+    met = values.join(sent(parts.select("site", "node").distinct()), "node")
+    has = met.groupBy("individual", "site").agg(F.map_from_entries(F.collect_list(F.struct("node", "value"))).alias("at"))
+    rows = asked.join(has, ["individual", "site"], "left").join(sent(stored(facts)), "site")
+
+    def means(name: str) -> Column:
+        total = lambda a: F.aggregate(a["nodes"], F.lit(0.0), lambda s, n: s + F.coalesce(F.try_element_at("at", n), F.lit(0.0)))
+        scored = F.transform(name, lambda a: F.struct((total(a) / F.size(a["nodes"])).alias("mean"), a["idx"].alias("idx")))
+        return F.filter(scored, lambda m: m["mean"] > 0)
+
+    best = F.array_max(F.transform(means("all_nodes"), lambda m: F.struct(m["mean"].alias("mean"), (-m["idx"]).alias("neg"))))
+    shares = F.when(~F.col("hard"), F.map_from_entries(F.transform(means("own_nodes"), lambda m: F.struct(m["idx"], m["mean"]))))
+    rows = rows.select("individual", "columns", F.coalesce(F.when(F.col("hard"), -best["neg"]), "first").alias("pick"), shares.alias("shares"))
+    total = F.aggregate(F.map_values("shares"), F.lit(0.0), lambda a, m: a + m)
+    # columns come apart above the scores, which are so taken once a row
+    cells = rows.select("individual", "pick", "shares", F.when(F.size("shares") > 0, total).alias("total"), F.inline("columns"))
+    share = F.coalesce(F.try_element_at("shares", F.col("idx")), F.lit(0.0)) / F.col("total")
+    value = F.when(F.col("total").isNotNull(), share).otherwise((F.col("idx") == F.col("pick")).cast("double"))
+    return cells.select("individual", "feature", value.alias("value")).where("value is not null")
+
+
 def encoded_values(values: DataFrame, walks: DataFrame, snarls: DataFrame) -> DataFrame:
     """(individual, feature, value): node values(individual, node, value) encoded against a panel of walks.
 
@@ -450,7 +490,7 @@ def encoded_values(values: DataFrame, walks: DataFrame, snarls: DataFrame) -> Da
     as 0 and 1; the others get shares of the alleles. A cyclic site has the largest value of its inner nodes, or of its
     boundary where that is 0.
     """
-    from .alleles import hard_calls, informative, signature_scores
+    from .alleles import hard_calls
 
     known, values = learned(walks, snarls), stored(values)
     sites = known["sites"]
@@ -480,7 +520,7 @@ def encoded_values(values: DataFrame, walks: DataFrame, snarls: DataFrame) -> Da
         shares = shared_out(soft.join(mine, "site", "left_semi"), soft_scores, panel, parts)
         return cells(calls.unionByName(shares), asked.drop("hard"), columns)
 
-    leaves = both(flat, named, signature_scores(values, named), signature_scores(values, informative(named)), "leaf", "flat")
+    leaves = flat_cells(asked, values, flat, named, site_columns(sites, flat, "leaf", "flat"))
     split = both(routes, route_parts, route_scores, route_scores, "skeleton")
     ends = snarls.select("snarl", F.explode(F.array_distinct(F.array("entry", "exit"))).alias("node"))
     inner = cyclic_support(values, known["cycles"]).where("support > 0").withColumnRenamed("support", "inner")

@@ -294,3 +294,16 @@ def test_dosages_are_dealt_over_tasks(spark):
         assert rows.count() == 200 * 11
         assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
         assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flat_cells_are_not_exchanged(spark):
+    """Scores and cells of flat alleles arise where an individual meets a site's lists; no exchange comes after."""
+    panel = spark.createDataFrame([(0, "1+,2+", 0), (0, "1+,3+", 1), (0, "OTHER", 2)], "site long, label string, idx long")
+    columns = spark.createDataFrame([(0, 1, 10), (0, 2, 11)], "snarl long, allele long, feature long")
+    values = spark.createDataFrame([(7, 1, 1.0), (7, 3, 1.0), (8, 2, 0.3), (8, 3, 0.1)], "individual long, node long, value double")
+    asked = spark.createDataFrame([(7, 0, True), (8, 0, False), (9, 0, False)], "individual long, site long, hard boolean")
+    cells = snarls.flat_cells(asked, values, panel, snarls.flat_parts(panel), columns)
+    got = {(r["individual"], r["feature"]): round(r["value"], 9) for r in cells.collect()}
+    assert got == {(7, 10): 1.0, (7, 11): 0.0, (8, 10): 0.25, (8, 11): 0.0, (9, 10): 0.0, (9, 11): 0.0}
+    above, found, _ = cells._jdf.queryExecution().executedPlan().toString().partition("Generate")
+    assert found and "Exchange" not in above
