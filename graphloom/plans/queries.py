@@ -753,7 +753,7 @@ def encode_node_values(spark, sf):
 
 @query(f"WITH {ENCODED} SELECT individual // 8 AS pair, feature, round(sum(value), 5) AS value FROM en WHERE individual % 4 = 0 GROUP BY 1, 2")
 def diploid_node_values(spark, sf):
-    sure = index.stored(_encoded_values(spark, sf)).where("individual % 4 = 0").select(F.floor(F.col("individual") / 8).alias("pair"), (F.col("individual") % 8 == 0).alias("left"), "feature", "value")
+    sure = _encoded_values(spark, sf).where("individual % 4 = 0").select(F.floor(F.col("individual") / 8).alias("pair"), (F.col("individual") % 8 == 0).alias("left"), "feature", "value")
     left, right = sure.where("left").drop("left"), sure.where("not left").drop("left")
     return alleles.diploid(left, right, ["pair", "feature"]).withColumn("value", F.round("value", 5))
 
