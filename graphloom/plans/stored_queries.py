@@ -84,7 +84,7 @@ def walks_with(spark, sf):
     order = haplotypes.ordered(steps)
     pairs = graph.step_pairs(steps.where("not walk.reverse").withColumn("fwd", F.lit(True))).select("walk", "step", "src", "dst")
     after = pairs.select("walk", (F.col("step") - 1).alias("step"), F.col("dst").alias("third"))
-    triples = stored(pairs.join(after, ["walk", "step"]).select(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("third").alias("c")).alias("pattern")).distinct())
+    triples = stored(pairs.hint("merge").join(after, ["walk", "step"]).select(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("third").alias("c")).alias("pattern")).distinct())
     patterns = triples.select("pattern", F.posexplode(F.array("pattern.a", "pattern.b", "pattern.c")).alias("at", "node"))
     found = haplotypes.walks_with(order, haplotypes.runs(order), patterns)
     return found.select("pattern.a", "pattern.b", "pattern.c", "hits", "walks")
