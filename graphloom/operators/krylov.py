@@ -1,17 +1,22 @@
 """Spectra of graphs beyond one task: vectors are columns of a table of nodes, a product is a join and a sum.
 
-Entries are laid out by column and vectors by node, in the same buckets, so a product exchanges one partial sum for
-each task and row, and nothing else moves. All vectors of the space so far are one array beside each node. Only the
-coefficients of the small problem, a number for each step, come to the driver.
+A space's matrix and vectors lie in slabs of places, in the same buckets, so a product exchanges what a slab of columns
+adds to each slab of rows, and nothing else moves. A vector is written once as it is found. Only the coefficients of the
+small problem, a number for each step and slab, come to the driver. For probes, entries lie by column, vectors by node.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .index import bucketed
+from .index import bucketed, shared_dir, stored, with_rank
 from .spectral import chebyshev
 
 #: Steps after which a search that has not settled ends, and steps between two looks at the residuals.
@@ -31,45 +36,203 @@ def _noise(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "node").cast("double") / float(1 << 63)
 
 
-def _combined(array: str, factors: np.ndarray) -> Column:
-    """The sum of the first entries of an array, each times its factor."""
-    return F.aggregate(F.zip_with(F.col(array), F.array(*(F.lit(float(x)) for x in factors)), lambda q, f: q * f), F.lit(0.0), lambda a, b: a + b)
+#: Most places of a slab and, on average, most entries of its columns; fewer places are not worth a task.
+SLAB, SLAB_ENTRIES, LEAST = 1 << 17, 1 << 22, 1 << 12
+VECTOR = "slab long, number long, x binary, dots binary"
+
+
+def _numbers(cell: pa.Scalar, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), kind)
+
+
+def _rows(**named: list) -> pa.Table:
+    kinds = {"slab": pa.int64(), "number": pa.int64(), "k": pa.int64()}
+    return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in named.items()})
+
+
+def _packed(width: int) -> Callable[[pa.Table], pa.Table]:
+    """The entries of a slab of columns as one row: columns within the slab, rows as numbers into a list of places."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        slab = t["slab"][0].as_py()
+        rows, at = np.unique(t["row"].to_numpy(), return_inverse=True)
+        cols = t["col"].to_numpy() - slab * width
+        return _rows(slab=[slab], rows=[rows.tobytes()], at=[at.astype(np.int32).tobytes()], cols=[cols.astype(np.int32).tobytes()], value=[t["value"].to_numpy().tobytes()])
+
+    return pack
+
+
+def _sums(width: int, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the columns of a slab add to each slab of rows: all of its places, or those that are met."""
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                of = lambda c, kind: _numbers(batch[c][k], kind)  # noqa: B023, E731
+                rows, cols = of("rows", np.int64), of("cols", np.int32)
+                sums = np.bincount(of("at", np.int32), of("value", np.float64) * (of("x", np.float64) * scale)[cols], len(rows))
+                slabs, first = np.unique(rows // width, return_index=True)
+                for slab, i, j in zip(slabs.tolist(), first, [*first[1:], len(rows)]):
+                    places, part = (rows[i:j] - slab * width).astype(np.int32), sums[i:j]
+                    if 3 * len(part) >= 2 * width:
+                        whole = np.zeros(width)
+                        whole[places] = part
+                        places, part = places[:0], whole
+                    yield from _rows(slab=[slab], places=[places.tobytes()], sums=[part.tobytes()]).to_batches()
+
+    return product
+
+
+def _met(width: int, scales: dict[int, float], order: list[int]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The product at a slab, and its products with the vectors there."""
+
+    def meet(key: tuple, parts: pa.Table, space: pa.Table) -> pa.Table:
+        w = np.zeros(width)
+        for places, sums in zip(parts["places"], parts["sums"]):
+            places, sums = _numbers(places, np.int32), _numbers(sums)
+            if len(places):
+                w[places] += sums
+            else:
+                w += sums
+        return _rows(slab=[key[0].as_py()], number=[-1], x=[w.tobytes()], dots=[_dots(w, space, scales, order).tobytes()])
+
+    return meet
+
+
+def _dots(w: np.ndarray, space: pa.Table, scales: dict[int, float], order: list[int]) -> np.ndarray:
+    """The products of w with each vector of the space, and with itself."""
+    found = {n.as_py(): x for n, x in zip(space["number"], space["x"]) if n.as_py() in scales}
+    return np.array([*((_numbers(found[n]) @ w) * scales[n] for n in order), w @ w])
+
 
+def _cleared(number: int, scales: dict[int, float], order: list[int], shares: np.ndarray) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """w less its shares of the vectors at a slab, and what it has in common with them then."""
 
-def _dots(rows: DataFrame, size: int, *more: Column) -> np.ndarray:
-    """The products of w with each vector of the space, and further sums."""
-    return np.array(rows.agg(*(F.sum(F.get("space", F.lit(k)) * F.col("w")) for k in range(size)), *(F.sum(c) for c in more)).first()[:], float)
+    def clear(met: pa.Table, space: pa.Table) -> pa.Table:
+        w = _numbers(met["x"][0]).copy()
+        of = {n: share * scales[n] for n, share in zip(order, shares.tolist())}
+        for n, x in zip(space["number"], space["x"]):
+            if n.as_py() in of:
+                w -= _numbers(x) * of[n.as_py()]
+        return _rows(slab=[met["slab"][0].as_py()], number=[number], x=[w.tobytes()], dots=[_dots(w, space, scales, order).tobytes()])
+
+    return clear
+
+
+def _started(width: int) -> Callable[[pa.Table], pa.Table]:
+    def start(t: pa.Table) -> pa.Table:
+        slab = t["slab"][0].as_py()
+        places, x = t["place"].to_numpy() - slab * width, np.zeros(width)
+        x[places] = t["x"].to_numpy()
+        return _rows(slab=[slab], nodes=[t["node"].to_numpy().astype(np.int64).tobytes()], places=[places.astype(np.int32).tobytes()], x=[x.tobytes()], dots=[np.array([x @ x]).tobytes()])
+
+    return start
+
+
+def _combined(width: int, scales: dict[int, float], order: list[int], vectors: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """The vectors of the matrix at a slab from those of the space."""
+
+    def combine(space: pa.Table) -> pa.Table:
+        at, sums = {n: k for k, n in enumerate(order)}, np.zeros((vectors.shape[1], width))
+        for n, x in zip(space["number"], space["x"]):
+            if n.as_py() in at:
+                q = _numbers(x) * scales[n.as_py()]
+                for k, factor in enumerate(vectors[at[n.as_py()]]):
+                    sums[k] += factor * q
+        return _rows(slab=[space["slab"][0].as_py()] * len(sums), k=list(range(len(sums))), entries=[v.tobytes() for v in sums])
+
+    return combine
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            nodes, entries = _numbers(batch["nodes"][k], np.int64), _numbers(batch["entries"][k])[_numbers(batch["places"][k], np.int32)]
+            yield pa.record_batch({"k": pa.array(np.full(len(nodes), batch["k"][k].as_py())), "node": pa.array(nodes), "entry": pa.array(entries)})
 
 
 class Space:
-    """A Krylov space of a symmetric matrix: rows(node, space), an orthonormal vector for each place of the array."""
+    """A Krylov space of a symmetric matrix: rows(slab, number, x), a vector for each number, in slabs of its places.
+
+    A node's place is its distance from the least node, or its rank where the nodes are few between their ends. A task
+    adds up what a slab of columns gives before that is exchanged, so a matrix whose entries lie near its diagonal
+    exchanges little more than a vector. A new vector is appended to the rows; those before it are read, not written.
+    """
 
     def __init__(self, coo: DataFrame, seed: int = 7) -> None:
-        self.entries = _entries(coo)
-        start = bucketed(_nodes(self.entries).select("node", _noise(seed).alias("x")), "node")
-        n, square = start.agg(F.count("*"), F.sum(F.col("x") * F.col("x"))).first()
-        self.order, self.alpha, self.beta, self.closed = n, [], [], n == 0
-        self.rows = start.select("node", F.array(F.col("x") / float(square**0.5 if n else 1.0)).alias("space"))
+        spark = coo.sparkSession
+        entries = stored(coo.select(*(F.col(c).cast("bigint").alias(c) for c in ("row", "col")), F.col("value").cast("double").alias("value")))
+        low, high, count = entries.agg(F.min(F.least("row", "col")), F.max(F.greatest("row", "col")), F.count("*")).first()
+        nodes = _nodes(entries)
+        n = self.order = nodes.count()
+        self.alpha, self.beta, self.closed, self.vectors, self.scales, self.last = [], [], n == 0, [], {}, 0
+        if not n:
+            return
+        span = high - low + 1
+        if span <= 4 * n:
+            placed = nodes.withColumn("place", F.col("node") - low)
+            entries = entries.withColumns({c: F.col(c) - low for c in ("row", "col")})
+        else:
+            span, placed = n, stored(with_rank(nodes, "node", name="place"))
+            for c in ("row", "col"):
+                entries = entries.join(placed.select(F.col("node").alias(c), F.col("place").alias("__place")), c).withColumn(c, F.col("__place")).drop("__place")
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        w = self.width = min(span, SLAB, max(LEAST, -(-span // (2 * self.parts))), max(LEAST, span * SLAB_ENTRIES // count))
+        slab = lambda c: F.floor(F.col(c) / w).cast("bigint").alias("slab")
+        self.matrix = bucketed(entries.select(slab("col"), "row", "col", "value").groupBy("slab").applyInArrow(_packed(w), "slab long, rows binary, at binary, cols binary, value binary"), "slab", parts=self.parts)
+        self.base = bucketed(placed.select(slab("place"), "node", "place", _noise(seed).alias("x")).groupBy("slab").applyInArrow(_started(w), "slab long, nodes binary, places binary, x binary, dots binary"), "slab", parts=self.parts)
+        self.name = f"space_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{self.name}"
+        (square,) = self._append(self.base.select("slab", F.lit(0).cast("bigint").alias("number"), "x", "dots"), 0)
+        self._take(0, float(square**0.5))
+
+    def _append(self, rows: DataFrame, number: int) -> np.ndarray:
+        rows.write.mode("append").option("path", self.path).bucketBy(self.parts, "slab").saveAsTable(self.name)
+        return self._total(self.rows.where(F.col("number") == number))
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.base.sparkSession.table(self.name)
+
+    def _total(self, rows: DataFrame) -> np.ndarray:
+        return np.sum([np.frombuffer(r["dots"]) for r in rows.select("dots").collect()], axis=0)
+
+    def _take(self, number: int, norm: float) -> None:
+        self.vectors.append(number)
+        self.scales[number] = 1 / (norm or 1.0)
+
+    def _less(self, met: DataFrame | None, shares: np.ndarray) -> np.ndarray:
+        """Appends met, or the last row of each slab, less its shares of the vectors."""
+        before, self.last = self.last, self.last + 1
+        clear = _cleared(self.last, dict(self.scales), list(self.vectors), shares)
+        space = self.rows.groupBy("slab")
+        if met is None:
+            rows = space.applyInArrow(lambda t: clear(t.filter(pc.equal(t["number"], before)), t), VECTOR)
+        else:
+            rows = met.groupBy("slab").cogroup(space).applyInArrow(clear, VECTOR)
+        return self._append(rows, self.last)
 
     def step(self) -> None:
-        """One product, made orthogonal to the whole space twice."""
+        """One product, made orthogonal to the whole space, and once more where something of it is left."""
         k = len(self.alpha)
-        last = self.rows.select(F.col("node").alias("col"), F.get("space", F.lit(k)).alias("x"))
-        product = self.entries.join(last, "col").groupBy(F.col("row").alias("node")).agg(F.sum(F.col("value") * F.col("x")).alias("w"))
-        met = bucketed(self.rows.join(product, "node", "left").select("node", "space", F.coalesce("w", F.lit(0.0)).alias("w")), "node")
-        first = _dots(met, k + 1)
-        once = met.withColumn("w", F.col("w") - _combined("space", first))
-        *second, square = _dots(once, k + 1, F.col("w") * F.col("w"))
+        newest = self.rows.where(F.col("number") == self.vectors[-1]).select("slab", "x")
+        sums = self.matrix.join(newest.hint("shuffle_hash"), "slab").mapInArrow(_sums(self.width, self.scales[self.vectors[-1]]), "slab long, places binary, sums binary")
+        met = sums.groupBy("slab").cogroup(self.rows.groupBy("slab")).applyInArrow(_met(self.width, dict(self.scales), list(self.vectors)), VECTOR)
+        met = bucketed(met, "slab", parts=self.parts)
+        first = self._total(met)[:-1]
+        *second, square = self._less(met, first)
         second = np.array(second)
-        left = once.withColumn("w", F.col("w") - _combined("space", second))
         self.alpha.append(first[k] + second[k])
+        least = 1e-9 * max(1.0, max(map(abs, self.alpha)))
         norm = float(np.sqrt(max(0.0, square - second @ second)))
+        if norm > least and np.abs(second).max() > 1e-12 * norm:
+            *_, square = self._less(None, second)
+            norm = float(np.sqrt(square))
         self.beta.append(norm)
-        if norm <= 1e-9 * max(1.0, max(map(abs, self.alpha))) or len(self.alpha) == self.order:
+        if norm <= least or len(self.alpha) == self.order:
             self.closed = True  # what is left of the matrix does not meet this space
-            self.rows = met.select("node", "space")
         else:
-            self.rows = left.select("node", F.concat("space", F.array(F.col("w") / norm)).alias("space"))
+            self._take(self.last, norm)
 
     def ritz(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ascending values, their residuals, and their vectors within the space, in columns."""
@@ -80,6 +243,11 @@ class Space:
         values, vectors = np.linalg.eigh(np.diag(self.alpha) + off + off.T)
         return values, (0.0 if self.closed else self.beta[-1]) * np.abs(vectors[-1]), vectors
 
+    def combined(self, vectors: np.ndarray) -> DataFrame:
+        """(k, node, entry) of combinations of the space, in columns."""
+        mixed = self.rows.groupBy("slab").applyInArrow(_combined(self.width, dict(self.scales), self.vectors[: len(vectors)], vectors), "slab long, k long, entries binary")
+        return mixed.join(self.base.select("slab", "nodes", "places").hint("shuffle_hash"), "slab").mapInArrow(_unpacked, "k long, node long, entry double")
+
 
 def lowest(coo: DataFrame, k: int, most: int = MOST_STEPS, tolerance: float = 1e-9, every: int = EVERY, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(k, eigenvalue, residual) and (k, node, entry) of the k smallest eigenpairs of a symmetric matrix.
@@ -98,8 +266,11 @@ def lowest(coo: DataFrame, k: int, most: int = MOST_STEPS, tolerance: float = 1e
     k = min(k, len(values))
     spark = coo.sparkSession
     found = spark.createDataFrame([(j, float(values[j]), float(residuals[j])) for j in range(k)], "k long, eigenvalue double, residual double")
-    pairs = F.array(*(F.struct(F.lit(j).cast("bigint").alias("k"), _combined("space", vectors[:, j]).alias("entry")) for j in range(k))) if k else F.array().cast("array<struct<k:bigint,entry:double>>")
-    return found, space.rows.select("node", F.explode(pairs).alias("p")).select("p.k", "node", "p.entry")
+    if not k:
+        return found, spark.createDataFrame([], "k long, node long, entry double")
+    mixed = space.combined(vectors[:, :k])
+    spark.sql(f"DROP TABLE {space.name}")  # the name only; its files stay
+    return found, mixed
 
 
 def probe_score(coo: DataFrame, degree: int = 64, probes: int = 24, seed: int = 11) -> DataFrame:

@@ -72,3 +72,32 @@ def test_a_range_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(spectral, "FULL_ORDER", 10)
     far = pipelines.lowest_eigenvalues(edges, 0, 100, 2).orderBy("k").collect()
     assert abs(far[0]["eigenvalue"] - exact[0]["eigenvalue"]) < 1e-8 and far[0]["residual"] < 1e-6
+
+
+def test_a_step_writes_no_more_than_the_one_before(spark):
+    """Vectors found before are not written anew, and sums near the diagonal are added up before they are exchanged."""
+    from pathlib import Path
+
+    from graphloom.operators.index import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    n = 20_000
+    space, steps = krylov.Space(graph.laplacian(generators.digit_ring(spark.range(n), 1))), []
+    for _ in range(8):
+        before = size()
+        space.step()
+        steps.append(size() - before)
+    assert max(steps) < 1.2 * min(steps) and max(steps) < 3 * 8 * n
+
+
+def test_nodes_far_apart(spark):
+    """Ids with wide gaps go by their ranks; the pairs are those of the dense matrix."""
+    e = np.random.default_rng(8).integers(0, 40, (200, 2))
+    coo = graph.laplacian(spark.createDataFrame([(int(a) * 10**12, int(b) * 10**12) for a, b in e], "src long, dst long"))
+    nodes, m = dense_of(coo)
+    values, vectors = krylov.lowest(coo, 2, tolerance=1e-8)
+    pdf = vectors.toPandas()
+    for r in values.collect():
+        x = pdf[pdf["k"] == r["k"]].set_index("node")["entry"].reindex(nodes).to_numpy()
+        assert abs(np.linalg.norm(x) - 1) < 1e-8 and np.linalg.norm(m @ x - r["eigenvalue"] * x) < 1e-5
