@@ -13,6 +13,8 @@ with an unknown end are left out. Nodes in one place do not push each other. An
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +43,25 @@ def _half(c: str) -> Column:
     return F.shiftright(F.col(c), 1)
 
 
+def _levels(n: int, most: int) -> int:
+    """Halvings after which n nodes lie in cells of few, also where they are 64 times as dense as on average."""
+    return 3 + math.ceil(math.log(max(n / most, 1.0), 4))
+
+
 def repulsion(nodes: DataFrame, strength: float, most: int = MOST, reach: int = REACH, depth: int = DEPTH) -> DataFrame:
     """(node, fx, fy): the sum over all other nodes(node, x, y) of strength / distance, away from them."""
-    x0, y0, x1, y1 = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    x0, y0, x1, y1, n = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
     if x0 is None:
         return nodes.select("node", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     side = max(x1 - x0, y1 - y0, 1e-12) * 1.001
     # the only expression that differs from call to call, so that all others are compiled once for all steps
     nodes = kept(nodes.select("node", "x", "y", ((F.col("x") - x0) / side).alias("u"), ((F.col("y") - y0) / side).alias("v")))
-    cells = kept(_in_cells(nodes, depth).groupBy(*CELL).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
-    last = cells.where((F.col("n") > most) & (F.col("level") < depth)).agg(F.max("level")).first()[0]
-    last = -1 if last is None else last  # the deepest level whose cells are divided
+    for lowest in (min(depth, _levels(n, most)), depth):  # below a level without a cell to divide there is nothing to know
+        cells = kept(_in_cells(nodes, lowest).groupBy(*CELL).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
+        last = cells.where((F.col("n") > most) & (F.col("level") < depth)).agg(F.max("level")).first()[0]
+        last = -1 if last is None else last  # the deepest level whose cells are divided
+        if last < lowest:
+            break
     cells = cells.where(F.col("level") <= last + 1)
     placed = _in_cells(nodes, last + 1)
 

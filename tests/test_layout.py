@@ -85,3 +85,14 @@ def test_edge_cases(spark):
     assert np.allclose(same, 0.5)
     placed = L.scattered(spark.range(100).select(F.col("id").alias("node")))
     assert placed.where("x between 0 and 1 and y between 0 and 1").select("x", "y").distinct().count() == 100
+
+
+def test_no_more_levels_than_cells_need(spark, monkeypatch):
+    """Scattered nodes are not counted in cells of all levels; crowds still are, with the same forces."""
+    asked, of = [], L._in_cells
+    monkeypatch.setattr(L, "_in_cells", lambda nodes, depth: asked.append(depth) or of(nodes, depth))
+    L.repulsion(frame(spark, np.random.default_rng(2).random((300, 2))), 1.0, most=8)
+    assert max(asked) < L.DEPTH
+    asked.clear()
+    L.repulsion(frame(spark, crowds(300)), 1.0, most=8)
+    assert max(asked) == L.DEPTH
