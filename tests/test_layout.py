@@ -96,3 +96,52 @@ def test_no_more_levels_than_cells_need(spark, monkeypatch):
     asked.clear()
     L.repulsion(frame(spark, crowds(300)), 1.0, most=8)
     assert max(asked) == L.DEPTH
+
+
+def test_a_crowd_in_several_tiles(spark):
+    """Tiles of few nodes, on levels that differ, and copies of one place dealt to several of them."""
+    xy = crowds(900)
+    slabs = L._in_slabs(*(lambda df: (df, 900, 900))(frame(spark, xy).withColumnRenamed("node", "at")))
+    tiles = L._tiles(L._around(slabs), 8, L.DEPTH)
+    assert tiles.shares.max() > 1 and len(set(tiles.level.tolist())) > 2 and tiles.level.max() == L.DEPTH
+    want = pushed(xy, 1.0)
+    got = values(L.repulsion(frame(spark, xy), 1.0, most=8), "fx", "fy")
+    off = np.linalg.norm(got - want, axis=1) / np.linalg.norm(want, axis=1)
+    assert np.quantile(off, 0.95) < 0.02 and off.max() < 0.2
+
+
+def test_names_and_gaps(spark):
+    """Places are those of 0, 1, 2 where nodes have names, or numbers with gaps; nodes without a name or a place are left out."""
+    rng = np.random.default_rng(6)
+    xy, edges = rng.random((40, 2)), rng.integers(0, 40, (70, 2)).tolist()
+    want = steps(xy, edges, 2)
+    for named, kind in ((lambda k: 5 + 2 * k, "int"), (lambda k: k * 10**12, "long"), (lambda k: f"n{k:02}", "string")):
+        nodes = spark.createDataFrame([*((named(k), float(x), float(y)) for k, (x, y) in enumerate(xy)), (None, 0.5, 0.5), (named(50), None, 0.5), (named(51), 0.5, float("nan"))], f"node {kind}, x double, y double")
+        ends = spark.createDataFrame([*((named(a), named(b)) for a, b in edges), (named(1), named(99)), (named(2), named(50)), (None, named(1))], f"src {kind}, dst {kind}")
+        found = L.laid_out(nodes, ends, iterations=2)
+        assert dict(found.dtypes)["node"] == {"int": "int", "long": "bigint", "string": "string"}[kind]
+        assert np.allclose(values(found, "x", "y"), want, atol=1e-7)
+
+
+def test_blocks_of_edges(spark, monkeypatch):
+    """Edges of one pair of ends count wherever they lie, and blocks are cut where they are full."""
+    monkeypatch.setattr(L, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    xy, edges = rng.random((50, 2)), [*rng.integers(0, 50, (300, 2)).tolist(), *[(4, 9)] * 90]
+    assert np.allclose(values(L.laid_out(frame(spark, xy), spark.createDataFrame(edges, "src long, dst long"), iterations=2), "x", "y"), steps(xy, edges, 2), atol=1e-7)
+
+
+def test_a_step_exchanges_little(spark):
+    """No lists of what acts on a cell are exchanged, and no node once for each level."""
+    sc = spark.sparkContext
+    nothing = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def moved():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, nothing, None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    xy, n = np.random.default_rng(4).random((4000, 2)), 4000
+    edges = spark.createDataFrame(np.random.default_rng(5).integers(0, n, (8000, 2)).tolist(), "src long, dst long")
+    before = moved()
+    L.laid_out(frame(spark, xy), edges, iterations=2).count()
+    assert moved() - before < 1000 * n
