@@ -82,22 +82,23 @@ def laplacian(edges: DataFrame, loops: str = "cancel", multi: str = "keep", by:
     """(row, col, value) of D - A, zeros left out.
 
     loops: ``cancel`` nets a loop to 0, ``degree`` leaves its 2 on the diagonal, ``skip`` ignores it. multi: ``keep``
-    adds repeated edges, ``drop`` counts an undirected edge once. Every edge gives four signed entries, which one
-    combinable sum reduces; nothing else is shuffled (but for the distinct of ``drop``).
+    adds repeated edges, ``drop`` counts an undirected edge once. Pairs of ends are counted once, in either direction, and
+    ends by node; what is shuffled is a row a pair, and the ends that a task has counted (for ``drop``, those of pairs).
     """
-    used = canonical(edges).select(*by, "src", "dst").distinct() if multi == "drop" else edges.select(*by, "src", "dst")
+    src, dst = F.col("src"), F.col("dst")
+    used = canonical(edges).select(*by, "src", "dst") if multi == "drop" else edges.select(*by, "src", "dst")
     if loops == "skip":
         used = used.where("src <> dst")
-
-    def entry(row: str, col: str, value: int):
-        return F.struct(F.col(row).alias("row"), F.col(col).alias("col"), F.lit(value).cast("bigint").alias("value"))
-
-    diagonal = [entry("src", "src", 1), entry("dst", "dst", 1)]
-    off = F.array(entry("src", "dst", -1), entry("dst", "src", -1))
-    if loops == "degree":
-        off = F.when(F.col("src") == F.col("dst"), F.array().cast("array<struct<row:bigint,col:bigint,value:bigint>>")).otherwise(off)
-    entries = used.select(*by, F.explode(F.concat(F.array(*diagonal), off)).alias("e"))
-    return entries.groupBy(*by, "e.row", "e.col").agg(F.sum("e.value").alias("value")).where("value <> 0")
+    first = src.isNull() | F.coalesce(src <= dst, F.lit(False))
+    pairs = used.select(*by, F.when(first, src).otherwise(dst).alias("src"), F.when(first, dst).otherwise(src).alias("dst"))
+    pairs = pairs.groupBy(*by, "src", "dst").agg((F.lit(1).cast("bigint") if multi == "drop" else F.count("*")).alias("n"))
+    off = pairs.where(~src.eqNullSafe(dst))
+    both = F.array(F.struct(src.alias("row"), dst.alias("col")), F.struct(dst.alias("row"), src.alias("col")))
+    off = off.select(*by, F.explode(both).alias("e"), (-F.col("n")).alias("value")).select(*by, "e.row", "e.col", "value")
+    counted = pairs if multi == "drop" else used.withColumn("n", F.lit(1).cast("bigint"))
+    counted = counted.where(~src.eqNullSafe(dst) | (src == dst)) if loops == "degree" else counted.where(~src.eqNullSafe(dst))
+    counted = counted.select(*by, F.explode(F.array("src", "dst")).alias("row"), "n").groupBy(*by, "row").agg(F.sum("n").alias("value"))
+    return off.unionByName(counted.select(*by, "row", F.col("row").alias("col"), "value"))
 
 
 def normalized_laplacian(edges: DataFrame) -> DataFrame:

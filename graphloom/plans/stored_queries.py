@@ -102,7 +102,8 @@ def lowest_eigenvalues(spark, sf):
     n, digits = ids.count(), 0
     while n and n % 10 ** (digits + 1) == 0:
         digits += 1
-    coo = graph.laplacian(generators.digit_ring(ids, digits))
+    # an id is a few bytes and gives many edges, so ids are dealt by number and not by size
+    coo = graph.laplacian(generators.digit_ring(ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), digits))
     values, _ = krylov.lowest(coo, 5)
     return values.select("k", (F.round("eigenvalue", 6) + 0.0).alias("eigenvalue"))
 

@@ -101,3 +101,39 @@ def test_nodes_far_apart(spark):
     for r in values.collect():
         x = pdf[pdf["k"] == r["k"]].set_index("node")["entry"].reindex(nodes).to_numpy()
         assert abs(np.linalg.norm(x) - 1) < 1e-8 and np.linalg.norm(m @ x - r["eigenvalue"] * x) < 1e-5
+
+
+def test_vectors_before_are_read_now_and_then(spark):
+    """A step reads the last two vectors, and all of them only where they lose their right angles."""
+    sc = spark.sparkContext
+    nothing = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def read():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, nothing, None)
+        return sum(stages.apply(k).inputBytes() for k in range(stages.size()))
+
+    n = 4000
+    hub = [(0, 7 * k) for k in range(1, n)]
+    coo = graph.laplacian(spark.createDataFrame([*hub, *((7 * k, 7 * (k + 1)) for k in range(n - 1))], "src long, dst long"))
+    space, plain = krylov.Space(coo), []
+    for _ in range(14):
+        before, reads = read(), space.reads
+        space.step()
+        plain += [read() - before] if space.reads == reads else []
+    assert 0 < space.reads < 14 and max(plain) < 1.5 * min(plain)
+    q = np.array([np.sum([np.frombuffer(r["x"]) @ np.frombuffer(s["x"]) for r, s in zip(a, b)]) for a in slabs_of(space) for b in slabs_of(space)]).reshape(14, 14)
+    assert np.abs(q - np.eye(14)).max() < 1e-7
+
+
+def slabs_of(space):
+    """The rows of each vector, by slab."""
+    rows = sorted(space.rows.collect(), key=lambda r: (r["number"], r["slab"]))
+    return [[r for r in rows if r["number"] == k] for k in range(len(space.alpha))]
+
+
+def test_entries_are_packed(spark):
+    """A value that most entries share is not written for each of them."""
+    coo = graph.laplacian(generators.digit_ring(spark.range(20_000), 2))
+    space = krylov.Space(coo)
+    size = sum(len(v) for r in space.matrix.drop("slab").collect() for v in r)
+    assert size < 7 * coo.count()
