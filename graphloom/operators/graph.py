@@ -84,6 +84,7 @@ def laplacian(edges: DataFrame, loops: str = "cancel", multi: str = "keep", by:
     loops: ``cancel`` nets a loop to 0, ``degree`` leaves its 2 on the diagonal, ``skip`` ignores it. multi: ``keep``
     adds repeated edges, ``drop`` counts an undirected edge once. Pairs of ends are counted once, in either direction, and
     ends by node; what is shuffled is a row a pair, and the ends that a task has counted (for ``drop``, those of pairs).
+    ``keep`` reads edges twice.
     """
     src, dst = F.col("src"), F.col("dst")
     used = canonical(edges).select(*by, "src", "dst") if multi == "drop" else edges.select(*by, "src", "dst")

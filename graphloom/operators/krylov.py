@@ -1,8 +1,8 @@
 """Spectra of graphs beyond one task: vectors are columns of a table of nodes, a product is a join and a sum.
 
 A space's matrix and vectors lie in slabs of places, in the same buckets, so a product exchanges what a slab of columns
-adds to each slab of rows, and nothing else moves. A vector is written once as it is found. Only the coefficients of the
-small problem, a number for each step and slab, come to the driver. For probes, entries lie by column, vectors by node.
+adds to each slab of rows, and nothing else moves. A vector is written once, with its product. Only the coefficients of
+the small problem, a few numbers for each step and slab, come to the driver. For probes, entries lie by column, vectors by node.
 """
 
 from __future__ import annotations
